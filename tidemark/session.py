@@ -19,6 +19,7 @@ def local_session(app: str = "tidemark", cores: str = "*", **conf) -> SparkSessi
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.adaptive.enabled", "true")
     )
