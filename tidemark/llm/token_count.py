@@ -140,6 +140,8 @@ class TokenTransducer:
 
     def chunk_map(self, chunk: str) -> tuple[str, int, _State | None]:
         """The map of a chunk from entry states to exit states and counts."""
+        if self.transitions > self.max_transitions:
+            self.clear()  # states already held stay valid
         at = self._sync(chunk)
         if at < 0:
             return chunk, 0, None
