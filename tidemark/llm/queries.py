@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_codec, chat_format, token_count, url_filter
+from tidemark.llm import bpe_codec, chat_format, decontaminate, language_id, token_count, url_filter
 
 QUERIES = {
+    "op2_decontamination": decontaminate.op2_decontamination,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_bpe_codec": bpe_codec.op5_bpe_codec,
+    "op6_language_id": language_id.op6_language_id,
     "op8_token_counts": token_count.op8_token_counts,
     "op10_url_filter": url_filter.op10_url_filter,
 }
