@@ -107,8 +107,10 @@ def find_leaks(documents: DataFrame, items: DataFrame, text: str = "text", item_
     that are null or without words have no spans; items that are null or
     without words match nothing, and an empty benchmark matches nothing.
     Repeated documents give repeated results, a repeated item_id counts once,
-    a null item_id counts as ''. All other columns stay.
+    a null item_id counts as ''. All other columns stay, but
+    columns of the three new names are replaced.
     """
+    documents = documents.drop("_n_words", "_spans", "_items")
     fields = documents.schema.fields
     at = documents.columns.index(text)
     names = [*documents.columns, "_n_words", "_spans", "_items"]

@@ -28,6 +28,8 @@ PROFILE = 300
 MAX_N = 3
 #: At most so many documents of each language are learned from.
 TRAIN_ROWS = 2000
+#: Languages up to which counts and chosen keys are broadcast.
+FEW_LANGUAGES = 50
 UNKNOWN = "und"
 
 _BITS, _MARK = 21, 1
@@ -113,18 +115,21 @@ class Profiles:
         return self.languages[best], 1.0 - float(distance[best]) / (self.size * len(own))
 
 
-def training_rows(labelled: DataFrame, lang: str, key: str, limit: int) -> DataFrame:
-    """At most limit rows of each language, those with the smallest hash of their key.
+def training_rows(labelled: DataFrame, lang: str, key: str, limit: int) -> tuple[DataFrame, bool]:
+    """At most limit rows of each language, those with the smallest hash of their key, and whether they may be broadcast.
 
     A threshold on the hash, from the language's count, leaves about twice the
     rows that are wanted before the window ranks them, so that the window sees
-    a bounded number of rows however many a language has.
+    a bounded number of rows however many a language has. With few languages
+    (the usual case) both the counts and the chosen rows are small for sure.
     """
     counts = labelled.groupBy(lang).agg(F.count("*").alias("_n"))
+    few_languages = len(counts.limit(FEW_LANGUAGES + 1).collect()) <= FEW_LANGUAGES
+    counts = F.broadcast(counts) if few_languages else counts
     place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     few = labelled.withColumn("_place", place).join(counts, lang).where(F.col("_place") * F.col("_n") <= 2 * limit + 100)
     order = W.partitionBy(lang).orderBy("_place", key)
-    return few.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= limit)
+    return few.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= limit), few_languages
 
 
 def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", size: int = PROFILE, limit: int = TRAIN_ROWS) -> Profiles:
@@ -133,7 +138,9 @@ def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang",
     Learns from a bounded sample of rows per language (limit), of whole texts.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    chosen = training_rows(labelled.select(key, lang), lang, key, limit).select(key, lang).distinct()
+    chosen, small = training_rows(labelled.select(key, lang), lang, key, limit)
+    chosen = chosen.select(key, lang).distinct()
+    chosen = F.broadcast(chosen) if small else chosen
     rows = labelled.select(key, lang, text).join(chosen, [key, lang], "left_semi").select(lang, text)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,8 +169,10 @@ def identify(documents: DataFrame, profiles: Profiles, text: str = "text") -> Da
     """documents with _lang_pred and _lang_score.
 
     A null text or one without a letter is 'und' with score 0, as is every
-    text if no language was learned. Repeated rows and all other columns stay.
+    text if no language was learned. Repeated rows and all other columns stay,
+    but columns of the two new names are replaced.
     """
+    documents = documents.drop("_lang_pred", "_lang_score")
     fields = documents.schema.fields
     at = documents.columns.index(text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _lang_pred string, _lang_score double"
