@@ -1,13 +1,70 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again."""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe_codec, decontaminate, language_id, near_dedup, toxicity
+from tidemark.session import shared_path
+
+#: Columns that the stages pass on.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model scores below 0.5."""
+    model = toxicity.learned_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_texts(docs, model).where("_tox_score < 0.5").select(*COLUMNS)
+
+
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told: texts with letters; lang becomes the language found."""
+    found = language_id.identify(docs, language_id.learned_languages(docs)).where(F.col("_lang_pred") != language_id.UNKNOWN)
+    return found.withColumn("lang", F.col("_lang_pred")).select(*COLUMNS)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; a doc_id stays once.
+
+    Of rows without doc_id, all stay whose text belongs to no kept document.
+    """
+    kept = near_dedup.link_components(docs).where("kept").select("doc_id").distinct()
+    order = F.struct("text", "lang", "source", "n_chars")
+    with_id = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
+    with_id = with_id.groupBy("doc_id").agg(F.min(order).alias("d")).select("doc_id", "d.*")
+    return with_id.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark window."""
+    found = decontaminate.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("_spans") == 0).select(*COLUMNS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of the documents, with digests of ids and decoded bytes."""
+    return bpe_codec.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, keep=("lang", "source"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language_id", keep_identified),
+    ("near_dedup", keep_one_of_each_group),
+    ("decontamination", drop_leaks),
+    ("bpe_codec", encode),
+]
+
+#: Learned models and near duplicates have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = shared_path(spark, f"stage-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

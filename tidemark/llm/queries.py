@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_codec, chat_format, decontaminate, language_id, token_count, toxicity, url_filter, warc
+from tidemark.llm import bpe_codec, chat_format, decontaminate, embedding_dedup, language_id, near_dedup, token_count, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_decontamination": decontaminate.op2_decontamination,
+    "op3_near_dedup": near_dedup.op3_near_dedup,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_bpe_codec": bpe_codec.op5_bpe_codec,
     "op6_language_id": language_id.op6_language_id,
     "op7_warc": warc.op7_warc,
     "op8_token_counts": token_count.op8_token_counts,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
