@@ -7,12 +7,13 @@
    by the pigeonhole principle, a chunk with at most ERRORS differing values.
    Each chunk is indexed once for every place at which the error may stand,
    with the value there left out, so such a pair shares an index key.
-3. Each class in a bucket is first linked with the bucket's smallest id only,
-   and confirmed on full sets. That makes one component of most groups of
-   copies. Then only pairs of different components that share a bucket are
-   compared, and those near enough by signature are confirmed in turn, until
-   none is left. So the work follows the documents, not the pairs in a group,
-   and no link that could join two components is left out.
+3. Each class is first paired with the nearest of its buckets' smallest ids,
+   and the pair confirmed on full sets. That makes one component of most
+   groups of copies. Then the classes in buckets that still hold several
+   components are joined on the rare beginnings of their sets, and pairs of
+   different components confirmed in turn. So pairs within a group that can
+   add nothing are never made, and no link that could join two components is
+   left out.
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ SHINGLE, PERCENT = 4, 80
 #: Signature: chunks, 16-bit values per chunk, errors allowed in the chunk that pigeonhole grants.
 CHUNKS, SYMBOLS, ERRORS = 8, 5, 1
 VALUES = CHUNKS * SYMBOLS
-#: Signatures that differ in more values are not confirmed: at similarity 0.8 that happens once in ten million.
+#: Signatures that differ in more values do not pair with a bucket's smallest id; they are left to the second step.
 MOST_DIFFERENT = 22
-#: Word hashes kept by a worker, and rows of a block in a bucket's comparison.
-MEMO, BLOCK = 400_000, 512
+#: Word hashes kept by a worker.
+MEMO = 400_000
 
 _random = np.random.default_rng(20240229)
 _FACTORS = _random.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -146,10 +147,9 @@ def different(a: str, b: str):
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x != y).cast("int")), F.lit(0), lambda n, x: n + x)
 
 
-def confirm(pairs: DataFrame, documents: DataFrame, text: str, key: str, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Only sets of documents in pairs are made and moved."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
+def sets_of(documents: DataFrame, ids: DataFrame, text: str, key: str, size: int) -> DataFrame:
+    """(id, s) of the documents whose id is in ids; s is the full shingle set. Only these sets are made and moved."""
+    rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
@@ -157,64 +157,40 @@ def confirm(pairs: DataFrame, documents: DataFrame, text: str, key: str, size: i
             sets = [shingler.shingles(t).view(np.int64) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
-    sets = cut(map_rows(rows, make, "id long, s array<long>"))
+    return cut(map_rows(rows, make, "id long, s array<long>"))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b").distinct()
 
 
-def across(members: DataFrame, best: int | None) -> DataFrame:
-    """Pairs (a, b, d) of members (key, id, comp, sig) that share a key but no component and differ in few values.
-
-    A bucket is compared block by block. With best, a member of a bucket gives
-    at most so many pairs to each other component, those nearest; the caller
-    goes on until no pair is left.
-    """
+def ids_in(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
-    def bucket(ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        if len(ids) < 2 or (comps == comps[0]).all():
-            return
-        for i in range(0, len(ids), BLOCK):
-            own = slice(i, i + BLOCK)
-            near: dict[tuple[int, int], list] = {}
-            for j in range(0, i + 1, BLOCK):
-                other = slice(j, j + BLOCK)
-                d = (sigs[own, None, :] != sigs[None, other, :]).sum(axis=2)
-                x, y = np.nonzero((d <= MOST_DIFFERENT) & (comps[own, None] != comps[None, other]))
-                for p, q in zip(x.tolist(), y.tolist()):
-                    if i + p > j + q:
-                        near.setdefault((i + p, int(comps[j + q])), []).append((int(d[p, q]), j + q))
-                if best is not None:
-                    near = {k: sorted(v)[:best] for k, v in near.items()}
-            for (p, _), found in near.items():
-                for n, q in found:
-                    yield int(ids[p]), int(ids[q]), n
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, out = None, [], []
-
-        def close():
-            if len(held) > 1:
-                sigs = np.array([h[2] for h in held], np.int16)
-                out.extend(bucket(np.array([h[0] for h in held]), np.array([h[1] for h in held]), sigs))
-
-        def batch_of(pairs):
-            return pa.RecordBatch.from_arrays([pa.array([max(p[:2]) for p in pairs], pa.int64()), pa.array([min(p[:2]) for p in pairs], pa.int64()), pa.array([p[2] for p in pairs], pa.int32())], ["a", "b", "d"])
 
-        for batch in batches:
-            for k, i, c, s in zip(*(col.to_pylist() for col in batch.columns)):
-                if k != key:
-                    close()
-                    key, held = k, []
-                    if len(out) > 5000:
-                        yield batch_of(out)
-                        out = []
-                held.append((i, c, s))
-        close()
-        yield batch_of(out)
+def across(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that can still be similar enough.
 
-    ordered = members.select("key", "id", "comp", "sig").repartition("key").sortWithinPartitions("key", "id")
-    return map_rows(ordered, compare, "a long, b long, d int")
+    Shingles are ordered by rarity within these sets. The first shingle that
+    two similar sets share stands early in both: so early that what follows
+    it still suffices for the overlap that their sizes ask for. Shingles of
+    one set only (most edits of a copy) take their places in the order, but
+    are never joined.
+    """
+    own = ["id", "v"]  # an id may stand for several texts
+    tokens = sets.select("id", F.xxhash64("s").alias("v"), F.size("s").alias("n"), F.explode("s").alias("t"))
+    common = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
+    rank = F.row_number().over(W.partitionBy(*own).orderBy("df", "t")) + F.col("n") - F.count("*").over(W.partitionBy(*own))
+    prefix = tokens.join(common, "t").withColumn("p", rank).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    prefix = cut(prefix.join(comps, "id").select("t", "id", "comp", "n", "p"))
+    x, y = prefix.alias("x"), prefix.alias("y")
+    overlap = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
+    room = 1 + F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
+    near = (F.col("x.t") == F.col("y.t")) & (F.col("x.comp") > F.col("y.comp")) & (room >= overlap)
+    return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -240,25 +216,17 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
         .withColumn("d", different("x", "y"))
         .where(F.col("d") <= MOST_DIFFERENT)
     )
-    tried = cut(near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
-    edges = cut(confirm(tried, documents, text, key, size, percent))
+    stars_best = cut(near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
+    edges = cut(confirm(stars_best, sets_of(documents, ids_in(stars_best), text, key, size), percent))
+    labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), "component")
 
     members = stars.select("key", "id").unionByName(stars.select("key", F.col("c").alias("id")).distinct())
-    best: int | None = 4
-    while True:
-        labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), "component")
-        labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-        mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        again = labelled.join(mixed, "key", "left_semi").join(sig, "id")
-        fresh = cut(across(again, best).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        if fresh.isEmpty():
-            if best is None:
-                break
-            best = None  # with no limit nothing is left out
-            continue
-        found = confirm(fresh, documents, text, key, size, percent)
-        tried, edges = cut(tried.unionByName(fresh)), cut(edges.unionByName(found))
-        best = None if best is None or best > 64 else best * 4
+    labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    open_ids = cut(labelled.join(mixed, "key", "left_semi").select("id", "comp").distinct())
+    sets = sets_of(documents, open_ids.select("id"), text, key, size)
+    edges = cut(edges.unionByName(confirm(across(sets, open_ids, percent), sets, percent)))
+    labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), "component")
 
     named = rows.join(classes.select("digest", "id"), "digest", "left").join(labels, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
