@@ -39,6 +39,8 @@ CHUNKS, SYMBOLS, ERRORS = 8, 5, 1
 VALUES = CHUNKS * SYMBOLS
 #: Signatures that differ in more values do not pair with a bucket's smallest id; they are left to the second step.
 MOST_DIFFERENT = 22
+#: Further smallest ids that a class is paired with if the nearest one left it apart.
+NEXT = 6
 #: Word hashes kept by a worker.
 MEMO = 400_000
 
@@ -208,7 +210,7 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
     stars = cut(index(classes).withColumn("c", first).where("id <> c"))
 
     sig = classes.select("id", "sig")
-    near = (
+    near = cut(
         stars.select(F.col("id").alias("a"), F.col("c").alias("b"))
         .distinct()
         .join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a")
@@ -220,6 +222,13 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
     edges = cut(confirm(stars_best, sets_of(documents, ids_in(stars_best), text, key, size), percent))
     labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), "component")
 
+    # Classes still apart from a component that one of their buckets' smallest ids is in: their nearest few of these are next.
+    named = near.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    apart = named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= NEXT)
+    second = cut(apart.select("a", "b").join(stars_best, ["a", "b"], "left_anti"))
+    edges = cut(edges.unionByName(confirm(second, sets_of(documents, ids_in(second), text, key, size), percent)))
+    labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), "component")
+
     members = stars.select("key", "id").unionByName(stars.select("key", F.col("c").alias("id")).distinct())
     labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
