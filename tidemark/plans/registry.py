@@ -2,5 +2,302 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import numbers, text
+from tidemark.operators import bands, conversation, ingest, lexical, retrieval
+from tidemark.session import table
+from tidemark.sources import rest
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+#: tokenize() in SQL.
+SQL_TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}_\s.\-]', ' ', 'g'), '\s+'), lambda x: x <> '')"
+#: words() in SQL.
+SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '\s+'), lambda x: x <> '')"
+
+
+def query(oracle: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if oracle:
+            ORACLES[fn.__name__] = oracle
+        return fn
+
+    return add
+
+
+def corpus(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("pos"), "text", "source", "lang")
+
+
+def question(spark: SparkSession, sf: str) -> str:
+    """The first eight words of benchmark item 0."""
+    found = table(spark, sf, "benchmark").where("item_id = 0").select(F.array_join(F.slice(text.words(F.col("text")), 1, 8), " ").alias("q")).first()
+    return found["q"] if found else ""
+
+
+_BM25 = rf"""
+WITH t AS (SELECT doc_id AS pos, {SQL_TOKENS.format("text")} AS tk FROM documents),
+st AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM t),
+p AS (SELECT pos, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT pos, len(tk) AS dl, unnest(tk) AS term FROM t) GROUP BY ALL),
+d AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, st GROUP BY term, n),
+i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM d) ELSE raw END AS idf FROM d),
+q AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({SQL_TOKENS.format("array_to_string(" + SQL_WORDS.format("text") + "[1:8], ' ')")}) AS term FROM benchmark WHERE item_id = 0) GROUP BY term),
+s AS (SELECT p.pos, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN q USING (term) JOIN i USING (term), st GROUP BY p.pos),
+b AS (SELECT t.pos, round(coalesce(score, 0), 9) AS score FROM t LEFT JOIN s USING (pos)),
+bm AS (SELECT pos, score, row_number() OVER (ORDER BY score DESC, pos) AS rank FROM b ORDER BY rank LIMIT 30)
+"""
+
+
+@query(_BM25 + "SELECT pos, round(score, 6) AS score, rank FROM bm")
+def bm25_topk(spark, sf):
+    found = lexical.search(lexical.build(corpus(spark, sf)), question(spark, sf))
+    return found.select("pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({SQL_TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term"
+)
+def term_document_frequency(spark, sf):
+    return lexical.term_frequencies(table(spark, sf, "documents"))
+
+
+def _vector(spark, sf) -> list[float]:
+    found = table(spark, sf, "embeddings").where("vec_id = 0").first()
+    return [float(x) for x in found["embedding"]]
+
+
+_KNN = """
+q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0),
+dist AS (SELECT vec_id AS pos, round(list_sum(list_transform(list_zip(embedding, e), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 9) AS dist FROM embeddings, q),
+kn AS (SELECT pos, dist, row_number() OVER (ORDER BY dist, pos) AS rank FROM dist ORDER BY rank LIMIT 30)
+"""
+
+
+@query(f"WITH {_KNN} SELECT pos, round(dist, 6) AS dist, rank FROM kn")
+def dense_knn(spark, sf):
+    found = retrieval.dense_search(table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), "embedding"), _vector(spark, sf))
+    return found.select("pos", F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    _BM25
+    + ","
+    + _KNN.replace("q AS", "q2 AS", 1).replace("embeddings, q)", "embeddings, q2)")
+    + """, f AS (SELECT coalesce(kn.pos, bm.pos) AS id, coalesce(1 / (60 + kn.rank), 0) + coalesce(1 / (60 + bm.rank), 0) AS s,
+    CASE WHEN bm.pos IS NOT NULL THEN 'bm25' ELSE 'dense' END AS source, coalesce(kn.rank, 1000000 + bm.rank) AS place FROM kn FULL JOIN bm ON kn.pos = bm.pos)
+SELECT id, round(s, 9) AS rrf_score, source, row_number() OVER (ORDER BY s DESC, place) AS rank FROM f ORDER BY rank LIMIT 50"""
+)
+def rrf_hybrid(spark, sf):
+    dense = retrieval.dense_search(table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), "embedding"), _vector(spark, sf)).withColumnRenamed("pos", "id")
+    found = lexical.search(lexical.build(corpus(spark, sf)), question(spark, sf)).withColumnRenamed("pos", "id")
+    fused = retrieval.fuse(dense, found, top_k=retrieval.K_FUSED)
+    return fused.select("id", F.round("rrf_score", 9).alias("rrf_score"), "source", F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    """WITH u AS (SELECT 0 AS query_no, doc_id AS rank, text FROM documents UNION ALL SELECT 1, doc_id, text FROM documents WHERE lang = 'en' UNION ALL SELECT 2, item_id, text FROM benchmark),
+d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY query_no, rank) AS n FROM u) SELECT query_no, rank, md5(text) AS text_md5 FROM d WHERE n = 1"""
+)
+def multi_query_union_dedup(spark, sf):
+    docs = table(spark, sf, "documents")
+    lists = [docs.select(F.col("doc_id").alias("rank"), "text"), docs.where("lang = 'en'").select(F.col("doc_id").alias("rank"), "text"), table(spark, sf, "benchmark").select(F.col("item_id").alias("rank"), "text")]
+    found = retrieval.dedup_passages(retrieval.union_queries(lists), ["query_no", "rank"])
+    return found.select("query_no", "rank", F.md5("text").alias("text_md5"))
+
+
+@query(
+    """WITH r AS (SELECT *, sum(length(text)) OVER w AS total, row_number() OVER w AS n FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT source, doc_id, CASE WHEN length(text) > 12000 THEN left(text, 12000) || '...' ELSE text END AS text FROM r WHERE total <= 12000 OR n = 1)
+SELECT source, md5(string_agg(text, chr(10) || chr(10) ORDER BY doc_id)) AS context_md5, count(*) AS passages FROM k GROUP BY source"""
+)
+def context_budget(spark, sf):
+    found = retrieval.build_context(table(spark, sf, "documents").select("source", "doc_id", "text"), by=("source",), order="doc_id")
+    return found.select("source", F.md5("context").alias("context_md5"), "passages")
+
+
+@query(f"SELECT doc_id FROM documents WHERE length(text) >= 50 AND len(list_distinct({SQL_WORDS.format('text')})) >= 5")
+def quality_gate(spark, sf):
+    return ingest.quality_gate(table(spark, sf, "documents")).select("doc_id")
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def dedup_keep_first(spark, sf):
+    return ingest.keep_first(table(spark, sf, "documents").withColumnRenamed("doc_id", "pos")).select(F.col("pos").alias("doc_id"))
+
+
+@query(
+    f"""WITH RECURSIVE w AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, len({SQL_WORDS.format('text')}) AS w FROM documents),
+p AS (SELECT source, n, doc_id, 0::BIGINT AS block_index, w AS used, w FROM w WHERE n = 1
+  UNION ALL SELECT w.source, w.n, w.doc_id, CASE WHEN p.used + w.w > 200 THEN p.block_index + 1 ELSE p.block_index END, CASE WHEN p.used + w.w > 200 THEN w.w ELSE p.used + w.w END, w.w
+  FROM p JOIN w ON w.source = p.source AND w.n = p.n + 1)
+SELECT source, block_index, md5(string_agg(d.text, ' ' ORDER BY p.doc_id)) AS text_md5, sum(p.w)::BIGINT AS words, count(*) AS items
+FROM p JOIN documents d USING (doc_id, source) GROUP BY source, block_index"""
+)
+def adaptive_pack(spark, sf):
+    found = ingest.pack(table(spark, sf, "documents").select("source", F.col("doc_id").alias("pos"), "text"))
+    return found.select("source", "block_index", F.md5("text").alias("text_md5"), "words", "items")
+
+
+@query(
+    r"""SELECT doc_id, len(b) AS blocks, md5(array_to_string(b, '|')) AS blocks_md5 FROM (SELECT doc_id,
+list_filter(list_transform(regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 50) AS b FROM documents)"""
+)
+def semantic_split(spark, sf):
+    blocks = text.split_semantic(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")))
+    return table(spark, sf, "documents").select("doc_id", F.size(blocks).cast("long").alias("blocks"), F.md5(F.array_join(blocks, "|")).alias("blocks_md5"))
+
+
+@query(
+    r"""SELECT page_id, md5(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g'),
+'&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM pages"""
+)
+def html_strip(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.md5(ingest.html_text(F.col("html"))).alias("text_md5"))
+
+
+@query(f"SELECT lang, count(*) AS docs, sum(len({SQL_TOKENS.format('text')}))::BIGINT AS tokens FROM documents GROUP BY lang")
+def tokens_per_lang(spark, sf):
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.size(text.tokenize(F.col("text")))).alias("tokens"))
+
+
+@query("SELECT a.n_name AS a, b.n_name AS b, levenshtein(a.n_name, b.n_name) AS distance FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
+def levenshtein_pairs(spark, sf):
+    n = table(spark, sf, "nation")
+    a, b = n.alias("a"), n.alias("b")
+    pairs = a.join(b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey")))
+    return pairs.select(F.col("a.n_name").alias("a"), F.col("b.n_name").alias("b"), F.levenshtein("a.n_name", "b.n_name").cast("long").alias("distance"))
+
+
+_SQL_BANDS = "b AS (SELECT l_returnflag AS type, date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)::DOUBLE AS start, date_diff('day', TIMESTAMP '1970-01-01', l_shipdate) + l_quantity AS \"end\", l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice FROM lineitem)"
+
+
+def line_bands(spark, sf) -> DataFrame:
+    """Order lines as bands: from the day of shipping, as long as the quantity, by return flag."""
+    day = F.datediff("l_shipdate", F.lit("1970-01-01")).cast("double")
+    return table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("type"), day.alias("start"), (day + F.col("l_quantity")).alias("end"), "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice")
+
+
+@query(f"WITH {_SQL_BANDS} SELECT type, start, \"end\", count(*) AS n FROM b WHERE start <= 10100 AND \"end\" >= 10000 AND type IN ('A', 'R') GROUP BY ALL")
+def band_overlap(spark, sf):
+    return bands.overlapping(line_bands(spark, sf), 10_000, 10_100, ["A", "R"]).groupBy("type", "start", "end").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_SQL_BANDS}, r AS (SELECT o_orderkey AS range_id, date_diff('day', TIMESTAMP '1970-01-01', o_orderdate)::DOUBLE AS low FROM orders WHERE o_orderkey < 100) SELECT range_id, count(*) AS n FROM b JOIN r ON start <= low + 3 AND \"end\" >= low GROUP BY range_id")
+def band_range_join(spark, sf):
+    day = F.datediff("o_orderdate", F.lit("1970-01-01")).cast("double")
+    ranges = table(spark, sf, "orders").where("o_orderkey < 100").select(F.col("o_orderkey").alias("range_id"), day.alias("low"), (day + 3).alias("high"))
+    return bands.overlap_join(line_bands(spark, sf), ranges, 32.0).groupBy("range_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_SQL_BANDS} SELECT greatest(0.001, coalesce(min(start), 0.001)) AS low, coalesce(max(\"end\"), 10000) AS high FROM b")
+def band_domain(spark, sf):
+    return bands.domain(line_bands(spark, sf))
+
+
+@query(
+    f"""WITH {_SQL_BANDS}, e AS (SELECT type, start AS x, 1 AS d FROM b UNION ALL SELECT type, "end", -1 FROM b), p AS (SELECT type, x, sum(d) AS d FROM e GROUP BY ALL)
+SELECT type, max(run)::BIGINT AS depth FROM (SELECT type, sum(d) OVER (PARTITION BY type ORDER BY x ROWS UNBOUNDED PRECEDING) AS run FROM p) GROUP BY type"""
+)
+def band_depth(spark, sf):
+    return bands.depth(line_bands(spark, sf))
+
+
+@query()
+def band_levels(spark, sf):
+    key = ["type", "start", "end", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"]
+    rows = line_bands(spark, sf).withColumn("id", F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key])))
+    return bands.assign_levels(rows.select("type", "start", "end", "id")).select("type", "start", "end", "id", "level")
+
+
+@query("SELECT p_partkey, p_size * 0.001::DOUBLE AS khz, p_size * 1000.0::DOUBLE AS ghz, p_size::DOUBLE AS mhz, p_size * 0.001::DOUBLE AS low, (p_size + 5)::DOUBLE AS high FROM part")
+def freq_parse(spark, sf):
+    size = F.col("p_size").cast("string")
+    band = numbers.parse_band(F.concat(size, F.lit(" kHz - "), (F.col("p_size") + 5).cast("string"), F.lit(" MHz | x")))
+    parsed = {n: numbers.parse_frequency(F.concat(size, F.lit(u))) for n, u in (("khz", " kHz"), ("ghz", " GHz"), ("mhz", ""))}
+    return table(spark, sf, "part").select("p_partkey", *[c.alias(n) for n, c in parsed.items()], band[0].alias("low"), band[1].alias("high"))
+
+
+@query("SELECT p_partkey, printf('%.2f GHz', p_size + 0.5) AS ghz, p_size || ' MHz' AS mhz, printf('%.2f kHz', p_size * 10.0) AS khz, printf('%.2f Hz', p_size * 10.0) AS hz FROM part")
+def freq_format(spark, sf):
+    size = F.col("p_size").cast("double")
+    f = numbers.format_frequency
+    return table(spark, sf, "part").select("p_partkey", f(size * 1000 + 500).alias("ghz"), f(size).alias("mhz"), f(size / 100).alias("khz"), f(size / 100_000).alias("hz"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < 25 THEN p_size * 1000.0::DOUBLE END AS low, CASE WHEN p_size < 25 THEN 25000.0::DOUBLE END AS high FROM part")
+def freq_query_parse(spark, sf):
+    found = numbers.parse_range_query(F.concat(F.col("p_size").cast("string"), F.lit(" - 25 gHz")))
+    return table(spark, sf, "part").select("p_partkey", found["min"].alias("low"), found["max"].alias("high"))
+
+
+@query("SELECT p_partkey, (i - 1)::INT AS usage_index, [p_brand, p_type, p_name][i] AS usage, CASE WHEN i = 1 THEN p_size::VARCHAR ELSE '' END AS band FROM part, range(1, 4) r(i)")
+def pipe_explode(spark, sf):
+    u = ingest.pipe_parts(F.concat_ws(" | ", "p_brand", "p_type", F.lit(" "), "p_name"))
+    b = ingest.aligned(ingest.pipe_parts(F.col("p_size").cast("string")), u)
+    rows = table(spark, sf, "part").select("p_partkey", F.posexplode(F.arrays_zip(u.alias("usage"), b.alias("band"))).alias("usage_index", "z"))
+    return rows.select("p_partkey", "usage_index", F.col("z.usage").alias("usage"), F.col("z.band").alias("band"))
+
+
+@query("SELECT c_custkey, 'c_name: ' || c_name || ' | c_mktsegment: ' || c_mktsegment AS text FROM customer")
+def row_to_text(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", text.row_text(["c_name", "c_mktsegment"]).alias("text"))
+
+
+@query("SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k FROM events")
+def json_props(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k"))
+
+
+@query("SELECT n_nationkey, 'Name' AS key, n_name AS value FROM nation")
+def attr_filter_rename(spark, sf):
+    raw = F.create_map(F.lit("name"), F.col("n_name"), F.lit("nationId"), F.col("n_nationkey").cast("string"), F.lit("x.a"), F.lit("y"), F.lit("fromMHz"), F.lit("1"), F.lit("empty"), F.lit(""))
+    return table(spark, sf, "nation").select("n_nationkey", F.explode(bands.details(raw, {"name": "Name"})).alias("e")).select("n_nationkey", F.col("e.key").alias("key"), F.col("e.value").alias("value"))
+
+
+@query("SELECT conv_id, count(*) AS messages, md5(string_agg(role || ':' || coalesce(text, ''), chr(10) ORDER BY turn)) AS history_md5 FROM conversations GROUP BY conv_id")
+def conversation_history(spark, sf):
+    h = conversation.histories(table(spark, sf, "conversations"))
+    said = F.array_join(F.transform("history", lambda m: F.concat(m["role"], F.lit(":"), F.coalesce(m["text"], F.lit("")))), "\n")
+    return h.select("conv_id", F.size("history").cast("long").alias("messages"), F.md5(said).alias("history_md5"))
+
+
+@query("SELECT conv_id, count(*) + 2 AS messages, md5('system' || string_agg(role, '' ORDER BY turn) || 'user') AS roles_md5, 'ab' AS answer FROM conversations GROUP BY conv_id")
+def prompt_messages(spark, sf):
+    p = conversation.histories(table(spark, sf, "conversations")).withColumn("p", conversation.prompt(F.col("history"), F.lit("be brief"), F.lit("why?")))
+    roles = F.array_join(F.transform("p", lambda m: m["role"]), "")
+    return p.select("conv_id", F.size("p").cast("long").alias("messages"), F.md5(roles).alias("roles_md5"), text.without_think(F.lit("a<think>x\ny</think>b")).alias("answer"))
+
+
+@query("SELECT o.o_orderkey, c.c_name AS name_a, o.o_orderstatus AS name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey")
+def detail_join_suffix(spark, sf):
+    items = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), "o_orderkey", F.col("o_orderstatus").alias("name"))
+    joined = rest.with_details(items, table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")))
+    return joined.select("o_orderkey", F.col("`name.a`").alias("name_a"), "name")
+
+
+@query("SELECT doc_id, md5(source || '_' || doc_id) AS id FROM documents")
+def md5_ids(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", text.stable_id(F.col("source"), F.col("doc_id")).alias("id"))
+
+
+@query("SELECT doc_id, i AS chunk_index, md5(substr(text, i * 1800 + 1, 2000)) AS chunk_md5 FROM documents, range(0, 1000) r(i) WHERE length(text) > 0 AND i * 1800 + 1 <= greatest(1, length(text) - 200)")
+def chunk_text(spark, sf):
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(text.chunks(F.col("text"))).alias("i", "chunk"))
+    return rows.select("doc_id", F.col("i").cast("long").alias("chunk_index"), F.md5("chunk").alias("chunk_md5"))
+
+
+@query()
+def embed_hash(spark, sf):
+    return retrieval.embed(table(spark, sf, "documents").select("doc_id", "text"), dims=64).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+@query()
+def rerank_top7(spark, sf):
+    ranked = table(spark, sf, "documents").select(F.col("doc_id").alias("rank"), "text")
+    return retrieval.rerank(ranked, question(spark, sf)).select("rank", F.round("rerank_score", 6).alias("rerank_score"))
