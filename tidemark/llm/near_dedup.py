@@ -217,6 +217,7 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
         .join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
         .withColumn("d", different("x", "y"))
         .where(F.col("d") <= MOST_DIFFERENT)
+        .select("a", "b", "d")
     )
     stars_best = cut(near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
     edges = cut(confirm(stars_best, sets_of(documents, ids_in(stars_best), text, key, size), percent))
