@@ -101,7 +101,7 @@ def test_near_dedup_equals_brute_force(spark):
 def test_near_dedup_empty_and_null_ids(spark):
     assert near_dedup.link_components(docs(spark, ["a"]).limit(0)).count() == 0
     rows = spark.createDataFrame([(None, "a b c d e"), (5, "a b c d e"), (5, "a b c d e"), (None, "other")], "doc_id long, text string")
-    got = sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in near_dedup.link_components(rows).collect())
+    got = sorted(((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in near_dedup.link_components(rows).collect()), key=str)
     assert got.count((5, 5, True)) == 2 and (-1, 5, False) in got
 
 
