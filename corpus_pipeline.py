@@ -28,7 +28,7 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates; a doc_id stays once.
 
-    Of rows without doc_id, all stay whose text belongs to no kept document.
+    Rows without doc_id cannot be told apart by component, and all stay.
     """
     kept = near_dedup.link_components(docs).where("kept").select("doc_id").distinct()
     order = F.struct("text", "lang", "source", "n_chars")

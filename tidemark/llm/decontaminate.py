@@ -164,17 +164,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def brute_force(text: str | None, items: list[tuple[str, str]]) -> tuple[int, int, list[str]]:
-    """(words, hit words, items) of one document by comparing every window at every place; for tests."""
+    """(words, hit words, items) of one document by looking every window up among all places; for tests."""
     w = words(text)
-    hit, ids = set(), set()
+    hit, ids, places = set(), set(), {}
     for item, t in items:
         v = words(t)
         size = min(WINDOW, len(v))
-        for i in range(len(v) - size + 1 if size else 0):
+        if not size:
+            continue
+        if size not in places:
+            places[size] = {}
             for p in range(len(w) - size + 1):
-                if w[p : p + size] == v[i : i + size]:
-                    hit.update(range(p, p + size))
-                    ids.add(item)
+                places[size].setdefault(tuple(w[p : p + size]), []).append(p)
+        for i in range(len(v) - size + 1):
+            for p in places[size].get(tuple(v[i : i + size]), ()):
+                hit.update(range(p, p + size))
+                ids.add(item)
     return len(w), len(hit), sorted(ids)
 
 
