@@ -11,6 +11,8 @@ from tidemark.session import shared_path
 
 #: Columns that the stages pass on.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Words of a shingle in the near-duplicate stage.
+SHINGLE = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,11 +28,11 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates; a doc_id stays once.
+    """One document of each group of near duplicates (shingles of five words, similarity of 0.8 or more); a doc_id stays once.
 
     Rows without doc_id cannot be told apart by component, and all stay.
     """
-    kept = near_dedup.link_components(docs).where("kept").select("doc_id").distinct()
+    kept = near_dedup.link_components(docs, size=SHINGLE).where("kept").select("doc_id").distinct()
     order = F.struct("text", "lang", "source", "n_chars")
     with_id = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
     with_id = with_id.groupBy("doc_id").agg(F.min(order).alias("d")).select("doc_id", "d.*")
