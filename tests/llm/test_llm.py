@@ -67,17 +67,16 @@ def test_decontamination_equals_brute_force(spark):
 # 3 near-duplicate documents
 
 
-def brute_components(texts):
+def brute_components(texts, size=4):
     sets = []
     for t in texts:
         w = near_dedup.words(t)
-        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
+        sets.append({tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and 100 * len(a & b) >= 80 * len(a | b)]
     root = list(range(len(texts)))
     for _ in texts:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets[:i]):
-                if a and b and 100 * len(a & b) >= 80 * len(a | b):
-                    root[i] = root[j] = min(root[i], root[j])
+        for i, j in links:
+            root[i] = root[j] = min(root[i], root[j])
     return [len(s) for s in sets], root
 
 
@@ -111,6 +110,13 @@ def test_components_of_a_chain(spark):
     assert set(got) == {*range(41), 99, 100} and all(got[i] == 0 for i in range(41)) and got[100] == got[99] == 99
 
 
+def test_roots_of_trees(spark):
+    parents = [(i + 1, i) for i in range(40)] + [(60 + i, 3) for i in range(5)] + [(100, 99)]
+    got = {r["node"]: r["component"] for r in components.roots(spark.createDataFrame(parents, "a long, b long")).collect()}
+    assert got == {a: 99 if a == 100 else 0 for a, _ in parents}
+    assert components.roots(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 # 4 chat formatting
 
 
@@ -254,7 +260,7 @@ def test_pipeline_stages_match_the_operators(spark):
     assert kept.columns == docs_.columns
     assert {r["doc_id"] for r in kept.collect()} == {r["doc_id"] for r in docs_.collect()} - leaked
     rows = docs_.orderBy("doc_id").collect()
-    _, root = brute_components([r["text"] for r in rows])
+    _, root = brute_components([r["text"] for r in rows], corpus_pipeline.SHINGLE)
     one = corpus_pipeline.keep_one_of_each_group(spark, docs_.unionByName(docs_), sf)
     assert sorted(r["doc_id"] for r in one.collect()) == [r["doc_id"] for i, r in enumerate(rows) if root[i] == i]
     assert corpus_pipeline.keep_identified(spark, docs_, sf).count() == docs_.count()

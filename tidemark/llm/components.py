@@ -18,10 +18,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        linked = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        linked = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        # As many rows as edges; repeated ones go in the small step that follows.
+        return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    linked = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
     return linked.where("u <> v").distinct()
 
 
@@ -47,3 +47,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     # Every node now hangs directly on the smallest of its component.
     return flat.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(flat.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def roots(parents: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component) for parents (a, b), where every a stands once and b < a: the end of the path from a.
+
+    Each step replaces all parents by their parents, so a path of n steps
+    takes log2(n) of them; what has no parent is its own root and gets no row.
+    """
+    at = cut(parents.select("a", "b"))
+    for _ in range(rounds):
+        up = at.select(F.col("a").alias("p"), F.col("b").alias("g"))
+        at = cut(at.join(up, F.col("b") == F.col("p"), "left").select("a", F.coalesce("g", "b").alias("b"), F.col("g").isNotNull().alias("moved")))
+        if not at.agg(F.max("moved")).first()[0]:
+            return at.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        at = at.select("a", "b")
+    raise RuntimeError("paths did not end")

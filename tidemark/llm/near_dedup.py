@@ -29,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_rows, texts
-from tidemark.llm.components import components
+from tidemark.llm.components import components, roots
 from tidemark.session import cut
 
 #: Words of a shingle; least similarity in per cent.
@@ -195,6 +195,23 @@ def across(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def named_ids(found: DataFrame) -> DataFrame:
+    return found.select(F.col("node").alias("id"), "component")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (id, component) after further links (a, b); an id without label is a component of its own.
+
+    The labels themselves serve as edges: they connect what the links so far
+    connect, and are flat already.
+    """
+    links = cut(links)
+    if not links.agg(F.count("*")).first()[0]:
+        return labels
+    flat = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
+    return named_ids(components(flat.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))))
+
+
 def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row.
 
@@ -220,23 +237,21 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
         .select("a", "b", "d")
     )
     stars_best = cut(near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
-    edges = cut(confirm(stars_best, sets_of(documents, ids_in(stars_best), text, key, size), percent))
-    labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), "component")
+    # Every class has at most one such link, to a smaller id: the links are trees.
+    labels = named_ids(roots(confirm(stars_best, sets_of(documents, ids_in(stars_best), text, key, size), percent)))
 
     # Classes still apart from a component that one of their buckets' smallest ids is in: their nearest few of these are next.
     named = near.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     apart = named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= NEXT)
     second = cut(apart.select("a", "b").join(stars_best, ["a", "b"], "left_anti"))
-    edges = cut(edges.unionByName(confirm(second, sets_of(documents, ids_in(second), text, key, size), percent)))
-    labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), "component")
+    labels = merged(labels, confirm(second, sets_of(documents, ids_in(second), text, key, size), percent))
 
     members = stars.select("key", "id").unionByName(stars.select("key", F.col("c").alias("id")).distinct())
     labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     open_ids = cut(labelled.join(mixed, "key", "left_semi").select("id", "comp").distinct())
     sets = sets_of(documents, open_ids.select("id"), text, key, size)
-    edges = cut(edges.unionByName(confirm(across(sets, open_ids, percent), sets, percent)))
-    labels = components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), "component")
+    labels = merged(labels, confirm(across(sets, open_ids, percent), sets, percent))
 
     named = rows.join(classes.select("digest", "id"), "digest", "left").join(labels, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
