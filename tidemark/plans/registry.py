@@ -188,10 +188,10 @@ def band_overlap(spark, sf):
     return bands.overlapping(line_bands(spark, sf), 10_000, 10_100, ["A", "R"]).groupBy("type", "start", "end").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_SQL_BANDS}, r AS (SELECT o_orderkey AS range_id, date_diff('day', TIMESTAMP '1970-01-01', o_orderdate)::DOUBLE AS low FROM orders WHERE o_orderkey < 100) SELECT range_id, count(*) AS n FROM b JOIN r ON start <= low + 3 AND \"end\" >= low GROUP BY range_id")
+@query(f"WITH {_SQL_BANDS}, r AS (SELECT o_orderkey AS range_id, date_diff('day', TIMESTAMP '1970-01-01', o_orderdate)::DOUBLE AS low FROM orders) SELECT range_id, count(*) AS n FROM b JOIN r ON start <= low + 3 AND \"end\" >= low GROUP BY range_id")
 def band_range_join(spark, sf):
     day = F.datediff("o_orderdate", F.lit("1970-01-01")).cast("double")
-    ranges = table(spark, sf, "orders").where("o_orderkey < 100").select(F.col("o_orderkey").alias("range_id"), day.alias("low"), (day + 3).alias("high"))
+    ranges = table(spark, sf, "orders").select(F.col("o_orderkey").alias("range_id"), day.alias("low"), (day + 3).alias("high"))
     return bands.overlap_join(line_bands(spark, sf), ranges, 32.0).groupBy("range_id").agg(F.count("*").alias("n"))
 
 
