@@ -75,6 +75,40 @@ def test_fusion_ties(spark):
     assert [r["id"] for r in got] == list("acbd") and [r["source"] for r in got] == ["bm25", "bm25", "dense", "bm25"]
 
 
+def test_searches_answer_every_query(spark):
+    rnd = random.Random(7)
+    rows = [(i, [float(rnd.randint(0, 3)) for _ in range(3)]) for i in range(60)] + [(60, None), (61, [1.0, None, 2.0]), (62, [1.0])]
+    vectors = spark.createDataFrame(rows, "pos long, embedding array<float>").repartition(3)
+    near = retrieval.dense_search_all(vectors, vectors.where("pos % 20 = 0").withColumnRenamed("pos", "query_id"), k=5).collect()
+    assert {r["query_id"] for r in near} == {0, 20, 40}
+    for q in (0, 20, 40):
+        expected = sorted((sum((a - b) ** 2 for a, b in zip(v, rows[q][1])), i) for i, v in rows[:60])[:5]
+        assert sorted((r["rank"], r["dist"], r["pos"]) for r in near if r["query_id"] == q) == [(n, d, i) for n, (d, i) in enumerate(expected, 1)]
+
+    docs = spark.createDataFrame([(0, "a b"), (1, "b c"), (2, "c d"), (3, ""), (4, "e f")], "pos long, text string")
+    queries = spark.createDataFrame([(0, "a"), (100, "d c"), (200, "unknown")], "query_id long, text string")
+    index = lexical.build(docs)
+    found = lexical.search_all(index, queries, k=3).collect()
+    for q, words in ((0, "a"), (100, "d c"), (200, "unknown")):
+        alone = lexical.search(index, words, k=3).orderBy("rank").collect()
+        assert sorted((r["rank"], r["pos"], r["score"]) for r in found if r["query_id"] == q) == [(r["rank"], r["pos"], r["score"]) for r in alone]
+
+    lists = [spark.createDataFrame([(q, x, i) for q, ids in d.items() for i, x in enumerate(ids, 1)], "query_id int, id string, rank int") for d in ({0: "abc", 1: "xy"}, {0: "cda", 2: "z"})]
+    fused = retrieval.fuse(*lists, by=("query_id",)).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["id"]) for r in fused] == [*((0, x) for x in "acbd"), (1, "x"), (1, "y"), (2, "z")]
+
+    passages = docs.withColumnRenamed("pos", "rank")
+    best = retrieval.rerank_all(passages, queries.withColumnRenamed("text", "query"), top_k=2).orderBy("query_id", F.desc("rerank_score"), "rank").collect()
+    assert [(r["query_id"], r["rank"], r["rerank_score"]) for r in best] == [(0, 0, 1.0), (0, 1, 0.0), (100, 2, 1.0), (100, 1, 0.5), (200, 0, 0.0), (200, 1, 0.0)]
+
+
+def test_registered_searches_take_every_query_row(spark):
+    expected = {name: {r[0] for r in spark.read.parquet(f"{SF}/{name}.parquet").where(f"{key} % 100 = 0").select(key).collect()} for name, key in (("embeddings", "vec_id"), ("benchmark", "item_id"))}
+    got = {name: {r[0] for r in registry.QUERIES[name](spark, SF).select("query_id").distinct().collect()} for name in ("dense_knn_all", "bm25_topk_all", "rrf_hybrid_all", "rerank_top7")}
+    assert got["dense_knn_all"] == expected["embeddings"] and got["bm25_topk_all"] == got["rerank_top7"] == expected["benchmark"]
+    assert got["rrf_hybrid_all"] == expected["embeddings"] | expected["benchmark"]
+
+
 def test_context_budget(spark):
     def kept(sizes):
         d = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)], "rank int, text string")

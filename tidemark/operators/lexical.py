@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import tokenize
+from tidemark.session import cut
 
 #: BM25 parameters: saturation, length share, and the floor of idf as a share of its mean.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -68,7 +69,9 @@ def scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
     wanted = query_terms(queries).join(index.terms.select("term", "idf"), "term")
     length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + length)
-    hits = index.postings.join(wanted, "term").crossJoin(F.broadcast(index.stats))  # one row
+    # A semi join moves below the aggregate that makes postings, so that other terms are not shuffled.
+    postings = index.postings.join(F.broadcast(query_terms(queries).select("term").distinct()), "term", "left_semi")
+    hits = postings.join(wanted, "term").crossJoin(F.broadcast(index.stats))  # one row
     return hits.groupBy("query_id", "pos").agg(F.sum(part).alias("score"))
 
 
@@ -83,6 +86,22 @@ def search(index: Bm25Index, query: str, k: int = 30) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "pos")))
 
 
+def search_all(index: Bm25Index, queries: DataFrame, k: int = 30) -> DataFrame:
+    """The k best documents (query_id, pos, score, rank) of every query (query_id, text), ranked as in search."""
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "pos"))
+    hits = scores(index, queries).select("query_id", "pos", F.round("score", 9).alias("score"))
+    found = hits.withColumn("rank", place).where(F.col("rank") <= k).drop("rank")
+    found = cut(found)  # at most k rows of each query, read again below
+    # A query with fewer than k documents above 0 is padded with those that hold none of its terms.
+    enough = found.where("score > 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
+    short = queries.join(enough, "query_id", "left_anti")
+    if not short.isEmpty():
+        pairs = index.docs.select("pos").crossJoin(F.broadcast(short.select("query_id").distinct()))
+        rest = pairs.join(scores(index, short).select("query_id", "pos"), ["query_id", "pos"], "left_anti")
+        found = found.unionByName(rest.select("query_id", "pos", F.lit(0.0).alias("score")))
+    return found.withColumn("rank", place).where(F.col("rank") <= k)
+
+
 def term_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term, df, cf): documents that hold a term, and how often it occurs."""
     tokens = docs.select(F.col(text)).withColumn("_d", F.monotonically_increasing_id()).select("_d", F.explode(tokenize(F.col(text))).alias("term"))

@@ -7,15 +7,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.functions.text import tokenize
 
 #: Fusion constant, candidates per list, fused candidates, passages and characters of a context.
 RRF, K_LIST, K_FUSED, K_FINAL, CONTEXT_CHARS = 60, 30, 50, 7, 12_000
 DIMS = 1024
+#: Query vectors sent to the tasks at a time, and compared with a batch of rows at a time.
+QUERY_BLOCK, QUERY_CHUNK = 4096, 128
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -30,19 +35,90 @@ def dense_search(vectors: DataFrame, query: list[float], k: int = K_LIST, key: s
     return best.withColumn("rank", F.row_number().over(W.orderBy("dist", key)))
 
 
-def fuse(dense: DataFrame, lexical: DataFrame, top_k: int = K_LIST, key: str = "id", constant: int = RRF) -> DataFrame:
+def _nearest(batches: Iterator[pa.RecordBatch], ids: pa.Array, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, key, dist): the k nearest rows of a task's batches (key, embedding) to each query."""
+    held = None
+    for batch in batches:
+        batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), queries.shape[1]))
+        flat = batch.column(1).flatten()
+        full = flat.is_valid().to_numpy(zero_copy_only=False).reshape(-1, queries.shape[1]).all(axis=1)
+        values = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, queries.shape[1])[full]
+        kind, keys = batch.column(0).type, batch.column(0).to_numpy(zero_copy_only=False)[full]
+        if not len(keys):
+            continue
+        found = [] if held is None else [held]
+        for start in range(0, len(queries), QUERY_CHUNK):
+            q = queries[start : start + QUERY_CHUNK]
+            dist = np.zeros((len(q), len(keys)))
+            for d in range(q.shape[1]):  # one component after the other: sums do not depend on the batch
+                dist += (values[:, d] - q[:, d, None]) ** 2
+            dist = np.floor(dist * 1e9 + 0.5) / 1e9
+            last = np.partition(dist, k - 1, axis=1)[:, k - 1 : k] if len(keys) > k else np.inf
+            at, row = np.nonzero(~(dist > last))  # NaN stays, and sorts last
+            found.append((at + start, keys[row], dist[at, row]))
+        at, key, dist = (np.concatenate(x) for x in zip(*found))
+        order = np.lexsort((np.unique(key, return_inverse=True)[1], dist, at))
+        at, key, dist = at[order], key[order], dist[order]
+        first = np.arange(len(at)) - np.searchsorted(at, at) < k
+        held = at[first], key[first], dist[first]
+    if held is not None:
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(held[0])), pa.array(held[1], kind), pa.array(held[2])], ["query_id", "key", "dist"])
+
+
+def dense_search_all(vectors: DataFrame, queries: DataFrame, k: int = K_LIST, key: str = "pos", embedding: str = "embedding") -> DataFrame:
+    """Exact nearest neighbours (query_id, key, dist, rank) of every query (query_id, embedding).
+
+    Queries go to the tasks in blocks; a task scans its vectors once per block
+    and passes on the k best rows of each query. Vectors and queries with a
+    missing component have no distance, nor have those of different lengths;
+    rows without a key are left out.
+    """
+    rows = vectors.select(key, embedding).where(F.col(key).isNotNull())
+    kinds = dict(rows.dtypes) | dict(queries.dtypes)
+    schema = f"query_id {kinds['query_id']}, `{key}` {kinds[key]}, dist double"
+    best, block = rows.sparkSession.createDataFrame([], schema), {}
+
+    def scan(block: list) -> DataFrame:
+        ids, q = pa.array([i for i, _ in block], to_arrow_type(queries.schema["query_id"].dataType)), np.array([v for _, v in block], dtype=float)
+        return rows.mapInArrow(lambda batches: (b.rename_columns(["query_id", key, "dist"]) for b in _nearest(batches, ids, q, k)), schema)
+
+    for r in queries.select("query_id", embedding).toLocalIterator():
+        if r[1] is None or any(x is None for x in r[1]):
+            continue
+        own = block.setdefault(len(r[1]), [])
+        own.append((r[0], r[1]))
+        if len(own) == QUERY_BLOCK:
+            best = best.unionByName(scan(block.pop(len(r[1]))))
+    for own in block.values():
+        best = best.unionByName(scan(own))
+    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", key))).where(F.col("rank") <= k)
+
+
+def fuse(dense: DataFrame, lexical: DataFrame, top_k: int = K_LIST, key: str = "id", constant: int = RRF, by: tuple[str, ...] = ()) -> DataFrame:
     """Reciprocal rank fusion of two ranked lists (key, rank, ...): (key, rrf_score, source, rank).
 
     A document in both lists is reported as 'bm25'. Ties keep the dense list's
-    order, then the lexical one's.
+    order, then the lexical one's. by parts the input into rankings of their
+    own; one that is in one list only is kept.
     """
+    if by:
+        both = dense.select(*by, key, F.col("rank").alias("d")).join(lexical.select(*by, key, F.col("rank").alias("l")), [*by, key], "full_outer")
+        scored = _rrf(both, key, constant, by)
+        place = F.row_number().over(W.partitionBy(*by).orderBy(F.desc("rrf_score"), "_place"))
+        return scored.withColumn("rank", place).where(F.col("rank") <= top_k).drop("_place")
     both = dense.select(key, F.col("rank").alias("d")).join(lexical.select(key, F.col("rank").alias("l")), key, "full_outer")
-    score = F.coalesce(1 / (F.lit(constant) + F.col("d")), F.lit(0.0)) + F.coalesce(1 / (F.lit(constant) + F.col("l")), F.lit(0.0))
-    scored = both.select(key, score.alias("rrf_score"), F.when(F.col("l").isNotNull(), "bm25").otherwise("dense").alias("source"), F.coalesce("d", F.lit(1_000_000) + F.col("l")).alias("_place"))
+    scored = _rrf(both, key, constant)
     best = scored.orderBy(F.desc("rrf_score"), "_place").limit(top_k)
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("rrf_score"), "_place"))).drop("_place")
 
 
+def _rrf(both: DataFrame, key: str, constant: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, key, rrf_score, source, _place) of joined ranks d and l."""
+    score = F.coalesce(1 / (F.lit(constant) + F.col("d")), F.lit(0.0)) + F.coalesce(1 / (F.lit(constant) + F.col("l")), F.lit(0.0))
+    source = F.when(F.col("l").isNotNull(), "bm25").otherwise("dense")
+    return both.select(*by, key, score.alias("rrf_score"), source.alias("source"), F.coalesce("d", F.lit(1_000_000) + F.col("l")).alias("_place"))
+
+
 def union_queries(lists: list[DataFrame]) -> DataFrame:
     """Passages of several queries with query_no; query order is kept."""
     out = None
@@ -119,3 +195,16 @@ def rerank(passages: DataFrame, query: str, top_k: int = K_FINAL, score: Callabl
     else:
         value = score(F.col(text), query)
     return passages.withColumn("rerank_score", value).orderBy(F.desc("rerank_score"), "rank").limit(top_k)
+
+
+def rerank_all(passages: DataFrame, queries: DataFrame, top_k: int = K_FINAL, text: str = "text") -> DataFrame:
+    """The passages that score best against each query (query_id, query), by the share of its tokens they hold.
+
+    Passages with a query_id are those of that query; without one, each query ranks all of them.
+    """
+    wanted = queries.select("query_id", F.array_distinct(tokenize(F.col("query"))).alias("_wanted"))
+    held = passages.withColumn("_tokens", F.array_distinct(tokenize(F.col(text))))
+    pairs = held.join(wanted, "query_id") if "query_id" in passages.columns else held.crossJoin(F.broadcast(wanted))
+    value = F.size(F.array_intersect("_tokens", "_wanted")) / F.greatest(F.size("_wanted"), F.lit(1))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank"))
+    return pairs.withColumn("rerank_score", value).drop("_tokens", "_wanted").withColumn("_n", place).where(F.col("_n") <= top_k).drop("_n")

@@ -60,6 +60,31 @@ def bm25_topk(spark, sf):
     return found.select("pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+_BM25_ALL = rf"""
+WITH t AS (SELECT doc_id AS pos, {SQL_TOKENS.format("text")} AS tk FROM documents),
+st AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM t),
+p AS (SELECT pos, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT pos, len(tk) AS dl, unnest(tk) AS term FROM t) GROUP BY ALL),
+d AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, st GROUP BY term, n),
+i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM d) ELSE raw END AS idf FROM d),
+qs AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 100 = 0),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({SQL_TOKENS.format("text")}) AS term FROM qs) GROUP BY ALL),
+s AS (SELECT query_id, p.pos, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN q USING (term) JOIN i USING (term), st GROUP BY ALL),
+b AS (SELECT qs.query_id, t.pos, round(coalesce(score, 0), 9) AS score FROM qs CROSS JOIN t LEFT JOIN s ON s.query_id = qs.query_id AND s.pos = t.pos),
+bm AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM b QUALIFY rank <= 30)
+"""
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, text) of every benchmark item whose id is divisible by 100, with its whole text."""
+    return table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
+
+
+@query(_BM25_ALL + "SELECT query_id, pos, round(score, 6) AS score, rank FROM bm")
+def bm25_topk_all(spark, sf):
+    found = lexical.search_all(lexical.build(corpus(spark, sf)), questions(spark, sf))
+    return found.select("query_id", "pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({SQL_TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term"
 )
@@ -85,6 +110,24 @@ def dense_knn(spark, sf):
     return found.select("pos", F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
 
 
+_KNN_ALL = """
+qv AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
+dist AS (SELECT query_id, vec_id AS pos, round(list_sum(list_transform(list_zip(embedding, e), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE))), 9) AS dist FROM embeddings, qv),
+kn AS (SELECT query_id, pos, dist, row_number() OVER (PARTITION BY query_id ORDER BY dist, pos) AS rank FROM dist QUALIFY rank <= 30)
+"""
+
+
+def _dense_all(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = table(spark, sf, "embeddings")
+    queries = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.dense_search_all(vectors.select(F.col("vec_id").alias("pos"), "embedding"), queries)
+
+
+@query(f"WITH {_KNN_ALL} SELECT query_id, pos, round(dist, 6) AS dist, rank FROM kn")
+def dense_knn_all(spark, sf):
+    return _dense_all(spark, sf).select("query_id", "pos", F.round("dist", 6).alias("dist"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     _BM25
     + ","
@@ -100,6 +143,20 @@ def rrf_hybrid(spark, sf):
     return fused.select("id", F.round("rrf_score", 9).alias("rrf_score"), "source", F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    _BM25_ALL
+    + ","
+    + _KNN_ALL
+    + """, f AS (SELECT coalesce(kn.query_id, bm.query_id) AS query_id, coalesce(kn.pos, bm.pos) AS id, coalesce(1 / (60 + kn.rank), 0) + coalesce(1 / (60 + bm.rank), 0) AS s,
+    CASE WHEN bm.pos IS NOT NULL THEN 'bm25' ELSE 'dense' END AS source, coalesce(kn.rank, 1000000 + bm.rank) AS place FROM kn FULL JOIN bm ON kn.query_id = bm.query_id AND kn.pos = bm.pos)
+SELECT query_id, id, round(s, 9) AS rrf_score, source, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, place) AS rank FROM f QUALIFY rank <= 50"""
+)
+def rrf_hybrid_all(spark, sf):
+    found = lexical.search_all(lexical.build(corpus(spark, sf)), questions(spark, sf))
+    fused = retrieval.fuse(_dense_all(spark, sf).withColumnRenamed("pos", "id"), found.withColumnRenamed("pos", "id"), top_k=retrieval.K_FUSED, by=("query_id",))
+    return fused.select("query_id", "id", F.round("rrf_score", 9).alias("rrf_score"), "source", F.col("rank").cast("long").alias("rank"))
+
+
 @query(
     """WITH u AS (SELECT 0 AS query_no, doc_id AS rank, text FROM documents UNION ALL SELECT 1, doc_id, text FROM documents WHERE lang = 'en' UNION ALL SELECT 2, item_id, text FROM benchmark),
 d AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY query_no, rank) AS n FROM u) SELECT query_no, rank, md5(text) AS text_md5 FROM d WHERE n = 1"""
@@ -300,4 +357,5 @@ def embed_hash(spark, sf):
 @query()
 def rerank_top7(spark, sf):
     ranked = table(spark, sf, "documents").select(F.col("doc_id").alias("rank"), "text")
-    return retrieval.rerank(ranked, question(spark, sf)).select("rank", F.round("rerank_score", 6).alias("rerank_score"))
+    found = retrieval.rerank_all(ranked, questions(spark, sf).withColumnRenamed("text", "query"))
+    return found.select("query_id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
