@@ -1,11 +1,14 @@
 """Retrieval, interval, ingest and source operators: goldens, models and the registry against DuckDB."""
 
 import glob
+import hashlib
+import html
 import http.server
 import io
 import json
 import os
 import random
+import re
 import threading
 import zipfile
 
@@ -54,6 +57,15 @@ def test_tokens(spark):
     assert value(spark, text.clean_html(F.lit("a<BR/>b &auml; <i>c</i>"))) == "a b ä c"
 
 
+def test_html_strip_resolves_all_entities(spark, tmp_path):
+    pages = ["<p>a &lt;b&gt;&nbsp;&auml;</p>", "&#229;&#x20AC; &amp;lt; &hellip;", "&quot;x&quot;&copy;&middot;&amp;", None]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["text_md5"] for r in registry.QUERIES["html_strip"](spark, str(tmp_path)).collect()}
+    plain = ["a <b>\u00a0ä", "å€ &lt; …", '"x"©·&']
+    assert got == {i: hashlib.md5(" ".join(t.split()).encode()).hexdigest() for i, t in enumerate(plain)} | {3: None}
+    assert [html.unescape(re.sub("<[^>]+>", "", p)) for p in pages[:3]] == plain
+
+
 @pytest.mark.parametrize("got,expected", [("9 kHz", 0.009), ("3,5", 3.5), ("2 GHz", 2000.0)])
 def test_frequencies(spark, got, expected):
     assert value(spark, numbers.parse_frequency(F.lit(got))) == pytest.approx(expected)

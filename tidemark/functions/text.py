@@ -63,13 +63,6 @@ def html_unescape(c: Column) -> Column:
     return run(c)
 
 
-def unescape_basic(c: Column) -> Column:
-    """The entities &amp; &quot; &copy; &middot; without Python; &amp; last."""
-    for coded, plain in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(coded), F.lit(plain))
-    return c
-
-
 def clean_html(c: Column, unescape=html_unescape) -> Column:
     """Line breaks kept, tags removed, entities resolved, white space squeezed."""
     return squeeze(unescape(strip_tags(break_lines(c))))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import parse_band, parse_edges
-from tidemark.functions.text import clean_html, first_column, header_name, is_good_text, row_text, shorten, squeeze, strip, strip_tags, unescape_basic, words
+from tidemark.functions.text import clean_html, first_column, header_name, is_good_text, row_text, shorten, squeeze, strip, strip_tags, words
 
 #: Words of a packed block, and characters of an item at least.
 PACK_WORDS, MIN_CHARS = 200, 5
@@ -151,5 +151,5 @@ def pack(df: DataFrame, most: int = PACK_WORDS, by: str = "source", order: str =
 
 
 def html_text(c: Column) -> Column:
-    """Text of a page with the basic entities, all in the JVM."""
-    return clean_html(c, unescape_basic)
+    """Text of a page with all entities resolved."""
+    return clean_html(c)
