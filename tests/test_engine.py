@@ -121,6 +121,11 @@ def test_registered_searches_take_every_query_row(spark):
     assert got["rrf_hybrid_all"] == expected["embeddings"] | expected["benchmark"]
 
 
+def test_embed_hash_has_the_default_length(spark):
+    lengths = registry.QUERIES["embed_hash"](spark, SF).select(F.size("embedding")).distinct().collect()
+    assert [r[0] for r in lengths] == [retrieval.DIMS]
+
+
 def test_context_budget(spark):
     def kept(sizes):
         d = spark.createDataFrame([(i, "x" * n) for i, n in enumerate(sizes)], "rank int, text string")

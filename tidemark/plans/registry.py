@@ -351,7 +351,7 @@ def chunk_text(spark, sf):
 
 @query()
 def embed_hash(spark, sf):
-    return retrieval.embed(table(spark, sf, "documents").select("doc_id", "text"), dims=64).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    return retrieval.embed(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
 
 
 @query()
