@@ -28,8 +28,6 @@ PROFILE = 300
 MAX_N = 3
 #: At most so many documents of each language are learned from.
 TRAIN_ROWS = 2000
-#: Languages up to which counts and chosen keys are broadcast.
-FEW_LANGUAGES = 50
 UNKNOWN = "und"
 
 _BITS, _MARK = 21, 1
@@ -115,33 +113,32 @@ class Profiles:
         return self.languages[best], 1.0 - float(distance[best]) / (self.size * len(own))
 
 
-def training_rows(labelled: DataFrame, lang: str, key: str, limit: int) -> tuple[DataFrame, bool]:
-    """At most limit rows of each language, those with the smallest hash of their key, and whether they may be broadcast.
+def training_rows(labelled: DataFrame, text: str, lang: str, key: str, limit: int) -> DataFrame:
+    """(lang, text) of at most limit different rows (key, text) of each language, those with the smallest hash.
 
-    A threshold on the hash, from the language's count, leaves about twice the
-    rows that are wanted before the window ranks them, so that the window sees
-    a bounded number of rows however many a language has. With few languages
-    (the usual case) both the counts and the chosen rows are small for sure.
+    A threshold on the hash, from an estimate of how many different rows a
+    language has, leaves about twice the rows that are wanted. So the rows that
+    move are bounded by limit and languages, however many rows a language or a
+    key has; equal rows are combined before they move.
     """
-    counts = labelled.groupBy(lang).agg(F.count("*").alias("_n"))
-    few_languages = len(counts.limit(FEW_LANGUAGES + 1).collect()) <= FEW_LANGUAGES
-    counts = F.broadcast(counts) if few_languages else counts
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    few = labelled.withColumn("_place", place).join(counts, lang).where(F.col("_place") * F.col("_n") <= 2 * limit + 100)
-    order = W.partitionBy(lang).orderBy("_place", key)
-    return few.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= limit), few_languages
+    place = F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(1 << 40))
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), place.alias("_place"))
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("_place", 0.02).alias("_n")).select(F.col("lang").alias("_lang"), "_n")
+    few = rows.join(sizes, F.col("lang") == F.col("_lang")).where(F.col("_place") * F.col("_n") <= F.lit(float(1 << 40)) * (2 * limit + 100))
+    once = few.groupBy("lang", "_place").agg(F.first("text").alias("text"))
+    order = W.partitionBy("lang").orderBy("_place")
+    return once.withColumn("_row", F.row_number().over(order)).where(F.col("_row") <= limit).select("lang", "text")
 
 
 def learn_profiles(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", size: int = PROFILE, limit: int = TRAIN_ROWS) -> Profiles:
     """Profiles of the languages in labelled rows; rows without language or text teach nothing.
 
     Learns from a bounded sample of rows per language (limit), of whole texts.
+    Rows that share a key and differ in text are different rows; equal rows
+    teach once. The driver gets size n-grams a language.
     """
     labelled = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    chosen, small = training_rows(labelled.select(key, lang), lang, key, limit)
-    chosen = chosen.select(key, lang).distinct()
-    chosen = F.broadcast(chosen) if small else chosen
-    rows = labelled.select(key, lang, text).join(chosen, [key, lang], "left_semi").select(lang, text)
+    rows = training_rows(labelled, text, lang, key, limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -196,7 +193,7 @@ def learned_languages(documents: DataFrame) -> Profiles:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Language of every document."""
+    """Language of every document. A document without id is not held out, and teaches nothing."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(documents.select("doc_id", "text"), learned_languages(documents))
-    return found.select("doc_id", (split_of("doc_id", PARTS) == HELD_OUT).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
+    return found.select("doc_id", F.coalesce(split_of("doc_id", PARTS) == HELD_OUT, F.lit(False)).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_lang_score").alias("score"))
