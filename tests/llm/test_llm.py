@@ -264,3 +264,95 @@ def test_pipeline_stages_match_the_operators(spark):
     one = corpus_pipeline.keep_one_of_each_group(spark, docs_.unionByName(docs_), sf)
     assert sorted(r["doc_id"] for r in one.collect()) == [r["doc_id"] for i, r in enumerate(rows) if root[i] == i]
     assert corpus_pipeline.keep_identified(spark, docs_, sf).count() == docs_.count()
+
+
+def test_url_rules_on_awkward_tables(spark):
+    rules = [url_filter.Rule("b.a", "/x", "block"), url_filter.Rule("a", "/x/y", "allow"), url_filter.Rule("B.A", "/x", "allow"), url_filter.Rule("", "/", "block")]
+    urls = ["h://c.b.a/x/y", "h://b.a/x", "h://a/x", "h://xb.a/x", "h:///q", "h://a./q", "h://" + "l." * 20_000 + "b.a/x", None]
+    d = spark.createDataFrame([(i, u, "v", "h", 1, 2) for i, u in enumerate(urls)], "page_id long, url string, _verdict string, _host string, _m0 int, _best int")
+    expected = ["b.a/x", "b.a/x", None, None, "/", "/", "b.a/x", None]
+    expected[0] = "b.a/x"  # as long as a/x/y, and its host is longer
+    for shapes in (24, 0):
+        url_filter.SHAPES, before = shapes, url_filter.SHAPES
+        try:
+            got = url_filter.judge_urls(d, rules).orderBy("page_id")
+            assert got.columns == ["page_id", "url", "_host", "_path", "_rule", "_verdict"]
+            rows = got.collect()
+            assert [r["_rule"] for r in rows] == expected
+            assert [r["_verdict"] for r in rows] == ["allow" if e is None else "block" for e in expected]
+            assert url_filter.judge_urls(d.limit(0), rules).count() == 0
+        finally:
+            url_filter.SHAPES = before
+    assert url_filter.judge_urls(d, []).where("_rule IS NULL AND _verdict = 'allow'").count() == len(urls)
+    plan = url_filter.judge_urls(d, rules)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in plan
+
+
+def test_languages_with_repeated_ids(spark):
+    rows = [(0, f"der hund und die katze nummer {'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}", "de") for i in range(400)] * 5
+    rows += [(i, f"the cat and the dog number {'abcdefghij'[i % 10]}", "en") for i in range(60)] + [(None, "le chien", "fr")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    taught = language_id.training_rows(d, "text", "lang", "doc_id", 50).collect()
+    count = {}
+    for r in taught:
+        count[r["lang"]] = count.get(r["lang"], 0) + 1
+    assert count == {"de": 50, "en": 50, "fr": 1} and len({tuple(r) for r in taught if r["lang"] == "de"}) == 50
+    assert language_id.learn_profiles(d, limit=50).predict("der hund")[0] == "de"
+    clash = docs(spark, ODD).withColumn("_lang_pred", F.lit(1)).limit(3)
+    assert language_id.identify(clash, language_id.Profiles({})).columns == ["doc_id", "text", "lang", "source", "_lang_pred", "_lang_score"]
+
+
+def model_languages(rows, size=300):
+    """Profiles and predictions as plain Python: {doc_id: (language, score)}."""
+    import zlib
+    from collections import Counter
+
+    def grams(t):
+        found = Counter()
+        for w in "".join(c if c.isalpha() else " " for c in t).split():
+            low = [c.lower() if len(c.lower()) == 1 else c for c in w]
+            padded = ["\x01", *low, "\x01"]
+            found.update(tuple(low[i : i + 1]) for i in range(len(low)))
+            found.update(tuple(padded[i : i + 2]) for i in range(len(padded) - 1))
+            found.update(tuple(padded[i : i + 3]) for i in range(len(padded) - 2))
+        return found
+
+    def best(found):
+        def packed(g):
+            n = 0
+            for c in g:
+                n = n << 21 | ord(c)
+            return n
+
+        return sorted(found, key=lambda g: (-found[g], packed(g)))[:size]
+
+    learned = {}
+    for i, t, lang in {r for r in rows if r[2] is not None and r[1] is not None}:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            learned.setdefault(lang, Counter()).update(grams(t))
+    ranks = {lang: {g: n for n, g in enumerate(best(c))} for lang, c in learned.items()}
+    out = {}
+    for i, t, _ in rows:
+        own = best(grams(t or ""))
+        if not own:
+            out[i] = ("und", 0.0)
+            continue
+        distance = {lang: sum(abs(r[g] - n) if g in r else size for n, g in enumerate(own)) for lang, r in ranks.items()}
+        lang = min(sorted(distance), key=distance.get)
+        out[i] = (lang, 1 - distance[lang] / (size * len(own)))
+    return out
+
+
+def test_op6_equals_a_plain_model(spark):
+    import zlib
+
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    expected = model_languages(rows)
+    got = language_id.op6_language_id(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert (r["lang_pred"], round(r["score"], 9)) == (expected[r["doc_id"]][0], round(expected[r["doc_id"]][1], 9))
+    true = {i: lang for i, _, lang in rows if lang}
+    held = [r for r in got if r["held_out"] and r["doc_id"] in true and r["lang_pred"] != "und"]
+    assert sum(r["lang_pred"] == true[r["doc_id"]] for r in held) >= 0.95 * len(held)
