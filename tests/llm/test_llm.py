@@ -356,3 +356,54 @@ def test_op6_equals_a_plain_model(spark):
     true = {i: lang for i, _, lang in rows if lang}
     held = [r for r in got if r["held_out"] and r["doc_id"] in true and r["lang_pred"] != "und"]
     assert sum(r["lang_pred"] == true[r["doc_id"]] for r in held) >= 0.95 * len(held)
+
+
+def test_bpe_without_spaces(spark):
+    codec = bpe_codec.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rnd = random.Random(55)
+    han = "".join(chr(rnd.randint(0x4E00, 0x9FFF)) for _ in range(30_000))
+    for t in (han, "ab" * 20_000, " " * 20_000, "\n " * 9_000, "x" * 9_000 + " " + han[:9_000] + " so \x1c\x1f! " * 900):
+        ids = codec.encode(t)
+        assert ids == codec.coder.encode_ordinary(t) and codec.decode(ids) == t.encode()
+    done = []
+    small = bpe_codec.TreeCodec.__new__(bpe_codec.TreeCodec)
+    small.__dict__.update(codec.__dict__)
+    small.coder = type("Counting", (), {"_encode_single_piece": lambda _, b: done.append(len(b)) or codec.coder._encode_single_piece(b), "decode_bytes": codec.coder.decode_bytes})()
+    small.encode(han)
+    assert sum(done) < 2 * len(han.encode())  # not once a level
+    for leaf, window, reach in ((1, 1, 1), (3, 2, 2), (7, 5, 9)):
+        small.__dict__.update(codec.__dict__ | {"leaf": leaf, "window": window, "reach": reach})
+        for _ in range(300):
+            s = "".join(rnd.choice("ab'l 1 \n\t\x1c\x85é漢🙂.,   sS") for _ in range(rnd.randint(0, 90)))
+            assert small.encode(s) == codec.coder.encode_ordinary(s)
+
+
+def test_op5_equals_the_library(spark):
+    coder = bpe_codec.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).coder
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = bpe_codec.op5_bpe_codec(spark, "/root/testdata/sf0.001").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = coder.encode_ordinary(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    none = docs(spark, ["a"]).limit(0).withColumn("n_tokens", F.lit(1))
+    assert bpe_codec.encode_documents(none, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, keep=("lang", "n_tokens")).columns == ["doc_id", "lang", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+
+
+def test_op8_equals_the_library(spark):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+    expected = {i: (len(t.encode()), n := len(library.encode(t)), n > 4096) for i, t in texts.items()}
+    for split in (token_count.SPLIT, 500):
+        got = token_count.count_tokens(table, path, split=split).collect()
+        assert len(got) == len(expected) and {r["doc_id"]: (r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got} == expected
+    rnd = random.Random(88)
+    odd = ["".join(rnd.choice("ab  ▁\n<s>é漢🙂12.") for _ in range(n)) for n in (0, 1, 9, 10, 11, 200, 977)] + ["漢" * 100, " " * 50, None]
+    got = token_count.count_tokens(docs(spark, odd).withColumn("n_tokens", F.lit(1)), path, split=10).orderBy("doc_id").collect()
+    assert [r["n_tokens"] for r in got] == [len(library.encode(t or "")) for t in odd]
+    assert token_count.count_tokens(docs(spark, odd).limit(0), path).count() == 0

@@ -14,7 +14,11 @@ No piece has a word mark after another character, so after a word mark that
 ends a word all histories fall together in one state. Hence the map of a
 chunk from entry states to (exit state, count) is a short head, which depends
 on the entry state, and a count that does not. Chunk maps compose
-associatively; a long text is the scan of its chunks' maps.
+associatively; a long text is the scan of its chunks' maps. Texts of more than
+SPLIT characters are dealt to tasks as such chunks: the maps are made in
+parallel, and what is composed afterwards is their heads and exits, a word or
+so each. (In a text without any word's end a chunk is all head; it is then
+read in order by the composing task.)
 
 States are compiled when they are first reached and kept per worker, up to a
 bound, beyond which the table is emptied and compiled anew.
@@ -22,11 +26,13 @@ bound, beyond which the table is emptied and compiled anew.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_rows, texts
 
@@ -34,6 +40,8 @@ from tidemark.llm.common import map_rows, texts
 MARK = "▁"
 #: Characters of a chunk.
 CHUNK = 16_384
+#: Characters above which a text's chunks, of this size, are dealt to tasks.
+SPLIT = 1 << 20
 #: Compiled transitions kept by a worker.
 MAX_TRANSITIONS = 800_000
 #: Tokens of a text over which it counts as too long.
@@ -191,29 +199,76 @@ def load(path: str) -> TokenTransducer:
     return TokenTransducer({p.piece: p.score for p in model.pieces if p.type == 1}, model.trainer_spec.byte_fallback)
 
 
-def count_tokens(documents: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", limit: int = LIMIT) -> DataFrame:
+def _packed(state: _State | None) -> str | None:
+    return None if state is None else json.dumps(state.items_)
+
+
+def _unpacked(fst: TokenTransducer, packed: str | None) -> _State | None:
+    return None if packed is None else fst.state(tuple(map(tuple, json.loads(packed))))
+
+
+def _counted(columns: list, n_bytes: list[int], n_tokens: list[int], limit: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*columns, pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())], ["key", "n_bytes", "n_tokens", "over_limit"])
+
+
+def _count_long(rows: DataFrame, model_path: str, schema: str, key_type: str, limit: int, split: int) -> DataFrame:
+    """Counts of long texts (key, text): their chunks' maps in parallel, then the scan over each text's maps."""
+    starts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / split).cast("int"))
+    chunks = rows.withColumn("r", F.monotonically_increasing_id()).select("r", "key", F.posexplode(F.transform(starts, lambda i: F.substring("text", i * split + 1, F.lit(split)))).alias("i", "chunk"))
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fst = load(model_path)
+        for batch in batches:
+            out = []
+            for i, chunk in zip(batch.column(2), texts(batch.column(3))):
+                head, n, state = fst.chunk_map(MARK * (i.as_py() == 0) + chunk.replace(" ", MARK))
+                out.append((len(chunk.encode("utf-8", "surrogatepass")), head, n, _packed(state)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.string())))], ["r", "key", "i", "n_bytes", "head", "n", "state"])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Maps come by text and place; only the state reached so far is held."""
+        fst, now = load(model_path), None
+        for batch in batches:
+            done = []
+            for k, row in enumerate(batch.select(["r", "n_bytes", "head", "n", "state"]).to_pylist()):
+                if now is None or row["r"] != now[0]:
+                    if now is not None:
+                        done.append(now)
+                    now = [row["r"], batch.column(1).slice(k, 1), 0, 0, fst.start]
+                state, n = fst.run(now[4], row["head"])
+                now[2] += row["n_bytes"]
+                now[3] += n + row["n"]
+                now[4] = state if row["state"] is None else _unpacked(fst, row["state"])
+            if done:
+                yield _counted([pa.concat_arrays([d[1] for d in done])], [d[2] for d in done], [d[3] for d in done], limit)
+        if now is not None:
+            yield _counted([now[1]], [now[2]], [now[3]], limit)
+
+    mapped = map_rows(chunks.repartition("r", "i"), maps, f"r long, key {key_type}, i int, n_bytes long, head string, n long, state string")
+    return map_rows(mapped.repartition("r").sortWithinPartitions("r", "i"), scan, schema)
+
+
+def count_tokens(documents: DataFrame, model_path: str, text: str = "text", key: str = "doc_id", limit: int = LIMIT, split: int = SPLIT) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) per row.
 
     Null texts count as empty: 0 bytes, 0 tokens. Texts are counted whole,
-    whatever their length. Repeated rows give repeated results; other columns
-    are ignored. model_path must be readable on the executors.
+    whatever their length; those of more than split characters by several
+    tasks. Repeated rows give repeated results; other columns are ignored. No
+    rows give none. model_path must be readable on the executors.
     """
     key_type = documents.select(key).schema[0].dataType.simpleString()
+    schema = f"key {key_type}, n_bytes long, n_tokens long, over_limit boolean"
+    rows = documents.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = load(model_path)
         for batch in batches:
-            n_bytes, n_tokens = [], []
-            for t in texts(batch.column(1)):
-                t = t or ""
-                n_bytes.append(len(t.encode("utf-8", "surrogatepass")))
-                n_tokens.append(fst.count(MARK + t.replace(" ", MARK)) if t else 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array([n > limit for n in n_tokens], pa.bool_())],
-                [key, "n_bytes", "n_tokens", "over_limit"],
-            )
-
-    return map_rows(documents.select(key, text), count, f"`{key}` {key_type}, n_bytes long, n_tokens long, over_limit boolean")
+            own = list(texts(batch.column(1)))
+            yield _counted([batch.column(0)], [len(t.encode("utf-8", "surrogatepass")) for t in own], [fst.count(MARK + t.replace(" ", MARK)) if t else 0 for t in own], limit)
+
+    long = F.length("text") > split
+    counted = map_rows(rows.where(~long), count, schema).unionByName(_count_long(rows.where(long), model_path, schema, key_type, limit, split))
+    return counted.withColumnRenamed("key", key)
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
