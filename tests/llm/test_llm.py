@@ -407,3 +407,28 @@ def test_op8_equals_the_library(spark):
     got = token_count.count_tokens(docs(spark, odd).withColumn("n_tokens", F.lit(1)), path, split=10).orderBy("doc_id").collect()
     assert [r["n_tokens"] for r in got] == [len(library.encode(t or "")) for t in odd]
     assert token_count.count_tokens(docs(spark, odd).limit(0), path).count() == 0
+
+
+def test_warc_moves_no_payloads(spark):
+    rnd = random.Random(7)
+    bodies = [f"page {rnd.random()} " * rnd.randint(1, 9) for _ in range(400)]
+    pages = [(i, f"http://h/{i}", rnd.choice(bodies) if i % 3 else "hot") for i in range(3000)] + [(None, None, "hot"), (None, "n", "own"), (5000, "x", "y" * 3_000_000), (5001, "x", "y" * 3_000_000)]
+    d = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    first, expected = {}, set()
+    for i, _, html in pages:
+        first[html] = min(first.get(html, 1 << 60), 1 << 60 if i is None else i)
+    for i, _, html in pages:
+        other = None if first[html] in (i, 1 << 60) else first[html]
+        expected.add((i, len(html), base64.b32encode(hashlib.sha1(html.encode()).digest()).decode(), "response" if other is None else "revisit", other))
+    rows = warc.payloads(d)
+    revisits = warc.find_revisits(rows)
+    for bits in (64, warc.BLOOM_BITS):  # a filter that takes everything for a revisit, and the usual one
+        path = shared_path(spark, "warc")
+        warc.write_archives(d, path, bloom_bits=bits, block=100)
+        got = warc.read_pages(spark, path).collect()
+        assert len(got) == len(pages) and {tuple(r) for r in got} == expected
+        plan = warc.responses(rows, revisits, bits, block=10_000)._jdf.queryExecution().executedPlan().toString()
+        assert not any("Exchange" in line for line in plan.splitlines() if "payload" in line) and "SortMergeJoin" not in plan
+    path = shared_path(spark, "warc")
+    warc.write_archives(d.limit(0), path)
+    assert warc.read_pages(spark, path).count() == 0

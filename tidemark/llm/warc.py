@@ -1,12 +1,19 @@
 """WARC archives with revisit resolution.
 
-Only headers are shuffled by payload digest: they tell each digest's original,
-the record with the smallest id. Every later record of that digest becomes a
-revisit record that refers to it and carries no payload. Records are written
-with fresh headers through Spark's text sink, so files go to any store that
-Spark knows and are committed per task, and a lost executor's files are
-written again. Archives are read with the binary-file source; revisit records
-meet their originals in a join on the record id.
+Only headers (page id, URL, payload digest) are shuffled by digest: they tell
+each digest's original, the record with the smallest id. Every later record of
+that digest becomes a revisit record that refers to it; it is written from its
+header alone. Payloads are never shuffled: responses are written by the tasks
+that read them. Which rows are responses they learn from a Bloom filter of
+the revisits, of bounded size; the few responses that it takes for revisits are
+found exactly from the headers, and their keys are broadcast in blocks.
+
+Records are written with fresh headers through Spark's text sink, so files go
+to any store that Spark knows and are committed per task, and a lost
+executor's files are written again. A file holds what one task reads, and
+RECORDS_PER_FILE records at most, as one gzip stream. Archives are read with
+the binary-file source; revisit records meet their originals in a join on the
+record id.
 """
 
 from __future__ import annotations
@@ -21,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows
-from tidemark.session import shared_path
+from tidemark.llm.common import BLOOM_BITS, bloom_of, map_rows
+from tidemark.session import cut, shared_path
 
 #: Payloads of fewer bytes are never made revisits.
 MIN_PAYLOAD = 0
 #: Records of a file at most; keeps an archive small enough for one task.
 RECORDS_PER_FILE = 10_000
+#: Keys of responses that the filter takes for revisits, broadcast at a time.
+KEY_BLOCK = 200_000
 DATE = "2024-01-01T00:00:00Z"
 CRLF = "\r\n"
 HTTP = f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}{CRLF}"
@@ -41,33 +50,50 @@ def base32_sha1(text: Column) -> Column:
     return F.translate(F.concat(*digits), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def resolve(pages: DataFrame, min_payload: int = MIN_PAYLOAD, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """(page_id, url, payload, digest, record_type, refers_to, refers_url) per page.
+def payloads(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """(page_id, url, payload, digest, h) per page; h is a hash of (page_id, digest). A null payload is empty."""
+    rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
+    rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
+    return rows.withColumn("h", F.xxhash64(F.col("page_id").isNull(), "page_id", "digest"))
+
+
+def find_revisits(rows: DataFrame, min_payload: int = MIN_PAYLOAD) -> DataFrame:
+    """(page_id, url, digest, h, refers_to, refers_url) of the payloads' rows that revisit another; payloads do not move.
 
-    A null payload is empty. Rows that share the smallest id of a digest are
-    all responses; a null id is a response only if its digest has no other.
+    Rows that share the smallest id of a digest are all responses; a null id
+    is a response only if its digest has no other.
     """
-    rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload")))
-    eligible = F.octet_length("payload") >= min_payload
+    headers = rows.where(F.octet_length("payload") >= min_payload).select("page_id", "url", "digest", "h")
     # Partial aggregation leaves one row per digest and task, also for a digest of a third of all rows.
     originals = (
-        rows.where(eligible)
-        .groupBy("digest")
+        headers.groupBy("digest")
         .agg(F.min("page_id").alias("refers_to"), F.min_by("url", "page_id").alias("refers_url"), F.count("*").alias("_n"))
         .where("_n > 1 AND refers_to IS NOT NULL")
         .select("digest", "refers_to", "refers_url")
     )
-    revisit = eligible & F.col("refers_to").isNotNull() & ~F.col("refers_to").eqNullSafe(F.col("page_id"))
-    return rows.join(originals, "digest", "left").select(
-        "page_id",
-        "url",
-        "payload",
-        "digest",
-        F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("refers_to")).alias("refers_to"),
-        F.when(revisit, F.col("refers_url")).alias("refers_url"),
-    )
+    return headers.join(originals, "digest").where(~F.col("refers_to").eqNullSafe(F.col("page_id")))
+
+
+def responses(rows: DataFrame, revisits: DataFrame, bloom_bits: int = BLOOM_BITS, block: int = KEY_BLOCK) -> DataFrame:
+    """The payloads' rows that are no revisits, (page_id, url, payload, digest), each in the task that reads it."""
+    seen = bloom_of(revisits.select("h"), bloom_bits)
+
+    def keep(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(seen.has(batch.column(0).to_numpy(zero_copy_only=False)) == wanted))
+
+        return run
+
+    out = map_rows(rows.select("h", "page_id", "url", "payload", "digest"), keep(False), "h long, page_id long, url string, payload string, digest string").drop("h")
+    keys = map_rows(rows.select("h", "page_id", "digest"), keep(True), "h long, page_id long, digest string").select("page_id", "digest").distinct()
+    same = lambda a, b: F.col(f"{a}.page_id").eqNullSafe(F.col(f"{b}.page_id")) & (F.col(f"{a}.digest") == F.col(f"{b}.digest"))
+    mistaken = cut(keys.alias("k").join(revisits.select("page_id", "digest").alias("v"), same("k", "v"), "left_anti"))
+    parts = -(-mistaken.count() // block)
+    for i in range(parts):
+        few = F.broadcast(mistaken.where(F.pmod(F.xxhash64("digest", "page_id"), F.lit(parts)) == i))
+        out = out.unionByName(rows.select("page_id", "url", "payload", "digest").alias("r").join(few.alias("k"), same("r", "k"), "left_semi"))
+    return out
 
 
 def record_id(page_id: Column, digest: Column) -> Column:
@@ -101,9 +127,13 @@ def record(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(head, F.lit(CRLF), block).alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, **columns: str) -> None:
-    """Writes gzip-compressed archives of all pages below path."""
-    writer = record(resolve(pages, min_payload, **columns)).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE)
+def write_archives(pages: DataFrame, path: str, min_payload: int = MIN_PAYLOAD, bloom_bits: int = BLOOM_BITS, block: int = KEY_BLOCK, **columns: str) -> None:
+    """Writes gzip-compressed archives of all pages below path. No pages give no records."""
+    rows = payloads(pages, **columns)
+    revisits = cut(find_revisits(rows, min_payload))
+    first = responses(rows, revisits, bloom_bits, block).withColumns({"record_type": F.lit("response"), "refers_to": F.lit(None).cast("long"), "refers_url": F.lit(None).cast("string")})
+    later = revisits.drop("h").withColumns({"record_type": F.lit("revisit"), "payload": F.lit(None).cast("string")})
+    writer = record(first.unionByName(later)).write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE)
     writer.text(path)
 
 
