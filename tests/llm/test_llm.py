@@ -432,3 +432,57 @@ def test_warc_moves_no_payloads(spark):
     path = shared_path(spark, "warc")
     warc.write_archives(d.limit(0), path)
     assert warc.read_pages(spark, path).count() == 0
+
+
+def test_label_model_beats_flipped_labels():
+    import numpy as np
+
+    rnd = np.random.default_rng(11)
+    truth = rnd.random(3000) < 0.3
+    label = truth ^ (rnd.random(3000) < 0.1)
+    fires = lambda p1, p0: rnd.random(3000) < np.where(truth, p1, p0)
+    votes = [fires(0.7, 0.1), fires(0.6, 0.05), fires(0.8, 0.3), fires(0.5, 0.02)]
+    votes += [votes[0] ^ (rnd.random(3000) < 0.02) for _ in range(4)]  # four echoes of one voter
+    found = toxicity.label_model(np.stack([*votes, label], axis=1).astype(np.float32))
+    right = lambda p: (p == truth).mean()
+    assert right(found.posterior >= 0.5) > right(label) + 0.02
+    assert abs(found.rates[1, 3] - 0.5) < 0.05 and abs(found.rates[0, 3] - 0.02) < 0.02  # accuracies
+    assert abs(found.rates[1, -1] - 0.9) < 0.04 and abs(found.rates[0, -1] - 0.1) < 0.04  # that of the label too
+    echoes = [0, 4, 5, 6, 7]
+    assert sum(found.parents[i] in echoes for i in echoes) == 4 and all(found.weight[i] < 0.5 for i in echoes if found.parents[i] >= 0)
+    assert found.parents[-1] == -1 and not (found.parents == len(votes)).any()
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rnd = random.Random(12)
+    d = spark.createDataFrame([(0, f"text {i} of the hot id") for i in range(500)] + [(i, "one text of many ids") for i in range(1, 300)] + [(i, sentence(rnd, 30)) for i in range(300, 340)] + [(900, None), (None, "x")], "doc_id long, text string")
+    y = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(0, 5000)] + [(0, 0)], "doc_id long, toxic int")
+    few = toxicity.training_sample(d, y, "doc_id", "text", "toxic", 100).collect()
+    assert len(few) <= 100
+    every = toxicity.training_sample(d, y, "doc_id", "text", "toxic", 10_000).collect()
+    assert len(every) == 541 and len({r["h"] for r in every}) == 541  # keys without a text take no place, equal texts are one
+    base = sentence(rnd, 200).split()
+    near = [" ".join(base), " ".join([*base[:-1], "other"]), " ".join(base[:100] + sentence(rnd, 100).split()), sentence(rnd, 200)]
+    rows = spark.createDataFrame([(h, t, 0) for h, t in enumerate(near)] + [(9, near[0], 1)], "h long, text string, y int")
+    assert toxicity.keep_one_of_copies(rows) == [0, 2, 3, 9]  # a copy goes; half a copy and one of the other label stay
+
+
+def test_op1_rows(spark):
+    import zlib
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = toxicity.op1_toxicity(spark, sf).collect()
+    score = toxicity.learned_model(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")).scorer()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert 0 <= r["score"] <= 1 and r["score"] == pytest.approx(score(texts[r["doc_id"]])) and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "a text", "en", "s", 6), (1, None, None, None, None)], DOC + ", n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for query, held in ((toxicity.op1_toxicity, 5), (language_id.op6_language_id, 3)):
+        got = {r["doc_id"]: r["held_out"] for r in query(spark, str(tmp_path)).collect()}
+        assert got[None] is False and got[1] is not None, held
