@@ -55,8 +55,8 @@ def test_decontamination_equals_brute_force(spark):
     texts = ODD + [" ".join(rnd.choice(vocabulary) for _ in range(40)) for _ in range(20)] + [items[6][1].upper() + " tail"]
     held = [(str(i), t or "") for i, t in items]
     table = spark.createDataFrame(items, "item_id long, text string")
-    for block in (10_000, 60):
-        got = decontaminate.find_leaks(docs(spark, texts), table, block_chars=block).orderBy("doc_id").collect()
+    for bits in (decontaminate.BLOOM_BITS, 64):
+        got = decontaminate.find_leaks(docs(spark, texts), table, bloom_bits=bits).orderBy("doc_id").collect()
         for t, r in zip(texts, got):
             n, hit, ids = decontaminate.brute_force(t, held)
             assert (r["_n_words"], sum(s["end"] - s["begin"] for s in r["_spans"]), r["_items"]) == (n, hit, ids)
@@ -486,3 +486,26 @@ def test_null_ids_are_not_held_out(spark, tmp_path):
     for query, held in ((toxicity.op1_toxicity, 5), (language_id.op6_language_id, 3)):
         got = {r["doc_id"]: r["held_out"] for r in query(spark, str(tmp_path)).collect()}
         assert got[None] is False and got[1] is not None, held
+
+
+def test_decontamination_moves_no_texts(spark):
+    items = spark.createDataFrame([(i, sentence(random.Random(i), 30)) for i in range(40)], "item_id long, text string")
+    hit = items.where("item_id = 3").first()["text"]
+    d = spark.createDataFrame([(i, hit + " copy" if i % 3 else f"own {i}", "c") for i in range(300)], "doc_id long, text string, _spans string")
+    found = decontaminate.find_leaks(d, items)
+    assert found.columns == ["doc_id", "text", "_n_words", "_spans", "_items"]
+    assert all(r["_items"] == (["3"] if r["doc_id"] % 3 else []) and len(r["_spans"]) == (r["doc_id"] % 3 > 0) for r in found.collect())
+    plan = decontaminate.find_hits(d, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan  # what is moved was cut before, without texts
+    assert decontaminate.find_leaks(d.limit(0), items).count() == 0
+
+
+def test_op2_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    items = [(str(r["item_id"]), r["text"] or "") for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = decontaminate.op2_decontamination(spark, sf).collect()
+    assert len(got) == len(texts) and any(r["contaminated"] for r in got)
+    for r in got:
+        n, hit, ids = decontaminate.brute_force(texts[r["doc_id"]], items)
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n, hit, len(ids), decontaminate.items_digest(ids), hit > 0)

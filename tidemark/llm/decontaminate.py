@@ -1,16 +1,23 @@
 """Benchmark decontamination by a prefix-filtered containment join.
 
-Every benchmark item is cut into windows of WINDOW consecutive words (an item
-with fewer words is one window). A window is a set of word shingles with
-their places; to be contained, all its shingles must occur, so a prefix of
-one shingle is enough to find it: the rarest one. Windows are joined to
-documents on that shingle. The shingle's place in the window bounds where the
-window must begin (positional filter), and what is left of the document
-before and behind it must have room for the window (length filter). Then the
-words are compared.
-
-Benchmarks are dealt in blocks whose size is checked, so what a worker holds
-of them is bounded; every block is matched against all documents.
+1. Every benchmark item is cut into windows of WINDOW consecutive words (an
+   item with fewer words is one window). Equal windows are one.
+2. A window is a set of word shingles with their places. Shingles are ordered
+   by how rare they are in the whole benchmark. To be contained, all of a
+   window's shingles must occur, so a prefix of one is enough to find it: the
+   rarest.
+3. Documents give a row for each place at which such a prefix shingle may
+   stand, with the words around it. A Bloom filter of bounded size, made from
+   the prefix shingles, keeps all other places from moving.
+4. These rows and the windows meet in an equi-join on the shingle's hash. The
+   shingle's place in the window says where the window must begin: there must
+   be words before (positional bound) and behind (length bound) it. Then the
+   words are compared.
+5. Hits are gathered by a digest of the text, and documents fetch those of
+   their digest. Texts are not shuffled.
+
+Neither the benchmark nor the documents are collected anywhere: the driver
+gets the filter's words, at most 16 MB, and tasks get the filter.
 """
 
 from __future__ import annotations
@@ -19,16 +26,20 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, texts
+from tidemark.llm.common import BLOOM_BITS, bloom_of, map_rows, mixed, texts
+from tidemark.session import cut
 
 #: Words of a window, and of a shingle.
 WINDOW, SHINGLE = 10, 3
-#: Characters of benchmark text that one block may hold.
-BLOCK_CHARS = 4 << 20
+#: Word hashes kept by a worker.
+MEMO = 300_000
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -38,111 +49,164 @@ def words(text: str | None) -> list[str]:
     return WORD.findall(text.translate(LOWER)) if text else []
 
 
-def shingles(w: list[str]) -> list[tuple[str, ...]]:
-    """All shingles of the words, in order; fewer words than a shingle's are one shingle."""
-    if len(w) < SHINGLE:
-        return [tuple(w)] if w else []
-    return list(zip(*(w[i:] for i in range(SHINGLE))))
-
-
-class Matcher:
-    """Windows of a block of items, by their rarest shingle."""
-
-    def __init__(self, items: list[tuple[str, str]]):
-        """items: (item_id as text, text)."""
-        self.windows: dict[tuple[str, ...], set[str]] = {}
-        rarity: dict[tuple[str, ...], int] = {}
-        for item, text in items:
-            w = words(text)
-            for s in shingles(w):
-                rarity[s] = rarity.get(s, 0) + 1
-            for i in range(max(1, len(w) - WINDOW + 1) if w else 0):
-                self.windows.setdefault(tuple(w[i : i + WINDOW]), set()).add(item)
-        #: By length of the shingle: shingle -> [(place in the window, window)].
-        self.prefix: dict[int, dict[tuple[str, ...], list]] = {}
-        for window in self.windows:
-            own = shingles(list(window))
-            at = min(range(len(own)), key=lambda i: (rarity[own[i]], own[i]))
-            self.prefix.setdefault(len(own[at]), {}).setdefault(own[at], []).append((at, window))
-
-    def match(self, w: list[str]) -> tuple[list[tuple[int, int]], set[str]]:
-        """Hit spans [begin, end) of the document's words, and the items that occur."""
-        spans, items = [], set()
-        for size, table in self.prefix.items():
-            for p, s in enumerate(zip(*(w[i:] for i in range(size)))):
-                if s in table:
-                    for at, window in table[s]:
-                        begin, end = p - at, p - at + len(window)
-                        if begin >= 0 and end <= len(w) and tuple(w[begin:end]) == window:
-                            spans.append((begin, end))
-                            items |= self.windows[window]
-        return spans, items
-
-
-def covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Merged spans, in order."""
-    out: list[tuple[int, int]] = []
-    for begin, end in sorted(spans):
-        if out and begin <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((begin, end))
-    return out
-
-
-def blocks(items: DataFrame, item_id: str, item_text: str, block_chars: int) -> list[DataFrame]:
-    """The items in parts of about block_chars characters, dealt by a hash of the item."""
-    rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.length("text") + 16)).first()[0] or 0
-    parts = max(1, -(-size // block_chars))
-    part = F.pmod(F.xxhash64("item", "text"), F.lit(parts))
-    return [rows.where(part == i) for i in range(parts)]
-
-
-def find_leaks(documents: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def count_words(text: Column) -> Column:
+    """How many words a text has, without Python; A-Z are 0x41 to 0x5A."""
+    return F.coalesce(F.regexp_count(text, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")), F.lit(0)).cast("long")
+
+
+class Hasher:
+    """64-bit hashes of words and of shingles."""
+
+    def __init__(self):
+        self.memo: dict[str, int] = {}
+
+    def words(self, w: list[str]) -> np.ndarray:
+        memo = self.memo
+        if len(memo) + len(w) > MEMO:
+            memo.clear()
+        for x in w:
+            if x not in memo:
+                memo[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
+        return np.fromiter((memo[x] for x in w), np.uint64, len(w))
+
+    @staticmethod
+    def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+        """A hash for each place at which size words stand; shingles of different sizes differ."""
+        n = max(0, len(hashes) - size + 1)
+        with np.errstate(over="ignore"):
+            total = np.full(n, size, np.uint64)
+            for i in range(size):
+                total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n + i])
+        return total.view(np.int64)
+
+
+def digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def find_windows(items: DataFrame, item_id: str, item_text: str) -> DataFrame:
+    """(w, words, item): windows as word lists with a digest w, once for each item that they are in; item ids as text, null as ''."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, held = [], []
+            for item, t in zip(texts(batch.column(0)), texts(batch.column(1))):
+                v = words(t)
+                found = {tuple(v[i : i + WINDOW]) for i in range(max(1, len(v) - WINDOW + 1))} if v else set()
+                for window in found:
+                    own.append(item)
+                    held.append(list(window))
+                if len(held) >= 5000:
+                    yield _windows(own, held)
+                    own, held = [], []
+            yield _windows(own, held)
+
+    rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text"))
+    return map_rows(rows, make, "w binary, words array<string>, item string").distinct()
+
+
+def _windows(items: list[str], held: list[list[str]]) -> pa.RecordBatch:
+    w = [hashlib.md5("\x00".join(x).encode("utf-8", "surrogatepass")).digest() for x in held]
+    return pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(held, pa.list_(pa.string())), pa.array(items, pa.string())], ["w", "words", "item"])
+
+
+def prefixes(windows: DataFrame) -> DataFrame:
+    """(t, at, w, words): each window with the hash and place of its rarest shingle; ties: the least hash, then place.
+
+    How rare a shingle is says in how many windows it stands.
+    """
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            own, t, at = [], [], []
+            for i, window in enumerate(batch.column(1).to_pylist()):
+                s = Hasher.shingles(hasher.words(window), min(SHINGLE, len(window)))
+                own += [i] * len(s)
+                t.append(s)
+                at += range(len(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array(np.concatenate([np.empty(0, np.int64), *t])), pa.array(at, pa.int32())], ["w", "t", "at"])
+
+    once = windows.select("w", "words").groupBy("w").agg(F.first("words").alias("words"))
+    tokens = cut(map_rows(once, split, "w binary, t long, at int"))
+    rarity = tokens.groupBy("t").agg(F.count("*").alias("df"))
+    best = tokens.join(rarity, "t").groupBy("w").agg(F.min(F.struct("df", "t", "at")).alias("m")).select("w", F.col("m.t").alias("t"), F.col("m.at").alias("at"))
+    return once.join(best, "w").select("t", "at", "w", "words")
+
+
+def find_places(documents: DataFrame, text: str, table: DataFrame, bloom_bits: int) -> DataFrame:
+    """(d, t, p, lead, around): places p of documents' texts, by digest, where a prefix shingle may stand, with lead words before it."""
+    sizes = [r["n"] for r in table.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect()]  # at most SHINGLE
+    wanted = bloom_of(table.select("t"), bloom_bits)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher()
+        for batch in batches:
+            row, t, place, lead, around = [], [], [], [], []
+            for i, x in enumerate(texts(batch.column(1))):
+                w = words(x)
+                hashes = hasher.words(w)
+                for size in sizes:
+                    found = Hasher.shingles(hashes, size)
+                    for p in np.flatnonzero(wanted.has(found)).tolist():
+                        before = min(p, WINDOW - 1)
+                        row.append(i)
+                        t.append(int(found[p]))
+                        place.append(p)
+                        lead.append(before)
+                        around.append(w[p - before : p + WINDOW])
+                if len(row) >= 5000:
+                    yield _places(batch, row, t, place, lead, around)
+                    row, t, place, lead, around = [], [], [], [], []
+            yield _places(batch, row, t, place, lead, around)
+
+    rows = documents.select(digest(F.col(text)).alias("d"), F.col(text).alias("text")).where(F.col("text") != "")
+    return map_rows(rows, look, "d binary, t long, p int, lead int, around array<string>")
+
+
+def _places(batch: pa.RecordBatch, row, t, place, lead, around) -> pa.RecordBatch:
+    columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(t, pa.int64()), pa.array(place, pa.int32()), pa.array(lead, pa.int32()), pa.array(around, pa.list_(pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, ["d", "t", "p", "lead", "around"])
+
+
+def find_hits(documents: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", bloom_bits: int = BLOOM_BITS) -> DataFrame:
+    """(d, spans, items) of the texts, by digest, that hold a window: merged spans [begin, end) in words, sorted item ids."""
+    windows = cut(find_windows(items, item_id, item_text))
+    table = cut(prefixes(windows))
+    # Copies of a text give equal rows, which are combined before they move.
+    places = find_places(documents, text, table, bloom_bits).groupBy("d", "t", "p").agg(F.first("lead").alias("lead"), F.first("around").alias("around"))
+    n = F.size("words")
+    fits = (F.col("lead") >= F.col("at")) & (F.size("around") - F.col("lead") + F.col("at") >= n)
+    begin = F.col("p") - F.col("at")
+    met = places.join(table, "t").where(fits).where(F.slice("around", F.col("lead") - F.col("at") + 1, n) == F.col("words"))
+    met = cut(met.select("d", "w", begin.cast("long").alias("begin"), (begin + n).cast("long").alias("end")))
+    held = met.select("d", "w").distinct().join(windows.select("w", "item"), "w").groupBy("d").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return merged(met).join(held, "d")
+
+
+def merged(hits: DataFrame) -> DataFrame:
+    """(d, spans): spans [begin, end) of each text with those that touch or overlap made one, in order."""
+    own = W.partitionBy("d").orderBy("begin")
+    reach = F.max("end").over(own.rowsBetween(W.unboundedPreceding, -1))
+    fresh = hits.groupBy("d", "begin").agg(F.max("end").alias("end")).withColumn("fresh", (reach.isNull() | (F.col("begin") > reach)).cast("int"))
+    islands = fresh.withColumn("n", F.sum("fresh").over(own.rowsBetween(W.unboundedPreceding, 0))).groupBy("d", "n").agg(F.min("begin").alias("begin"), F.max("end").alias("end"))
+    return islands.groupBy("d").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
+
+
+def find_leaks(documents: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """documents with _n_words, _spans (merged, [begin, end) in words) and _items (sorted item ids as text).
 
-    Each block of the benchmark passes over all documents; with several
-    blocks the columns grow from pass to pass, without a shuffle. Documents
-    that are null or without words have no spans; items that are null or
-    without words match nothing, and an empty benchmark matches nothing.
-    Repeated documents give repeated results, a repeated item_id counts once,
-    a null item_id counts as ''. All other columns stay, but
-    columns of the three new names are replaced.
+    Documents that are null or without words have no spans; items that are
+    null or without words match nothing, and an empty benchmark matches
+    nothing. Repeated documents give repeated results, a repeated item_id counts
+    once, a null item_id counts as ''. All other columns stay, but columns of
+    the three new names, and of the name _digest, are replaced or dropped.
     """
-    documents = documents.drop("_n_words", "_spans", "_items")
-    fields = documents.schema.fields
-    at = documents.columns.index(text)
-    names = [*documents.columns, "_n_words", "_spans", "_items"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _n_words long, _spans array<struct<begin: long, end: long>>, _items array<string>"
-    span_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
-    width = len(fields)
-
-    def passing(block: DataFrame):
-        held = [(r["item"], r["text"]) for r in block.collect()]
-
-        def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            matcher = Matcher(held)
-            for batch in batches:
-                n, spans, found = [], [], []
-                earlier = batch.num_columns > width
-                for i, t in enumerate(texts(batch.column(at))):
-                    w = words(t)
-                    own, ids = matcher.match(w)
-                    if earlier:
-                        own += [(s["begin"], s["end"]) for s in batch.column(width + 1)[i].as_py()]
-                        ids |= set(batch.column(width + 2)[i].as_py())
-                    n.append(len(w))
-                    spans.append([{"begin": a, "end": b} for a, b in covered(own)])
-                    found.append(sorted(ids))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(n, pa.int64()), pa.array(spans, span_type), pa.array(found, pa.list_(pa.string()))], names)
-
-        return match
-
-    out = documents
-    for block in blocks(items, item_id, item_text, block_chars):
-        out = map_rows(out, passing(block), schema)
-    return out
+    documents = documents.drop("_n_words", "_spans", "_items", "_digest")
+    hits = cut(find_hits(documents, items, text, item_id, item_text, bloom_bits)).select(F.col("d").alias("_digest"), F.col("spans").alias("_spans"), F.col("items").alias("_items"))
+    counted = documents.withColumns({"_n_words": count_words(F.col(text)), "_digest": digest(F.col(text))})
+    none = {"_spans": F.array().cast("array<struct<begin:long,end:long>>"), "_items": F.array().cast("array<string>")}
+    return counted.join(hits, "_digest", "left").select(*documents.columns, "_n_words", *[F.coalesce(c, empty).alias(c) for c, empty in none.items()])
 
 
 def hit_words(spans: str = "_spans"):
