@@ -509,3 +509,117 @@ def test_op2_equals_brute_force(spark):
     for r in got:
         n, hit, ids = decontaminate.brute_force(texts[r["doc_id"]], items)
         assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) == (n, hit, len(ids), decontaminate.items_digest(ids), hit > 0)
+
+
+def test_op3_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
+    sizes, root = brute_components([r["text"] for r in rows])
+    got = near_dedup.op3_near_dedup(spark, sf).orderBy("doc_id").collect()
+    ids = [r["doc_id"] for r in rows]
+    assert [tuple(r) for r in got] == [(i, n, ids[c], i == ids[c]) for i, n, c in zip(ids, sizes, root)] and len(set(root)) < len(rows)
+
+
+def test_near_dedup_of_one_large_group(spark):
+    rnd = random.Random(33)
+    base = sentence(rnd, 90).split()
+    texts = []
+    for i in range(240):
+        copy = list(base)
+        for _ in range(i % 6):
+            copy[rnd.randrange(90)] = f"edit{rnd.random()}"
+        texts.append(" ".join(copy if i % 3 else sentence(rnd, 40).split()))
+    near_dedup.LOCAL_ROWS, before = 16, near_dedup.LOCAL_ROWS
+    try:
+        _, root = brute_components(texts)
+        got = near_dedup.link_components(docs(spark, texts).withColumn("component_id", F.lit(1)).repartition(7)).orderBy("doc_id").collect()
+        assert [r["component_id"] for r in got] == root
+    finally:
+        near_dedup.LOCAL_ROWS = before
+
+
+def test_op9_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
+    pairs = embedding_dedup.brute_force(rows)
+    links, root = {i: 0 for i, _ in rows}, {i: i for i, _ in rows}
+    for a, b in pairs:
+        links[rows[a][0]] += 1
+        links[rows[b][0]] += 1
+    for _ in range(20):
+        for a, b in pairs:
+            a, b = rows[a][0], rows[b][0]
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["vec_id"]: r for r in embedding_dedup.op9_embedding_dedup(spark, sf).collect()}
+    assert len(got) == len(rows) and sum(r["n_links"] for r in got.values()) >= 0.97 * 2 * len(pairs)
+    assert all(r["n_links"] <= links[i] and r["kept"] == (r["component_id"] == i) for i, r in got.items())
+    assert sum(r["component_id"] == root[i] for i, r in got.items()) >= 0.99 * len(rows)
+
+
+def test_embedding_recall_on_a_skewed_table(spark):
+    rnd = random.Random(99)
+    hot = [rnd.gauss(0, 1) for _ in range(24)]
+    vectors = [[x + rnd.gauss(0, 0.3) for x in hot] if i % 3 == 0 else [rnd.gauss(0, 1) for _ in range(24)] for i in range(900)]
+    d = spark.createDataFrame([(i, v, 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, n_links int")
+    there = 2 * len(embedding_dedup.brute_force(list(enumerate(vectors))))
+    found = sum(r["n_links"] for r in embedding_dedup.link_embeddings(d).collect())
+    assert 0.97 * there <= found <= there
+
+
+# pipeline on awkward rows
+
+
+def odd_documents(spark):
+    rnd = random.Random(44)
+    base = sentence(rnd, 60)
+    near = base + " end"
+    rows = [(1, base, "en"), (2, near, "en"), (3, sentence(rnd, 60), "en"), (3, sentence(rnd, 60), "de"), (None, base, "en"), (None, base, "en"), (None, sentence(rnd, 50), None), (5, None, "en"), (6, "", "en"), (7, "12 34", "en"), (1, base, "en"), (1, base, "fr")]
+    return rows, spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, t, lang in rows], DOC + ", n_chars long")
+
+
+def test_near_dedup_stage_keeps_one_row_of_each_group(spark):
+    import corpus_pipeline
+
+    rows, d = odd_documents(spark)
+    got = corpus_pipeline.keep_one_of_each_group(spark, d, "")
+    assert got.columns == d.columns
+    kept = sorted(((r["doc_id"], r["text"], r["lang"]) for r in got.collect()), key=str)
+    # Rows 1, 2, the null ids' copies and the repeated rows are one group; what shares an id and differs stays.
+    assert kept == sorted([(1, rows[0][1], "en"), *(rows[k] for k in (2, 3, 6, 7, 8, 9))], key=str)
+
+
+def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    rows, d = odd_documents(spark)
+    sf = str(tmp_path)
+    d.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i == 3)) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(0, rows[2][1]), (1, None)], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, d.limit(0), sf)
+        assert none.count() == 0, name
+        assert stage(spark, d, sf).count() <= len(rows)
+    assert sorted(r["text"] or "" for r in corpus_pipeline.drop_toxic(spark, d, sf).collect()) == sorted(t or "" for _, t, _ in rows)
+    assert {r["text"] for r in corpus_pipeline.drop_leaks(spark, d, sf).collect()} == {t for _, t, _ in rows} - {rows[2][1]}
+    coder = bpe_codec.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).coder
+    coded = corpus_pipeline.encode(spark, d, sf).collect()
+    assert sorted((list(r["ids"]) for r in coded), key=str) == sorted((coder.encode_ordinary(t or "") for _, t, _ in rows), key=str)
+
+
+def test_pipeline_run_equals_its_stages_by_brute_force(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs_ = spark.read.parquet(f"{sf}/documents.parquet")
+    score = toxicity.learned_model(docs_, spark.read.parquet(f"{sf}/labels.parquet")).scorer()
+    rows = [r for r in docs_.orderBy("doc_id").collect() if score(r["text"]) < 0.5]
+    found = model_languages([(r["doc_id"], r["text"], r["lang"]) for r in rows])
+    rows = [r for r in rows if found[r["doc_id"]][0] != "und"]
+    _, root = brute_components([r["text"] for r in rows], corpus_pipeline.SHINGLE)
+    rows = [r for i, r in enumerate(rows) if root[i] == i]
+    items = [(str(r["item_id"]), r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [r for r in rows if not decontaminate.brute_force(r["text"], items)[1]]
+    coder = bpe_codec.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).coder
+    got = {r["doc_id"]: (r["lang"], list(r["ids"])) for r in corpus_pipeline.run(spark, sf).collect()}
+    assert got == {r["doc_id"]: (found[r["doc_id"]][0], coder.encode_ordinary(r["text"])) for r in rows} and 0 < len(rows) < docs_.count()

@@ -1,8 +1,11 @@
 """Near-duplicate embeddings by counting collisions in sorted projections.
 
-Equal vectors fall into one class. The others are put in order TABLES times:
+Equal vectors fall into one class. The others are put in order in many tables:
 by a coarse code of the signs of some random projections and, within a code,
-by one more projection. Two vectors collide in a table if they have the same
+by one more projection. (A table without code is one sorted projection; of n
+rows its window holds a fixed share, so the collisions of plain projections
+grow with the square of the rows. The code cuts each projection into stretches
+that hold PER_CODE rows on average.) Two vectors collide in a table if they have the same
 code and the second stands in a window of half-width WINDOW around the first.
 The code gets one bit for each doubling of the rows, so that a code holds a
 few rows at any size. From the threshold follow the chance that a pair at it
@@ -13,15 +16,17 @@ confirmed by their cosine in double precision.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows
+from tidemark.llm.common import lists, map_rows
 from tidemark.llm.components import components
 from tidemark.session import cut
 
@@ -31,6 +36,8 @@ EXPECTED, COUNT = 8.0, 2
 #: Rows that a code holds on average, and half-width of the window in standard deviations of a pair at the threshold.
 PER_CODE, SPREADS = 4, 2.0
 SEED = 7
+#: Colliding pairs sent at a time.
+PAIRS = 200_000
 
 
 class Plan:
@@ -56,6 +63,19 @@ def usable(embedding: str = "embedding"):
     return c.isNotNull() & fine & F.exists(c, lambda x: x != 0)
 
 
+def named(rows: DataFrame) -> DataFrame:
+    """(vec_id, embedding, d): d is a digest of the components' bytes, so that vectors need not be compared or moved to find equal ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(1)
+            values, ends = column.flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))
+            digests = [hashlib.sha256(values[a:b].tobytes()).digest() for a, b in zip(np.concatenate(([0], ends[:-1])), ends)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], ["vec_id", "embedding", "d"])
+
+    return map_rows(rows, run, "vec_id long, embedding array<double>, d binary")
+
+
 def collide(classes: DataFrame, plan: Plan) -> DataFrame:
     """(a, b) with a > b, once for each table in which the two collide."""
     dims, bits, window = plan.dims, plan.bits, plan.window
@@ -65,8 +85,8 @@ def collide(classes: DataFrame, plan: Plan) -> DataFrame:
         directions = [plan.directions(t) for t in range(tables)]
         power = (1 << np.arange(bits, dtype=np.int64))
         for batch in batches:
-            x = np.array(batch.column(1).to_pylist(), np.float64).reshape(-1, dims)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = lists(batch.column(1), dims)
+            x = x / np.linalg.norm(x, axis=1, keepdims=True)
             ids = batch.column(0).to_numpy()
             for t in range(tables):
                 p = x @ directions[t]
@@ -75,17 +95,31 @@ def collide(classes: DataFrame, plan: Plan) -> DataFrame:
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by table, code and projection; those that can still collide are held."""
-        key, held = None, []
+        held = None
         for batch in batches:
-            a, b = [], []
-            for t, code, p, i in zip(*(col.to_pylist() for col in batch.columns)):
-                if (t, code) != key:
-                    key, held = (t, code), []
-                held = [h for h in held if p - h[0] <= window]
-                a += [max(i, h[1]) for h in held]
-                b += [min(i, h[1]) for h in held]
-                held.append((p, i))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            t, code, p, i = (col.to_numpy() for col in batch.columns)
+            old = 0
+            if held is not None:
+                old = len(held[0])
+                t, code, p, i = (np.concatenate(x) for x in zip(held, (t, code, p, i)))
+            group = np.concatenate(([0], np.cumsum((t[1:] != t[:-1]) | (code[1:] != code[:-1]))))
+            # One line for all groups, far enough apart that no window reaches from one into the next.
+            line = p + group * (np.ptp(p) + 2 * window + 1)
+            low = np.searchsorted(line, line - window)
+            n = np.arange(len(line)) - low
+            n[:old] = 0
+            upto = np.cumsum(n)
+            start = 0
+            while start < len(n):
+                end = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + PAIRS, "right")))
+                own = n[start:end]
+                first = np.repeat(np.arange(start, end), own)
+                second = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own) + np.repeat(low[start:end], own)
+                if len(first):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(i[first], i[second])), pa.array(np.minimum(i[first], i[second]))], ["a", "b"])
+                start = end
+            keep = slice(int(low[-1]), None)
+            held = t[keep], code[keep], p[keep], i[keep]
 
     placed = map_rows(classes.select("id", "embedding"), place, "t int, code long, p double, id long")
     ordered = placed.repartition("t", "code").sortWithinPartitions("t", "code", "p", "id")
@@ -99,7 +133,7 @@ def confirm(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.array(batch.column(i).to_pylist(), np.float64).reshape(batch.num_rows, -1) for i in (2, 3))
+            x, y = (lists(batch.column(i), len(batch.column(i).flatten()) // batch.num_rows) for i in (2, 3))
             cosine = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
             keep = pa.array(cosine >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
@@ -121,8 +155,8 @@ def link_embeddings(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     """
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
     # 0.0 for -0.0: both are the same number, but not the same bits.
-    rows = rows.withColumn("embedding", F.when(usable(), F.transform("embedding", lambda x: x + F.lit(0.0))))
-    classes = cut(rows.where("embedding IS NOT NULL AND vec_id IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("size")))
+    good = named(rows.where(usable()).withColumn("embedding", F.transform("embedding", lambda x: x + F.lit(0.0))))
+    classes = cut(good.where("vec_id IS NOT NULL").groupBy("d").agg(F.min("vec_id").alias("id"), F.count("*").alias("size"), F.first("embedding").alias("embedding")))
     links = None
     for found in classes.groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n")).orderBy("dims").collect():  # one row per vector length
         own = classes.where(F.size("embedding") == found["dims"])
@@ -136,8 +170,10 @@ def link_embeddings(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     each = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     others = each.join(sizes.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("size").alias("far"))
     labels = components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))).select(F.col("node").alias("id"), "component")
-    about = classes.join(others, "id", "left").join(labels, "id", "left").select("embedding", "id", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    joined = rows.join(about, "embedding", "left")
+    about = classes.join(others, "id", "left").join(labels, "id", "left").select("d", "id", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    found = good.select("vec_id", "d").join(about, "d", "left").select("vec_id", "n_links", "component")
+    alone = rows.where(~F.coalesce(usable(), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component"))
+    joined = found.unionByName(alone)
     component = F.coalesce("component", "vec_id")
     return joined.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 

@@ -7,13 +7,17 @@
    by the pigeonhole principle, a chunk with at most ERRORS differing values.
    Each chunk is indexed once for every place at which the error may stand,
    with the value there left out, so such a pair shares an index key.
-3. Each class is first paired with the nearest of its buckets' smallest ids,
-   and the pair confirmed on full sets. That makes one component of most
-   groups of copies. Then the classes in buckets that still hold several
-   components are joined on the rare beginnings of their sets, and pairs of
-   different components confirmed in turn. So pairs within a group that can
-   add nothing are never made, and no link that could join two components is
-   left out.
+3. Each class is first paired with the nearest of its buckets' smallest ids
+   (of those that its task saw, and of all), and the pair confirmed on full
+   sets. That makes one component of most groups of copies. Then the classes in
+   buckets that still hold several components are joined on the rare
+   beginnings of their sets, and pairs of different components confirmed in
+   turn. So pairs within a group that can add nothing are never made, and no
+   link that could join two components is left out.
+
+The index thus says which classes may have links, and gives the first of them;
+the last step is a prefix-filtered set join, not an enumeration of a bucket's
+pairs: on groups of copies that enumeration grows with their square.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_rows, texts
+from tidemark.llm.common import bloom_of, lists, map_rows, mixed, texts
 from tidemark.llm.components import components, roots
 from tidemark.session import cut
 
@@ -41,6 +45,8 @@ VALUES = CHUNKS * SYMBOLS
 MOST_DIFFERENT = 22
 #: Further smallest ids that a class is paired with if the nearest one left it apart.
 NEXT = 6
+#: Classes whose index rows a task compares among themselves before any of them moves.
+LOCAL_ROWS = 20_000
 #: Word hashes kept by a worker.
 MEMO = 400_000
 
@@ -55,12 +61,6 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Sets of 64-bit shingle hashes; remembers word hashes."""
 
@@ -84,7 +84,7 @@ class Shingler:
         with np.errstate(over="ignore"):
             total = np.full(len(w) - n + 1, n, np.uint64)
             for i in range(n):
-                total = _mix(total * _P + hashes[i : len(w) - n + 1 + i])
+                total = mixed(total * _P + hashes[i : len(w) - n + 1 + i])
         return np.unique(total)
 
 
@@ -95,7 +95,7 @@ def signature(s: np.ndarray) -> np.ndarray:
         for i in range(0, len(s), 2048):
             part = s[i : i + 2048, None] * _FACTORS[None, :] + _SHIFTS[None, :]
             np.minimum(least, part.min(axis=0), out=least)
-        return (_mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
+        return (mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
 def describe(documents: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
@@ -128,20 +128,41 @@ def index_keys(sigs: np.ndarray) -> np.ndarray:
                 for i in range(SYMBOLS):
                     if i != p:
                         packed = (packed << np.uint64(16)) | chunk[:, i]
-                out[:, c * SYMBOLS + p] = _mix(packed + _P * np.uint64(c * SYMBOLS + p + 1))
+                out[:, c * SYMBOLS + p] = mixed(packed + _P * np.uint64(c * SYMBOLS + p + 1))
     return out
 
 
-def index(classes: DataFrame) -> DataFrame:
-    """(key, id) rows of the multi-index."""
+def index(classes: DataFrame, local: bool) -> DataFrame:
+    """(key, id, c) rows of the multi-index, where c is the smallest id that the task saw under the key.
+
+    With local, those rows whose id is not c; else those whose id is c. Only
+    the latter need to move, to find the smallest id of all: of a key that a
+    third of all rows have, one row per LOCAL_ROWS.
+    """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            sigs = np.array(batch.column(1).to_pylist(), np.int16).reshape(-1, VALUES).view(np.uint16)
-            ids = np.repeat(batch.column(0).to_numpy(), VALUES)
-            yield pa.RecordBatch.from_arrays([pa.array(index_keys(sigs).view(np.int64).ravel()), pa.array(ids)], ["key", "id"])
-
-    return map_rows(classes.select("id", "sig"), keys, "key long, id long")
+            held.append(batch)
+            n += batch.num_rows
+            if n >= LOCAL_ROWS:
+                yield least(held)
+                held, n = [], 0
+        if n:
+            yield least(held)
+
+    def least(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        sigs = np.concatenate([lists(b.column(1), VALUES) for b in held]).view(np.uint16)
+        ids = np.repeat(np.concatenate([b.column(0).to_numpy() for b in held]), VALUES)
+        own = index_keys(sigs).view(np.int64).ravel()
+        order = np.lexsort((ids, own))
+        own, ids = own[order], ids[order]
+        first = np.concatenate(([True], own[1:] != own[:-1]))
+        c = ids[first][np.cumsum(first) - 1]
+        keep = (ids != c) if local else first
+        return pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(ids[keep]), pa.array(c[keep])], ["key", "id", "c"])
+
+    return map_rows(classes.select("id", "sig"), keys, "key long, id long, c long")
 
 
 def different(a: str, b: str):
@@ -150,12 +171,14 @@ def different(a: str, b: str):
 
 
 def sets_of(documents: DataFrame, ids: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """(id, s) of the documents whose id is in ids; s is the full shingle set. Only these sets are made and moved."""
-    rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).join(ids, "id", "left_semi")
+    """(id, s) of the documents whose id is in ids, and of a few more; s is the full shingle set. Texts are not shuffled."""
+    wanted = bloom_of(ids.select("id"))
+    rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in batches:
+            batch = batch.filter(pa.array(wanted.has(batch.column(0).to_numpy())))
             sets = [shingler.shingles(t).view(np.int64) for t in texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
 
@@ -166,7 +189,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
-    return both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b").distinct()
+    # Cut first: were the distinct in the joins' stage, the tasks of hot ids could not be split.
+    return cut(both.where(shared * 100 >= (F.size("sa") + F.size("sb") - shared) * percent).select("a", "b")).distinct()
 
 
 def ids_in(pairs: DataFrame) -> DataFrame:
@@ -224,7 +248,8 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
     rows = cut(describe(documents, text, key, size))
     classes = cut(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
     first = F.first("id").over(W.partitionBy("key").orderBy("id"))
-    stars = cut(index(classes).withColumn("c", first).where("id <> c"))
+    between = index(classes, local=False).select("key", "id").withColumn("c", first).where("id <> c")
+    stars = cut(index(classes, local=True).unionByName(between))
 
     sig = classes.select("id", "sig")
     near = cut(
