@@ -43,6 +43,8 @@ MIN_SUPPORT = 3
 LABEL_ACCURACY, BELIEF = 0.97, 10.0
 #: Min-hashes of a text, and how many must agree for two texts of one label to count as near copies.
 HASHES, AGREE = 16, 12
+#: Largest bias: a text in which nothing speaks for toxicity is never called toxic, whatever share of the labels is.
+MOST_BIAS = -0.1
 #: Words of which a worker remembers the entries.
 MEMO = 300_000
 
@@ -298,7 +300,7 @@ def label_model(votes: np.ndarray, rounds: int = 15) -> LabelModel:
         np.fill_diagonal(information, 0)
         information[-1, :] = information[:, -1] = 0  # given the class, a label says nothing about other voters
         parents, weight = np.full(v, -1), np.ones(v)
-        z = np.log(mass[1] + 1) - np.log(mass[0] + 1) + np.zeros(n)
+        z = np.log(q.sum() + 1) - np.log((1 - q).sum() + 1) + np.zeros(n)
         for i, parent in _forest(information, np.log(n) / n):
             if parent < 0:
                 on, off = np.log(rates[1, i] / rates[0, i]), np.log((1 - rates[1, i]) / (1 - rates[0, i]))
@@ -350,7 +352,7 @@ def train(documents: DataFrame, labels: DataFrame, key: str = "doc_id", text: st
     votes, names = votes_of(present, pattern, y)
     found = label_model(votes)
     w, bias = fit_linear(np.concatenate([present, pattern], axis=1).astype(float), found.posterior)
-    n = len(entries)
+    bias, n = min(bias, MOST_BIAS), len(entries)
     voters = [
         {"voter": v, "fires_clean": float(found.rates[0, i]), "fires_toxic": float(found.rates[1, i]), "depends_on": names[found.parents[i]] if found.parents[i] >= 0 else None, "weight": float(found.weight[i])}
         for i, v in enumerate(names)
