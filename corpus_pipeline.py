@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe_codec, decontaminate, language_id, near_dedup, toxicity
-from tidemark.session import shared_path
+from tidemark.session import cut, shared_path
 
 #: Columns that the stages pass on.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Words of a shingle in the near-duplicate stage.
+#: Words of a shingle in the near-duplicate stage: five, as for all near-duplicate stages without a contract of their own (op3 has one: four).
 SHINGLE = 5
 
 
@@ -28,15 +28,27 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (shingles of five words, similarity of 0.8 or more); a doc_id stays once.
+    """One row of each group of near duplicates (shingles of five words, similarity of 0.8 or more).
 
-    Rows without doc_id cannot be told apart by component, and all stay.
+    Every different row (doc_id, text) is a document of its own: rows that
+    share a doc_id and differ in text both stay, and rows without doc_id go if
+    they copy another one. A group's row is that of the smallest doc_id, null
+    last, then of the smallest hash; of rows that differ in other columns only,
+    the smallest stays, and of equal rows one.
     """
-    kept = near_dedup.link_components(docs, size=SHINGLE).where("kept").select("doc_id").distinct()
-    order = F.struct("text", "lang", "source", "n_chars")
-    with_id = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi")
-    with_id = with_id.groupBy("doc_id").agg(F.min(order).alias("d")).select("doc_id", "d.*")
-    return with_id.unionByName(docs.where("doc_id IS NULL")).select(*COLUMNS)
+    row = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")
+    keyed = docs.withColumns({"_key": row, "_rest": F.struct("lang", "source", "n_chars")})
+    links = near_dedup.link_components(keyed.select(F.col("_key").alias("doc_id"), "text"), size=SHINGLE).select(F.col("doc_id").alias("_key"), "component_id")
+    ranked = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key", "_rest")
+    # Keys and small columns only; map-side aggregates, so that large groups shrink before they move.
+    rows = keyed.groupBy("_key", "doc_id", "_rest").agg(F.count("*").alias("n")).join(links.distinct(), "_key")
+    best = rows.groupBy("component_id").agg(F.min_by(F.struct("_key", "_rest", "n"), ranked).alias("b")).select("b.*")
+    best = cut(best)
+    once, often = best.where("n = 1").drop("n"), best.where("n > 1").drop("n")
+    same = lambda kept: (F.col("d._key") == F.col(f"{kept}._key")) & F.col("d._rest").eqNullSafe(F.col(f"{kept}._rest"))
+    single = keyed.alias("d").join(once.alias("o"), same("o"), "left_semi").select(*COLUMNS)
+    repeated = keyed.alias("d").join(often.alias("m"), same("m"), "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+    return single.unionByName(repeated)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
