@@ -495,8 +495,11 @@ def test_decontamination_moves_no_texts(spark):
     found = decontaminate.find_leaks(d, items)
     assert found.columns == ["doc_id", "text", "_n_words", "_spans", "_items"]
     assert all(r["_items"] == (["3"] if r["doc_id"] % 3 else []) and len(r["_spans"]) == (r["doc_id"] % 3 > 0) for r in found.collect())
-    plan = decontaminate.find_hits(d, items)._jdf.queryExecution().optimizedPlan().toString()
+    benchmark = decontaminate.Benchmark(items)
+    plan = benchmark.hits(benchmark.places(d, "text"))._jdf.queryExecution().optimizedPlan().toString()
     assert "text" not in plan  # what is moved was cut before, without texts
+    told = decontaminate.report_leaks(d, items, keep=("doc_id",)).drop("_n_words").collect()
+    assert sorted(told) == sorted(found.select("doc_id", "_spans", "_items").collect())
     assert decontaminate.find_leaks(d.limit(0), items).count() == 0
 
 

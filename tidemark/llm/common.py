@@ -67,22 +67,23 @@ class Bloom:
     def __init__(self, bits: int):
         self.bits, self.words = bits, np.zeros(bits // 64, np.uint64)
 
-    def places(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(word, mask) of each hash, by hash function."""
-        h = hashes.astype(np.int64, copy=False).view(np.uint64)
+    def place(self, hashes: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(word, mask) of each hash by hash function i."""
         with np.errstate(over="ignore"):
-            for i in range(1, BLOOM_HASHES + 1):
-                at = mixed(h + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(self.bits - 1)
-                yield (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+            at = mixed(hashes.astype(np.int64, copy=False).view(np.uint64) + np.uint64(i) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(self.bits - 1)
+        return (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
 
     def add(self, hashes: np.ndarray) -> None:
-        for word, mask in self.places(hashes):
-            np.bitwise_or.at(self.words, word, mask)
+        for i in range(1, BLOOM_HASHES + 1):
+            np.bitwise_or.at(self.words, *self.place(hashes, i))
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for word, mask in self.places(hashes):
-            found &= (self.words[word] & mask) != 0
+        found = np.zeros(len(hashes), bool)
+        left = np.arange(len(hashes))
+        for i in range(1, BLOOM_HASHES + 1):  # each function sees what passed the ones before
+            word, mask = self.place(hashes[left], i)
+            left = left[(self.words[word] & mask) != 0]
+        found[left] = True
         return found
 
 

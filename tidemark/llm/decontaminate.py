@@ -54,30 +54,27 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")), F.lit(0)).cast("long")
 
 
-class Hasher:
-    """64-bit hashes of words and of shingles."""
-
-    def __init__(self):
-        self.memo: dict[str, int] = {}
-
-    def words(self, w: list[str]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) + len(w) > MEMO:
-            memo.clear()
-        for x in w:
-            if x not in memo:
-                memo[x] = xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass"))
-        return np.fromiter((memo[x] for x in w), np.uint64, len(w))
-
-    @staticmethod
-    def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
-        """A hash for each place at which size words stand; shingles of different sizes differ."""
-        n = max(0, len(hashes) - size + 1)
-        with np.errstate(over="ignore"):
-            total = np.full(n, size, np.uint64)
-            for i in range(size):
-                total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n + i])
-        return total.view(np.int64)
+class Memo(dict):
+    """64-bit hashes of words, made when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
+
+    def hashes(self, w: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
+
+
+def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash for each place at which size words stand; shingles of different sizes differ."""
+    n = max(0, len(hashes) - size + 1)
+    with np.errstate(over="ignore"):
+        total = np.full(n, size, np.uint64)
+        for i in range(size):
+            total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + hashes[i : n + i])
+    return total.view(np.int64)
 
 
 def digest(text: Column) -> Column:
@@ -117,11 +114,11 @@ def prefixes(windows: DataFrame) -> DataFrame:
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        memo = Memo()
         for batch in batches:
             own, t, at = [], [], []
             for i, window in enumerate(batch.column(1).to_pylist()):
-                s = Hasher.shingles(hasher.words(window), min(SHINGLE, len(window)))
+                s = shingles(memo.hashes(window), min(SHINGLE, len(window)))
                 own += [i] * len(s)
                 t.append(s)
                 at += range(len(s))
@@ -134,54 +131,72 @@ def prefixes(windows: DataFrame) -> DataFrame:
     return once.join(best, "w").select("t", "at", "w", "words")
 
 
-def find_places(documents: DataFrame, text: str, table: DataFrame, bloom_bits: int) -> DataFrame:
-    """(d, t, p, lead, around): places p of documents' texts, by digest, where a prefix shingle may stand, with lead words before it."""
+PLACES = "_places array<struct<t: long, p: int, lead: int, around: array<string>>>"
+
+
+def find_places(documents: DataFrame, text: str, keep: tuple[str, ...], table: DataFrame, bloom_bits: int) -> DataFrame:
+    """Per document the columns kept, _digest of the text, _n_words and _places.
+
+    Those are the places p where a prefix shingle, of hash t, may stand, each
+    with the words around it, lead of them before it. A null text has none.
+    """
     sizes = [r["n"] for r in table.select(F.least(F.size("words"), F.lit(SHINGLE)).alias("n")).distinct().collect()]  # at most SHINGLE
     wanted = bloom_of(table.select("t"), bloom_bits)
+    rows = documents.select(*keep, digest(F.col(text)).alias("_digest"), F.col(text).alias("_text"))
+    width = len(keep) + 1
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:width]) + f", _n_words long, {PLACES}"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
+        memo = Memo()
         for batch in batches:
-            row, t, place, lead, around = [], [], [], [], []
-            for i, x in enumerate(texts(batch.column(1))):
-                w = words(x)
-                hashes = hasher.words(w)
-                for size in sizes:
-                    found = Hasher.shingles(hashes, size)
-                    for p in np.flatnonzero(wanted.has(found)).tolist():
-                        before = min(p, WINDOW - 1)
-                        row.append(i)
-                        t.append(int(found[p]))
-                        place.append(p)
-                        lead.append(before)
-                        around.append(w[p - before : p + WINDOW])
-                if len(row) >= 5000:
-                    yield _places(batch, row, t, place, lead, around)
-                    row, t, place, lead, around = [], [], [], [], []
-            yield _places(batch, row, t, place, lead, around)
-
-    rows = documents.select(digest(F.col(text)).alias("d"), F.col(text).alias("text")).where(F.col("text") != "")
-    return map_rows(rows, look, "d binary, t long, p int, lead int, around array<string>")
-
-
-def _places(batch: pa.RecordBatch, row, t, place, lead, around) -> pa.RecordBatch:
-    columns = [batch.column(0).take(pa.array(row, pa.int64())), pa.array(t, pa.int64()), pa.array(place, pa.int32()), pa.array(lead, pa.int32()), pa.array(around, pa.list_(pa.string()))]
-    return pa.RecordBatch.from_arrays(columns, ["d", "t", "p", "lead", "around"])
-
-
-def find_hits(documents: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", bloom_bits: int = BLOOM_BITS) -> DataFrame:
-    """(d, spans, items) of the texts, by digest, that hold a window: merged spans [begin, end) in words, sorted item ids."""
-    windows = cut(find_windows(items, item_id, item_text))
-    table = cut(prefixes(windows))
-    # Copies of a text give equal rows, which are combined before they move.
-    places = find_places(documents, text, table, bloom_bits).groupBy("d", "t", "p").agg(F.first("lead").alias("lead"), F.first("around").alias("around"))
-    n = F.size("words")
-    fits = (F.col("lead") >= F.col("at")) & (F.size("around") - F.col("lead") + F.col("at") >= n)
-    begin = F.col("p") - F.col("at")
-    met = places.join(table, "t").where(fits).where(F.slice("around", F.col("lead") - F.col("at") + 1, n) == F.col("words"))
-    met = cut(met.select("d", "w", begin.cast("long").alias("begin"), (begin + n).cast("long").alias("end")))
-    held = met.select("d", "w").distinct().join(windows.select("w", "item"), "w").groupBy("d").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return merged(met).join(held, "d")
+            split = [words(x) for x in texts(batch.column(width))]
+            n = np.array([len(w) for w in split], np.int64)
+            begin = np.cumsum(n) - n
+            hashes = memo.hashes([x for w in split for x in w])  # of all texts in one array
+            row_of = np.repeat(np.arange(len(split)), n)
+            at, t = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for size in sizes:
+                found = shingles(hashes, size)
+                hit = np.flatnonzero(wanted.has(found))
+                hit = hit[row_of[hit] == row_of[hit + size - 1]]  # within one text
+                at.append(hit)
+                t.append(found[hit])
+            at, t = np.concatenate(at), np.concatenate(t)
+            order = np.argsort(at, kind="stable")
+            at, t = at[order], t[order]
+            rows_hit = row_of[at]
+            place = at - begin[rows_hit]
+            lead = np.minimum(place, WINDOW - 1)
+            around = [split[i][p - k : p + WINDOW] for i, p, k in zip(rows_hit.tolist(), place.tolist(), lead.tolist())]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(rows_hit, minlength=len(split)))))
+            flat = pa.StructArray.from_arrays([pa.array(t), pa.array(place.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(around, pa.list_(pa.string()))], ["t", "p", "lead", "around"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(n), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*keep, "_digest", "_n_words", "_places"])
+
+    return map_rows(rows, look, schema)
+
+
+class Benchmark:
+    """A benchmark made ready: windows (w, words, item), and those by their prefix shingle."""
+
+    def __init__(self, items: DataFrame, item_id: str = "item_id", item_text: str = "text", bloom_bits: int = BLOOM_BITS):
+        self.windows = cut(find_windows(items, item_id, item_text))
+        self.table, self.bloom_bits = cut(prefixes(self.windows)), bloom_bits
+
+    def places(self, documents: DataFrame, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+        return find_places(documents, text, keep, self.table, self.bloom_bits)
+
+    def hits(self, places: DataFrame) -> DataFrame:
+        """(_digest, _spans, _items) of the texts, by digest, that hold a window: merged spans [begin, end) in words, sorted item ids."""
+        flat = places.select(F.col("_digest").alias("d"), F.explode("_places").alias("x")).select("d", "x.*")
+        # Copies of a text give equal rows, which are combined before they move.
+        flat = flat.groupBy("d", "t", "p").agg(F.first("lead").alias("lead"), F.first("around").alias("around"))
+        n = F.size("words")
+        fits = (F.col("lead") >= F.col("at")) & (F.size("around") - F.col("lead") + F.col("at") >= n)
+        begin = F.col("p") - F.col("at")
+        met = flat.join(self.table, "t").where(fits).where(F.slice("around", F.col("lead") - F.col("at") + 1, n) == F.col("words"))
+        met = cut(met.select("d", "w", begin.cast("long").alias("begin"), (begin + n).cast("long").alias("end")))
+        held = met.select("d", "w").distinct().join(self.windows.select("w", "item"), "w").groupBy("d").agg(F.array_sort(F.collect_set("item")).alias("items"))
+        return cut(merged(met).join(held, "d").select(F.col("d").alias("_digest"), F.col("spans").alias("_spans"), F.col("items").alias("_items")))
 
 
 def merged(hits: DataFrame) -> DataFrame:
@@ -203,10 +218,22 @@ def find_leaks(documents: DataFrame, items: DataFrame, text: str = "text", item_
     the three new names, and of the name _digest, are replaced or dropped.
     """
     documents = documents.drop("_n_words", "_spans", "_items", "_digest")
-    hits = cut(find_hits(documents, items, text, item_id, item_text, bloom_bits)).select(F.col("d").alias("_digest"), F.col("spans").alias("_spans"), F.col("items").alias("_items"))
+    benchmark = Benchmark(items, item_id, item_text, bloom_bits)
+    hits = benchmark.hits(benchmark.places(documents, text))
     counted = documents.withColumns({"_n_words": count_words(F.col(text)), "_digest": digest(F.col(text))})
+    return with_hits(counted, hits, documents.columns)
+
+
+def with_hits(rows: DataFrame, hits: DataFrame, columns: list[str]) -> DataFrame:
     none = {"_spans": F.array().cast("array<struct<begin:long,end:long>>"), "_items": F.array().cast("array<string>")}
-    return counted.join(hits, "_digest", "left").select(*documents.columns, "_n_words", *[F.coalesce(c, empty).alias(c) for c, empty in none.items()])
+    return rows.join(hits, "_digest", "left").select(*columns, "_n_words", *[F.coalesce(c, empty).alias(c) for c, empty in none.items()])
+
+
+def report_leaks(documents: DataFrame, items: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", item_id: str = "item_id", item_text: str = "text", bloom_bits: int = BLOOM_BITS) -> DataFrame:
+    """As find_leaks, with the columns kept only: texts, which are not among them, are read once."""
+    benchmark = Benchmark(items, item_id, item_text, bloom_bits)
+    places = cut(benchmark.places(documents, text, keep))
+    return with_hits(places.select(*keep, "_digest", "_n_words"), benchmark.hits(places), list(keep))
 
 
 def hit_words(spans: str = "_spans"):
@@ -216,7 +243,7 @@ def hit_words(spans: str = "_spans"):
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = find_leaks(documents, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = report_leaks(documents, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.select(
         "doc_id",
         F.col("_n_words").alias("n_words"),
