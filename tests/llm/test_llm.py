@@ -626,3 +626,18 @@ def test_pipeline_run_equals_its_stages_by_brute_force(spark):
     coder = bpe_codec.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).coder
     got = {r["doc_id"]: (r["lang"], list(r["ids"])) for r in corpus_pipeline.run(spark, sf).collect()}
     assert got == {r["doc_id"]: (found[r["doc_id"]][0], coder.encode_ordinary(r["text"])) for r in rows} and 0 < len(rows) < docs_.count()
+
+
+def test_words_of_many_texts():
+    rnd = random.Random(22)
+    decontaminate.PIECE, before = 16, decontaminate.PIECE
+    try:
+        for _ in range(200):
+            given = [None if rnd.random() < 0.1 else "".join(rnd.choice("aAzZ09 _-\t\x00éÉ漢🙂[`{") for _ in range(rnd.randint(0, 60))) for _ in range(rnd.randint(0, 5))]
+            found = decontaminate.Words([None if t is None else t.encode() for t in given])
+            split = [decontaminate.words(t) for t in given]
+            assert found.counts.tolist() == [len(w) for w in split] and found.said(0, len(found.start)) == [x for w in split for x in w]
+            alone = {x: int(decontaminate.Words([x.encode()]).hashes[0]) for w in split for x in w}
+            assert [int(h) for h in found.hashes] == [alone[x] for w in split for x in w] and len(set(alone.values())) == len(alone)
+    finally:
+        decontaminate.PIECE = before

@@ -38,8 +38,8 @@ from tidemark.session import cut
 
 #: Words of a window, and of a shingle.
 WINDOW, SHINGLE = 10, 3
-#: Word hashes kept by a worker.
-MEMO = 300_000
+#: Bytes whose words are hashed at a time.
+PIECE = 1 << 19
 WORD = re.compile("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -54,17 +54,52 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")), F.lit(0)).cast("long")
 
 
-class Memo(dict):
-    """64-bit hashes of words, made when first asked for."""
+#: Byte -> its lower-case form in a word, or 0 between words.
+_BYTES = np.array([c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0 for c in range(256)], np.uint8)
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return h
 
-    def hashes(self, w: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, w), np.uint64, len(w))
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    if len(_powers[0]) < n:
+        for k, x in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            with np.errstate(over="ignore"):
+                _powers[k] = np.concatenate(([np.uint64(1)], np.cumprod(np.full(max(n, PIECE) - 1, x, np.uint64))))
+    return _powers[0][:n], _powers[1][:n]
+
+
+class Words:
+    """The words of some texts: where they stand, which text they are of, and a 64-bit hash of each.
+
+    The hash is a polynomial over a word's bytes; the sum up to each byte gives
+    those of all words at once, without an object for a word.
+    """
+
+    def __init__(self, given: list[bytes | None]):
+        joined = b"\x00".join(t or b"" for t in given)
+        low = _BYTES[np.frombuffer(joined, np.uint8)]
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], low != 0, [False])).view(np.int8)))
+        self.low, self.start, self.end = low, edges[::2], edges[1::2]
+        self.hashes = np.empty(len(self.start), np.uint64)
+        i = 0
+        while i < len(self.start):  # in pieces, so that a long text needs little memory
+            j = max(i + 1, int(np.searchsorted(self.end, self.start[i] + PIECE, "right")))
+            begin = int(self.start[i])
+            power, inverse = _power(int(self.end[j - 1]) - begin + 1)
+            with np.errstate(over="ignore"):
+                total = np.concatenate(([np.uint64(0)], np.cumsum(low[begin : self.end[j - 1]] * power[:-1], dtype=np.uint64)))
+                first, last = self.start[i:j] - begin, self.end[i:j] - begin
+                self.hashes[i:j] = mixed((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64))
+            i = j
+        starts = np.cumsum([0, *(len(t or b"") + 1 for t in given)])
+        self.of = np.searchsorted(starts, self.start, "right") - 1
+        self.counts = np.bincount(self.of, minlength=len(given)).astype(np.int64) if len(given) else np.empty(0, np.int64)
+        self.begin = np.cumsum(self.counts) - self.counts  # first word of each text
+
+    def said(self, i: int, j: int) -> list[str]:
+        """The words from i up to j."""
+        return [self.low[a:b].tobytes().decode("utf-8", "surrogatepass") for a, b in zip(self.start[i:j].tolist(), self.end[i:j].tolist())]
 
 
 def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -114,11 +149,11 @@ def prefixes(windows: DataFrame) -> DataFrame:
     """
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
         for batch in batches:
             own, t, at = [], [], []
-            for i, window in enumerate(batch.column(1).to_pylist()):
-                s = shingles(memo.hashes(window), min(SHINGLE, len(window)))
+            found = Words([" ".join(x).encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()])
+            for i, (first, n) in enumerate(zip(found.begin.tolist(), found.counts.tolist())):
+                s = shingles(found.hashes[first : first + n], min(SHINGLE, n))
                 own += [i] * len(s)
                 t.append(s)
                 at += range(len(s))
@@ -147,13 +182,9 @@ def find_places(documents: DataFrame, text: str, keep: tuple[str, ...], table: D
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:width]) + f", _n_words long, {PLACES}"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo()
         for batch in batches:
-            split = [words(x) for x in texts(batch.column(width))]
-            n = np.array([len(w) for w in split], np.int64)
-            begin = np.cumsum(n) - n
-            hashes = memo.hashes([x for w in split for x in w])  # of all texts in one array
-            row_of = np.repeat(np.arange(len(split)), n)
+            found_words = Words(batch.column(width).cast(pa.binary()).to_pylist())
+            n, begin, hashes, row_of = found_words.counts, found_words.begin, found_words.hashes, found_words.of
             at, t = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for size in sizes:
                 found = shingles(hashes, size)
@@ -167,8 +198,9 @@ def find_places(documents: DataFrame, text: str, keep: tuple[str, ...], table: D
             rows_hit = row_of[at]
             place = at - begin[rows_hit]
             lead = np.minimum(place, WINDOW - 1)
-            around = [split[i][p - k : p + WINDOW] for i, p, k in zip(rows_hit.tolist(), place.tolist(), lead.tolist())]
-            ends = np.concatenate(([0], np.cumsum(np.bincount(rows_hit, minlength=len(split)))))
+            last = np.minimum(at + WINDOW, (begin + n)[rows_hit])
+            around = [found_words.said(i, j) for i, j in zip((at - lead).tolist(), last.tolist())]
+            ends = np.concatenate(([0], np.cumsum(np.bincount(rows_hit, minlength=batch.num_rows))))
             flat = pa.StructArray.from_arrays([pa.array(t), pa.array(place.astype(np.int32)), pa.array(lead.astype(np.int32)), pa.array(around, pa.list_(pa.string()))], ["t", "p", "lead", "around"])
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(n), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], [*keep, "_digest", "_n_words", "_places"])
 
