@@ -26,22 +26,29 @@ def parse_edges(low: Column, high: Column) -> tuple[Column, Column]:
 def parse_band(c: Column) -> Column:
     """'9 kHz - 110 kHz' to an array of both edges in MHz, or null.
 
-    Text behind | is ignored. Each side needs a number and a unit; kHz, MHz
-    and GHz are known, others give a negative value. Malformed: null.
+    Text behind | and spaces are ignored. Each side is a number and a unit of
+    three letters; kHz, MHz and GHz are known in any case, others give a
+    negative value. Malformed: null.
     """
-    sides = F.split(F.split(c, r"\|").getItem(0), "-")
+    sides = F.split(F.replace(F.split(c, r"\|").getItem(0), F.lit(" "), F.lit("")), "-")
 
     def edge(s: Column) -> Column:
-        s = F.replace(s, F.lit(","), F.lit("."))
-        number = F.regexp_extract(s, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
-        unit = F.regexp_extract(s, r"([A-Za-z]{3})", 1)
-        scale = F.when(unit == "kHz", 1e-3).when(unit == "MHz", 1.0).when(unit == "GHz", 1e3).when(unit != "", -1.0)
+        pattern = r"^([+]?(?:\d+[.,]?\d*|[.,]\d+))(\D{3})$"
+        number = F.replace(F.regexp_extract(s, pattern, 1), F.lit(","), F.lit(".")).try_cast("double")
+        unit = F.lower(F.regexp_extract(s, pattern, 2))
+        scale = F.when(unit == "khz", 1e-3).when(unit == "mhz", 1.0).when(unit == "ghz", 1e3).when(unit != "", -1.0)
         return number * scale
 
     a, b = edge(sides.getItem(0)), edge(F.get(sides, F.lit(1)))
     return F.when((F.size(sides) == 2) & a.isNotNull() & b.isNotNull(), F.array(a, b))
 
 
+def shown_number(c: Column) -> Column:
+    """A double as it is usually written: 5.0, 0.009, 0.00005; no exponent from 1e-12 to 1e15."""
+    digits = F.regexp_replace(c.cast("decimal(38,18)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when((F.abs(c) < 1e15) & ((F.abs(c) > 1e-12) | (c == 0)), digits).otherwise(c.cast("string"))
+
+
 def parse_frequency(c: Column) -> Column:
     """Leading number times its unit in MHz: kHz, MHz or none, GHz (case matters); NaN without a number.
 
@@ -103,3 +110,14 @@ def centre_width(low: Column, high: Column) -> Column:
 def log_position(c: Column, low: Column, high: Column, length: float) -> Column:
     """Place of a value on a logarithmic axis of some length."""
     return F.log(c / low) / F.log(high / low) * length
+
+
+def zoomed(low: Column, high: Column, factor: float, at: Column, least: Column, most: Column) -> Column:
+    """A range (low, high) scaled around a value by a factor and kept within (least, most)."""
+    return F.struct(clamp(at - (at - low) * factor, least, most).alias("low"), clamp(at + (high - at) * factor, least, most).alias("high"))
+
+
+def shifted(low: Column, high: Column, by: Column, least: Column, most: Column) -> Column:
+    """A range moved by a distance, as far as (least, most) has room for; its width stays."""
+    by = clamp(by, least - low, most - high)
+    return F.struct((low + by).alias("low"), (high + by).alias("high"))

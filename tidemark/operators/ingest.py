@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import parse_band, parse_edges
+from tidemark.functions.numbers import parse_band, parse_edges, shown_number
 from tidemark.functions.text import clean_html, first_column, header_name, is_good_text, row_text, shorten, squeeze, strip, strip_tags, words
 
 #: Words of a packed block, and characters of an item at least.
@@ -19,9 +22,18 @@ PLAN_PARTS = (
     ("Bandbredd", "mängd_(mhz)"),
     ("Populärnamn", "populärnamn"),
     ("Duplex", "duplexband"),
-    ("Tilldelning", "tilldelningsform"),
+    ("Tilldelningsform", "tilldelningsform"),
     ("Planerad förändring", "planerad_förändring"),
 )
+#: Metadata column of a part's value.
+PLAN_META = (
+    ("Bandbredd", "bandwidth_mhz"),
+    ("Populärnamn", "popular_name"),
+    ("Duplex", "duplex"),
+    ("Användning", "usage_today"),
+    ("Tilldelningsform", "allocation_form"),
+    ("Planerad förändring", "planned_change"),
+)
 ITU_COLUMNS = ("allokerat_band_enligt_itu-rr", "allokerade_tjänster_enligt_itu-rr")
 
 
@@ -37,18 +49,45 @@ def layout_of(columns: list[str]) -> str:
 
 
 def _text(columns: list[str], name: str | None) -> Column:
-    return squeeze(F.coalesce(F.col(f"`{name}`"), F.lit(""))) if name in columns else F.lit("")
+    return strip(F.coalesce(F.col(f"`{name}`"), F.lit(""))) if name in columns else F.lit("")
+
+
+def labelled_parts(parts: list[tuple[str, Column]], sep: str = "\n") -> Column:
+    """'label: value' of the parts that are neither null nor empty."""
+    return F.concat_ws(sep, *[F.when(v != "", F.concat(F.lit(f"{label}: "), v)) for label, v in parts])
 
 
 def plan_documents(df: DataFrame, source: str = "source", row: str = "row") -> DataFrame:
-    """(source, row, text, from_mhz, to_mhz) of plan rows with both edges given; labelled parts by line, empty ones left out."""
+    """Plan rows with both edges given: text of labelled parts by line, empty ones left out, and the row's metadata.
+
+    Columns: source, row, text, type, from_mhz, to_mhz (null unless both are
+    numbers), from_str, to_str, bandwidth_mhz, popular_name, duplex,
+    usage_today, allocation_form, planned_change.
+    """
     low, high = (_text(df.columns, c) for c in PLAN_EDGES)
-    parts = []
-    for label, name in PLAN_PARTS:
-        value = F.concat(low, F.lit(" - "), high, F.lit(" MHz")) if name is None else _text(df.columns, name)
-        parts.append(F.when(value != "", F.concat(F.lit(f"{label}: "), value)))
+    value = {label: _text(df.columns, name) for label, name in PLAN_PARTS if name}
+    value["Användning"] = squeeze(value["Användning"])
+    shown = value | {"Frekvensområde": F.concat(low, F.lit(" - "), high, F.lit(" MHz")), "Bandbredd": F.when(value["Bandbredd"] != "", F.concat(value["Bandbredd"], F.lit(" MHz")))}
     a, b = parse_edges(low, high)
-    return df.where((low != "") & (high != "")).select(source, row, F.concat_ws("\n", *parts).alias("text"), a.alias("from_mhz"), b.alias("to_mhz"))
+    return df.where((low != "") & (high != "")).select(
+        source,
+        row,
+        labelled_parts([(label, shown[label]) for label, _ in PLAN_PARTS]).alias("text"),
+        F.lit("allocation_plan").alias("type"),
+        a.alias("from_mhz"),
+        b.alias("to_mhz"),
+        low.alias("from_str"),
+        high.alias("to_str"),
+        *[value[label].alias(name) for label, name in PLAN_META],
+    )
+
+
+def plan_blocks(df: DataFrame, most: int = 400, source: str = "source", row: str = "row") -> DataFrame:
+    """Plan rows in short form, packed by source: (source, block_index, text, words, items, type). Word limit: 400."""
+    low, high = (_text(df.columns, c) for c in PLAN_EDGES)
+    text = F.concat(F.lit("Frekvens: "), low, F.lit("-"), high, F.lit(" MHz | Användning: "), _text(df.columns, "användning_idag"))
+    short = df.where((low != "") & (high != "")).select(source, row, text.alias("text"))
+    return pack(short, most, by=source, order=row).withColumn("type", F.lit("allocation_plan_block"))
 
 
 def generic_documents(df: DataFrame, source: str = "source", row: str = "row", drop: tuple[str, ...] = ("",)) -> DataFrame:
@@ -67,25 +106,44 @@ def aligned(parts: Column, like: Column) -> Column:
 
 
 def itu_documents(df: DataFrame, source: str = "source", row: str = "row") -> DataFrame:
-    """(source, row, usage_index, text, band_mhz): one document per usage; no usage column, no documents."""
+    """One document per usage of a row, with its metadata; no usage column, no documents.
+
+    Columns: source, row, usage_index, text, band_mhz (both edges), type,
+    itu_band, itu_services, swedish_usage, frequency_band, duplex, note. The
+    text shows a band by its edges in MHz; one that cannot be parsed as it is.
+    """
     usage = first_column(df.columns, "användning", "planerad")
     if usage is None:
-        return df.sparkSession.createDataFrame([], f"{source} string, {row} long, usage_index int, text string, band_mhz array<double>")
+        return df.sparkSession.createDataFrame([], f"{source} string, {row} long, usage_index int, text string, band_mhz array<double>, type string, itu_band string, itu_services string, swedish_usage string, frequency_band string, duplex string, note string")
     column = {k: first_column(df.columns, k) for k in ("frekvensband", "anmärkning", "duplexband", "allokerat_band", "allokerade_tjänster")}
     parts = lambda name: pipe_parts(F.col(f"`{name}`")) if name else F.array().cast("array<string>")
     rows = df.select(source, row, pipe_parts(F.col(f"`{usage}`")).alias("u"), parts(column["frekvensband"]).alias("b"), parts(column["anmärkning"]).alias("n"), *[_text(df.columns, column[k]).alias(k) for k in ("duplexband", "allokerat_band", "allokerade_tjänster")])
     flat = rows.select("*", F.posexplode(F.arrays_zip("u", aligned(F.col("b"), F.col("u")).alias("band"), aligned(F.col("n"), F.col("u")).alias("note"))).alias("usage_index", "z"))
-    note = squeeze(strip_tags(F.col("z.note"), " "))
-    labelled = [("Användning", F.col("z.u")), ("Frekvensband", F.col("z.band")), ("Duplex", F.col("duplexband")), ("ITU-band", F.col("allokerat_band")), ("ITU-tjänster", F.col("allokerade_tjänster")), ("Anmärkning", note)]
-    text = F.concat_ws("\n", *[F.when(v != "", F.concat(F.lit(f"{k}: "), v)) for k, v in labelled])
-    return flat.select(source, row, "usage_index", text.alias("text"), parse_band(F.col("z.band")).alias("band_mhz"))
+    edges = parse_band(F.col("z.band"))
+    band = F.coalesce(F.concat(shown_number(edges[0]), F.lit(" - "), shown_number(edges[1]), F.lit(" MHz")), F.col("z.band"))
+    labelled = [("Användning", F.col("z.u")), ("Frekvensband", band), ("Duplex", F.col("duplexband")), ("ITU-band", F.replace(F.col("allokerat_band"), F.lit("|"), F.lit("\t"))), ("ITU-tjänster", F.col("allokerade_tjänster")), ("Anmärkning", strip_tags(F.col("z.note"), " "))]
+    return flat.select(
+        source,
+        row,
+        "usage_index",
+        labelled_parts(labelled).alias("text"),
+        edges.alias("band_mhz"),
+        F.lit("itu_allocation").alias("type"),
+        F.col("allokerat_band").alias("itu_band"),
+        F.col("allokerade_tjänster").alias("itu_services"),
+        F.col("z.u").alias("swedish_usage"),
+        F.col("z.band").alias("frequency_band"),
+        F.col("duplexband").alias("duplex"),
+        F.col("z.note").alias("note"),
+    )
 
 
 def exemption_documents(df: DataFrame) -> DataFrame:
-    """(id, from_mhz, to_mhz, usage, reference, text) of exemption objects with keys `x` or `x.a`.
+    """(id, from_mhz, to_mhz, usage, reference, text, type) of exemption objects with keys `x` or `x.a`, and source and row if there.
 
-    Objects with equal edges, both missing included, are dropped. An explicit
-    null counts as missing.
+    Objects with equal edges, both missing included, are dropped, and so are
+    those without any text. An explicit null counts as missing; an id of 0 is
+    not shown. The range is shown if both edges are there.
     """
 
     def key(name: str) -> Column:
@@ -96,10 +154,11 @@ def exemption_documents(df: DataFrame) -> DataFrame:
     condition = F.coalesce(key("condition"), F.lit(""))
     condition = shorten(clean_html(F.when(F.length(condition) < 200_000, condition).otherwise("")), 800)
     usage, reference = F.coalesce(key("usageDescriptionLicenseExcemptionUsageDescription"), F.lit("")), F.left(F.coalesce(key("reference"), F.lit("")), F.lit(200))
-    span = F.concat(F.coalesce(low, F.lit("")), F.lit(" - "), F.coalesce(high, F.lit("")), F.lit(" MHz"))
-    parts = [("ID", F.coalesce(key("id"), F.lit(""))), ("Användning", usage), ("Frekvensområde", span), ("Villkor", condition), ("Referens", reference)]
-    text = F.concat_ws(" | ", *[F.when(v != "", F.concat(F.lit(f"{k}: "), v)) for k, v in parts])
-    return df.where(~low.eqNullSafe(high)).select(key("id").alias("id"), low.alias("from_mhz"), high.alias("to_mhz"), usage.alias("usage"), reference.alias("reference"), text.alias("text"))
+    span = F.concat(low, F.lit(" - "), high, F.lit(" MHz"))
+    text = labelled_parts([("ID", F.nullif(key("id"), F.lit("0"))), ("Användning", usage), ("Frekvensområde", span), ("Villkor", condition), ("Referens", reference)], " | ")
+    kept = [c for c in ("source", "row") if c in df.columns]
+    found = df.where(~low.eqNullSafe(high)).select(*kept, key("id").alias("id"), low.alias("from_mhz"), high.alias("to_mhz"), usage.alias("usage"), reference.alias("reference"), text.alias("text"), F.lit("spectrum_exemption").alias("type"))
+    return found.where("text <> ''")
 
 
 def embedding_text(meta: list[str], text: str = "text") -> Column:
@@ -108,8 +167,13 @@ def embedding_text(meta: list[str], text: str = "text") -> Column:
 
 
 def keep_first(df: DataFrame, text: str = "text", order: tuple[str, ...] = ("pos",)) -> DataFrame:
-    """The first row of each text. An aggregate before the join: a text of a third of all rows is one row per task."""
-    return df.join(df.groupBy(text).agg(F.min(F.struct(*order)).alias("_o")).select(F.col("_o.*")), list(order), "left_semi")
+    """One row of each text, the first by order, nulls last; equal places leave one of their rows.
+
+    An aggregate: a text of a third of all rows is one row per task.
+    """
+    place = F.struct(*[x for c in order for x in (F.col(c).isNull(), F.col(c))])
+    rest = [c for c in df.columns if c != text]
+    return df.groupBy(text).agg(F.min_by(F.struct(*rest), place).alias("_r")).select(*[F.col(c) if c == text else F.col(f"_r.{c}") for c in df.columns])
 
 
 def quality_gate(df: DataFrame, text: str = "text") -> DataFrame:
@@ -128,26 +192,35 @@ def numbered(df: DataFrame, name: str, by: str = "source", order: str = "pos", s
 def pack(df: DataFrame, most: int = PACK_WORDS, by: str = "source", order: str = "pos", text: str = "text") -> DataFrame:
     """(by, block_index, text, words, items): consecutive texts packed up to a word budget, joined by a space.
 
-    A text above the budget is a block of its own. Greedy packing depends on
-    all earlier texts of a source, so the fold runs over (position, words)
-    only, which are a few bytes a row; texts are joined afterwards, per block.
+    A text above the budget is a block of its own; null texts have no words
+    and are left out of the joined text; rows of equal order go by text. Greedy
+    packing depends on all earlier texts of a source, so a source is folded in
+    order, by one task, which holds one block and an Arrow batch at a time.
     """
-    counted = df.select(by, order, text, F.size(words(F.col(text))).alias("_w"))
-    def fold(pdf):
-        pdf = pdf.sort_values(order, kind="stable")
-        block, used, n, out = 0, 0, 0, []
-        for w in pdf["_w"]:
-            if n and used + w > most:
-                block, used, n = block + 1, 0, 0
-            used, n = used + w, n + 1
-            out.append(block)
-        return pdf.assign(block_index=out)
-
-    kinds = dict(counted.dtypes)
-    placed = counted.select(by, order, "_w").groupBy(by).applyInPandas(fold, f"`{by}` {kinds[by]}, `{order}` {kinds[order]}, _w int, block_index long")
-    joined = counted.drop("_w").join(placed, [by, order])
-    blocks = joined.groupBy(by, "block_index").agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("_t"), F.sum("_w").alias("words"), F.count("*").alias("items"))
-    return blocks.select(by, "block_index", F.array_join(F.transform("_t", lambda t: t[text]), " ").alias("text"), "words", "items")
+    rows = df.select(F.col(by).alias("by"), F.col(order).alias("o"), F.col(text).alias("text"), F.size(words(F.col(text))).alias("w"))
+    kind = dict(df.dtypes)[by]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind_of, now, texts, used, n, block = None, None, [], 0, 0, 0
+        for batch in batches:
+            kind_of, out = batch.schema.field("by").type, []
+            for of, t, w in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if n and (of != now or used + w > most):
+                    out.append((now, block, " ".join(texts), used, n))
+                    texts, used, n, block = [], 0, 0, block + 1 if of == now else 0
+                now, used, n = of, used + w, n + 1
+                if t is not None:
+                    texts.append(t)
+            yield blocks(out, kind_of)
+        if n:
+            yield blocks([(now, block, " ".join(texts), used, n)], kind_of)
+
+    def blocks(out: list[tuple], kind_of: pa.DataType) -> pa.RecordBatch:
+        kinds = (kind_of, pa.int64(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["by", "block_index", "text", "words", "items"])
+
+    packed = rows.repartition("by").sortWithinPartitions("by", "o", "text").mapInArrow(fold, f"by {kind}, block_index long, text string, words long, items long")
+    return packed.withColumnRenamed("by", by)
 
 
 def html_text(c: Column) -> Column:

@@ -1,7 +1,8 @@
 """BM25 index and search as DataFrames.
 
 The index is three tables: postings (pos, term, tf, dl), terms (term, df, idf)
-and stats (n, avgdl). Search touches only the postings of the query's terms.
+and stats (n, avgdl), all in Parquet. Search touches only the postings of the
+query's terms.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import tokenize
-from tidemark.session import cut
+from tidemark.session import cut, shared_path
 
 #: BM25 parameters: saturation, length share, and the floor of idf as a share of its mean.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -26,13 +27,6 @@ class Bm25Index:
     terms: DataFrame  # term, df, idf
     stats: DataFrame  # n, avgdl
 
-    def save(self, path: str) -> None:
-        """Overwrites the index below path; postings are clustered by term, so a query reads few row groups."""
-        self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
-
     @staticmethod
     def load(spark: SparkSession, path: str) -> Bm25Index | None:
         """The index, or None with a message if there is none."""
@@ -44,19 +38,35 @@ class Bm25Index:
             print(f"no index at {path}")
             return None
 
+    def save(self, path: str) -> None:
+        """Copies the index below another path, overwriting what is there."""
+        for part in ("docs", "postings", "terms", "stats"):
+            getattr(self, part).write.mode("overwrite").parquet(f"{path}/{part}")
+
+
+def build(docs: DataFrame, pos: str = "pos", text: str = "text", path: str | None = None) -> Bm25Index:
+    """Index of docs; a document without tokens has no postings but counts in n and avgdl.
 
-def build(docs: DataFrame, pos: str = "pos", text: str = "text") -> Bm25Index:
-    """Index of docs; a document without tokens has no postings but counts in n and avgdl."""
+    The index is written below path, overwriting what is there, or to a new
+    folder in the shared one: texts are cut into tokens once, and all
+    statistics come from the written postings. Postings are ordered by term,
+    so that a query reads few row groups; those of a frequent term are split.
+    """
+    spark = docs.sparkSession
+    path = path or shared_path(spark, "bm25")
     tokens = docs.select(F.col(pos).alias("pos"), tokenize(F.col(text)).alias("tokens"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    postings = (
-        tokens.select("pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("pos", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    )
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n")))  # one row
-    raw = df.select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    postings = tokens.select("pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("pos", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    postings.repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+    docs.withColumnRenamed(pos, "pos").write.mode("overwrite").parquet(f"{path}/docs")
+    postings = spark.read.parquet(f"{path}/postings")
+    n = spark.read.parquet(f"{path}/docs").count()
+    stats = postings.agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(max(n, 1))).alias("avgdl"))
+    raw = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((F.lit(EPSILON) * F.avg("raw")).alias("floor"))
-    terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Bm25Index(docs.withColumnRenamed(pos, "pos"), postings, terms, stats)
+    terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # floor has one row
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
+    terms.write.mode("overwrite").parquet(f"{path}/terms")
+    return Bm25Index.load(spark, path)
 
 
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
@@ -77,13 +87,8 @@ def scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
 
 def search(index: Bm25Index, query: str, k: int = 30) -> DataFrame:
     """The k best documents (pos, score, rank); documents without a term score 0, ties keep corpus order."""
-    spark = index.docs.sparkSession
-    found = scores(index, spark.createDataFrame([(0, query)], "query_id int, text string")).select("pos", F.round("score", 9).alias("score"))
-    # Documents that score 0 can only matter as padding: the first k of the corpus are enough.
-    first = index.docs.select("pos").orderBy("pos").limit(2 * k)
-    ranked = found.unionByName(first.select("pos", F.lit(0.0).alias("score"))).groupBy("pos").agg(F.max_by("score", F.abs("score")).alias("score"))
-    best = ranked.orderBy(F.desc("score"), "pos").limit(k)
-    return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("score"), "pos")))
+    asked = index.docs.sparkSession.createDataFrame([(0, query)], "query_id int, text string")
+    return search_all(index, asked, k).drop("query_id")
 
 
 def search_all(index: Bm25Index, queries: DataFrame, k: int = 30) -> DataFrame:
@@ -92,12 +97,16 @@ def search_all(index: Bm25Index, queries: DataFrame, k: int = 30) -> DataFrame:
     hits = scores(index, queries).select("query_id", "pos", F.round("score", 9).alias("score"))
     found = hits.withColumn("rank", place).where(F.col("rank") <= k).drop("rank")
     found = cut(found)  # at most k rows of each query, read again below
-    # A query with fewer than k documents above 0 is padded with those that hold none of its terms.
+    # A query with fewer than k documents above 0 is padded with the first documents that hold none of its terms.
     enough = found.where("score > 0").groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = queries.join(enough, "query_id", "left_anti")
     if not short.isEmpty():
-        pairs = index.docs.select("pos").crossJoin(F.broadcast(short.select("query_id").distinct()))
-        rest = pairs.join(scores(index, short).select("query_id", "pos"), ["query_id", "pos"], "left_anti")
+        held = cut(scores(index, short).select("query_id", "pos"))
+        most = held.groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+        # Among the first k + n documents, at least k hold none of the terms of a query that n documents hold terms of.
+        first = index.docs.select("pos").orderBy("pos").limit(k + most)
+        pairs = first.crossJoin(F.broadcast(short.select("query_id").distinct()))
+        rest = pairs.join(held, ["query_id", "pos"], "left_anti").withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("pos"))).where(F.col("n") <= k)
         found = found.unionByName(rest.select("query_id", "pos", F.lit(0.0).alias("score")))
     return found.withColumn("rank", place).where(F.col("rank") <= k)
 
