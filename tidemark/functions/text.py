@@ -20,7 +20,7 @@ def words(text: Column) -> Column:
 
 def tokenize(text: Column) -> Column:
     """Lower-case tokens of letters, digits, _, - and dots; everything else parts tokens."""
-    return words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s.\-]", " "))
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_.\-]+"), lambda w: w != "")
 
 
 def strip(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -52,6 +52,46 @@ def overlap_join(bands: DataFrame, ranges: DataFrame, width: float) -> DataFrame
     return left.join(right, "_cell").where(hit & first).drop("_cell")
 
 
+#: Width of a slice of the axis in running sums.
+SLICE = 64.0
+
+
+def _before(rows: DataFrame, by: list[str], value, name: str) -> DataFrame:
+    """(by, _slice, name): the aggregate value over all earlier slices, combined by max or sum; one row per slice."""
+    fold, column = value
+    parts = rows.groupBy(*by, "_slice").agg(fold(column).alias("_v"))
+    earlier = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    return parts.select(*by, "_slice", fold("_v").over(earlier).alias(name))
+
+
+def running_counts(values: DataFrame, asked: DataFrame, inclusive: bool, width: float = SLICE) -> DataFrame:
+    """(x, n): how many values (x) are below each asked x, or not above it. Distinct asked values only.
+
+    Equal values are counted before they move. The running sum passes over the
+    distinct points in two steps, within slices of the axis and over the
+    slices' totals, so no task sees the whole axis' points.
+    """
+    points = values.groupBy("x").agg(F.count("*").alias("d")).withColumn("_a", F.lit(0)).unionByName(asked.select("x").distinct().withColumns({"d": F.lit(0).cast("long"), "_a": F.lit(1)}))
+    points = points.groupBy("x").agg(F.sum("d").alias("d"), F.max("_a").alias("_a")).where("x IS NOT NULL").withColumn("_slice", F.floor(F.col("x") / width))
+    inside = W.partitionBy("_slice").orderBy("x").rowsBetween(W.unboundedPreceding, 0 if inclusive else -1)
+    run = F.coalesce(F.sum("d").over(inside), F.lit(0))
+    totals = _before(points.withColumn("_all", F.lit(0)), ["_all"], (F.sum, "d"), "_base").drop("_all")
+    summed = points.withColumn("_run", run).where("_a = 1").join(totals, "_slice", "left")
+    return summed.select("x", (F.col("_run") + F.coalesce("_base", F.lit(0))).alias("n"))
+
+
+def overlap_counts(bands: DataFrame, ranges: DataFrame, width: float = SLICE) -> DataFrame:
+    """(range_id, n): how many bands touch each range (range_id, low, high), for ranges that some band touches.
+
+    A band touches unless it starts above or ends below, and none does both:
+    two running counts, instead of the pairs.
+    """
+    begun = running_counts(bands.select(F.col("start").alias("x")), ranges.select(F.col("high").alias("x")), True, width)
+    ended = running_counts(bands.select(F.col("end").alias("x")), ranges.select(F.col("low").alias("x")), False, width)
+    counted = ranges.join(begun.select(F.col("x").alias("high"), F.col("n").alias("_b")), "high").join(ended.select(F.col("x").alias("low"), F.col("n").alias("_e")), "low")
+    return counted.select("range_id", (F.col("_b") - F.col("_e")).alias("n")).where("n > 0")
+
+
 def domain(bands: DataFrame) -> DataFrame:
     """(low, high): least start, at least 0.001, and largest end; the default domain without bands."""
     return bands.agg(F.greatest(F.lit(DOMAIN[0]), F.coalesce(F.min("start"), F.lit(DOMAIN[0]))).alias("low"), F.coalesce(F.max("end"), F.lit(DOMAIN[1])).alias("high"))
@@ -73,41 +113,59 @@ def depth(bands: DataFrame, by: str = "type") -> DataFrame:
     return parts.withColumn("_peak", F.col("_peak") + before).groupBy(by).agg(F.max("_peak").alias("depth"))
 
 
-#: Width of a slice of the axis in depth().
-SLICE = 64.0
+def islands(bands: DataFrame, by: str = "type", key: str = "id", width: float = SLICE) -> DataFrame:
+    """bands with _island, the start of the run of bands without a gap that each is in.
+
+    What reaches into a slice of the axis from earlier ones is found from one
+    row per slice, so a type is not sorted in one task.
+    """
+    rows = bands.withColumn("_slice", F.floor(F.col("start") / width))
+    inside = W.partitionBy(by, "_slice").orderBy("start", key)
+    reach = F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    # Columns of joined tables get names of their own, so that bands may have any.
+    rows = rows.join(_before(rows, [by], (F.max, "end"), "_reach").withColumnsRenamed({by: "_by", "_slice": "_s"}), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_slice") == F.col("_s")), "left").drop("_by", "_s")
+    reach = F.greatest("_reach", reach)  # skips nulls
+    rows = rows.withColumn("_fresh", F.when(reach.isNull() | (F.col("start") >= reach), F.col("start"))).drop("_reach")
+    rows = rows.join(_before(rows, [by], (F.max, "_fresh"), "_old").withColumnsRenamed({by: "_by", "_slice": "_s"}), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_slice") == F.col("_s")), "left").drop("_by", "_s")
+    latest = F.coalesce(F.max("_fresh").over(inside.rowsBetween(W.unboundedPreceding, 0)), F.col("_old"))
+    return rows.withColumn("_island", latest).drop("_slice", "_fresh", "_old")
 
 
 def assign_levels(bands: DataFrame, by: str = "type", key: str = "id") -> DataFrame:
     """bands with level: the lowest level of its type whose last band has ended when it starts.
 
-    Bands are taken by start, then key; touching edges share a level. First
-    fit depends on all earlier bands, but only through the levels' last ends:
-    gaps that no band covers cut a type into independent islands, and those are
-    the groups, so a task holds one island and not a type.
+    Bands are taken by start, then key; touching edges share a level; columns
+    level and _island are replaced. First fit depends on all earlier bands, but
+    only through the levels' last ends: gaps that no band covers cut a type
+    into independent islands, which go to different tasks. A task reads an
+    island in order and holds an Arrow batch and the levels that are open, not
+    the island.
     """
-    order = W.partitionBy(by).orderBy("start", key)
-    reach = F.max("end").over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)
-    islands = bands.withColumn("_fresh", fresh).withColumn("_island", F.sum("_fresh").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("_fresh")
+    bands = bands.drop("level", "_island")
     schema = T.StructType([*bands.schema.fields, T.StructField("level", T.IntegerType())])
+    names = [*bands.columns, "level"]
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns="_island").sort_values(["start", key], kind="stable")
-        ends: list[float] = []  # by level
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used = None, 0
         open_ends: list[tuple[float, int]] = []  # levels in use, by their end
         free: list[int] = []
-        levels = []
-        for start, end in zip(pdf["start"], pdf["end"]):
-            while open_ends and open_ends[0][0] <= start:
-                heapq.heappush(free, heapq.heappop(open_ends)[1])
-            level = heapq.heappop(free) if free else len(ends)
-            if level == len(ends):
-                ends.append(end)
-            heapq.heappush(open_ends, (end, level))
-            levels.append(level)
-        return pdf.assign(level=pd.Series(levels, index=pdf.index, dtype="int32"))
-
-    return islands.groupBy(by, "_island").applyInPandas(place, schema)
+        for batch in batches:
+            levels = []
+            read = lambda name: batch.column(name).to_pylist()
+            for island, start, end in zip(zip(read(by), read("_island")), read("start"), read("end")):
+                if island != now:
+                    now, used, open_ends, free = island, 0, [], []
+                while open_ends and open_ends[0][0] <= start:
+                    heapq.heappush(free, heapq.heappop(open_ends)[1])
+                level = heapq.heappop(free) if free else used
+                used += level == used
+                heapq.heappush(open_ends, (end, level))
+                levels.append(level)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in bands_columns), pa.array(levels, pa.int32())], names)
+
+    bands_columns = bands.columns
+    ordered = islands(bands, by, key).repartition(by, "_island").sortWithinPartitions(by, "_island", "start", key)
+    return ordered.mapInArrow(place, schema)
 
 
 def level_counts(placed: DataFrame, by: str = "type") -> DataFrame:

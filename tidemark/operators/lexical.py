@@ -49,14 +49,15 @@ def build(docs: DataFrame, pos: str = "pos", text: str = "text", path: str | Non
 
     The index is written below path, overwriting what is there, or to a new
     folder in the shared one: texts are cut into tokens once, and all
-    statistics come from the written postings. Postings are ordered by term,
-    so that a query reads few row groups; those of a frequent term are split.
+    statistics come from the written postings. Each file holds postings of all
+    terms, ordered by term: a query reads few row groups of each, and those of a
+    frequent term are spread over all files.
     """
     spark = docs.sparkSession
     path = path or shared_path(spark, "bm25")
     tokens = docs.select(F.col(pos).alias("pos"), tokenize(F.col(text)).alias("tokens"))
     postings = tokens.select("pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("pos", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    postings.repartitionByRange("term", "pos").sortWithinPartitions("term", "pos").write.mode("overwrite").parquet(f"{path}/postings")
+    postings.sortWithinPartitions("term", "pos").write.mode("overwrite").parquet(f"{path}/postings")
     docs.withColumnRenamed(pos, "pos").write.mode("overwrite").parquet(f"{path}/docs")
     postings = spark.read.parquet(f"{path}/postings")
     n = spark.read.parquet(f"{path}/docs").count()

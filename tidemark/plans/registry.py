@@ -249,7 +249,7 @@ def band_overlap(spark, sf):
 def band_range_join(spark, sf):
     day = F.datediff("o_orderdate", F.lit("1970-01-01")).cast("double")
     ranges = table(spark, sf, "orders").select(F.col("o_orderkey").alias("range_id"), day.alias("low"), (day + 3).alias("high"))
-    return bands.overlap_join(line_bands(spark, sf), ranges, 32.0).groupBy("range_id").agg(F.count("*").alias("n"))
+    return bands.overlap_counts(line_bands(spark, sf), ranges)
 
 
 @query(f"WITH {_SQL_BANDS} SELECT greatest(0.001, coalesce(min(start), 0.001)) AS low, coalesce(max(\"end\"), 10000) AS high FROM b")
