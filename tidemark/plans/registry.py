@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import numbers, text
-from tidemark.operators import bands, conversation, ingest, lexical, retrieval
-from tidemark.session import table
-from tidemark.sources import rest
+from tidemark.operators import bands, conversation, explorer, ingest, lexical, retrieval
+from tidemark.plans import index, service
+from tidemark.session import shared_path, table
+from tidemark.sources import rest, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -60,13 +61,15 @@ def bm25_topk(spark, sf):
     return found.select("pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-_BM25_ALL = rf"""
-WITH t AS (SELECT doc_id AS pos, {SQL_TOKENS.format("text")} AS tk FROM documents),
+def _bm25_sql(docs: str, asked: str) -> str:
+    """CTEs up to bm (query_id, pos, score, rank) for documents (pos, text) and queries (query_id, text)."""
+    return rf"""
+WITH dt AS ({docs}), t AS (SELECT pos, {SQL_TOKENS.format("text")} AS tk FROM dt),
 st AS (SELECT count(*) AS n, avg(len(tk)) AS avgdl FROM t),
 p AS (SELECT pos, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT pos, len(tk) AS dl, unnest(tk) AS term FROM t) GROUP BY ALL),
 d AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, st GROUP BY term, n),
 i AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM d) ELSE raw END AS idf FROM d),
-qs AS (SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 100 = 0),
+qs AS ({asked}),
 q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({SQL_TOKENS.format("text")}) AS term FROM qs) GROUP BY ALL),
 s AS (SELECT query_id, p.pos, sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM p JOIN q USING (term) JOIN i USING (term), st GROUP BY ALL),
 b AS (SELECT qs.query_id, t.pos, round(coalesce(score, 0), 9) AS score FROM qs CROSS JOIN t LEFT JOIN s ON s.query_id = qs.query_id AND s.pos = t.pos),
@@ -74,6 +77,9 @@ bm AS (SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORD
 """
 
 
+_BM25_ALL = _bm25_sql("SELECT doc_id AS pos, text FROM documents", "SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 100 = 0")
+
+
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """(query_id, text) of every benchmark item whose id is divisible by 100, with its whole text."""
     return table(spark, sf, "benchmark").where("item_id % 100 = 0").select(F.col("item_id").alias("query_id"), "text")
@@ -188,13 +194,17 @@ def dedup_keep_first(spark, sf):
     return ingest.keep_first(table(spark, sf, "documents").withColumnRenamed("doc_id", "pos")).select(F.col("pos").alias("doc_id"))
 
 
+def _pack_sql(rows: str) -> str:
+    """Packing of rows (source, pos, text); rows of equal pos go by text."""
+    return f"""WITH RECURSIVE r AS ({rows}), w AS (SELECT source, text, row_number() OVER (PARTITION BY source ORDER BY pos NULLS FIRST, text) AS n, len({SQL_WORDS.format('text')}) AS w FROM r),
+p AS (SELECT source, n, text, 0::BIGINT AS block_index, w AS used, w FROM w WHERE n = 1
+  UNION ALL SELECT w.source, w.n, w.text, CASE WHEN p.used + w.w > 200 THEN p.block_index + 1 ELSE p.block_index END, CASE WHEN p.used + w.w > 200 THEN w.w ELSE p.used + w.w END, w.w
+  FROM p JOIN w ON w.source IS NOT DISTINCT FROM p.source AND w.n = p.n + 1)
+SELECT source, block_index, md5(string_agg(text, ' ' ORDER BY n)) AS text_md5, sum(w)::BIGINT AS words, count(*) AS items FROM p GROUP BY source, block_index"""
+
+
 @query(
-    f"""WITH RECURSIVE w AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, len({SQL_WORDS.format('text')}) AS w FROM documents),
-p AS (SELECT source, n, doc_id, 0::BIGINT AS block_index, w AS used, w FROM w WHERE n = 1
-  UNION ALL SELECT w.source, w.n, w.doc_id, CASE WHEN p.used + w.w > 200 THEN p.block_index + 1 ELSE p.block_index END, CASE WHEN p.used + w.w > 200 THEN w.w ELSE p.used + w.w END, w.w
-  FROM p JOIN w ON w.source = p.source AND w.n = p.n + 1)
-SELECT source, block_index, md5(string_agg(d.text, ' ' ORDER BY p.doc_id)) AS text_md5, sum(p.w)::BIGINT AS words, count(*) AS items
-FROM p JOIN documents d USING (doc_id, source) GROUP BY source, block_index"""
+    _pack_sql("SELECT source, doc_id AS pos, text FROM documents")
 )
 def adaptive_pack(spark, sf):
     found = ingest.pack(table(spark, sf, "documents").select("source", F.col("doc_id").alias("pos"), "text"))
@@ -324,11 +334,12 @@ def conversation_history(spark, sf):
     return h.select("conv_id", F.size("history").cast("long").alias("messages"), F.md5(said).alias("history_md5"))
 
 
-@query("SELECT conv_id, count(*) + 2 AS messages, md5('system' || string_agg(role, '' ORDER BY turn) || 'user') AS roles_md5, 'ab' AS answer FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id, count(*) + 2 AS messages, md5('system:be brief|' || string_agg(role || ':' || coalesce(text, ''), '|' ORDER BY turn) || '|user:why?') AS said_md5, md5(string_agg(regexp_replace(replace(coalesce(text, ''), ' e', ' <think>') || '</think>', '<think>.*?</think>', '', 'gs'), '|' ORDER BY turn)) AS thoughtless_md5 FROM conversations GROUP BY conv_id")
 def prompt_messages(spark, sf):
     p = conversation.histories(table(spark, sf, "conversations")).withColumn("p", conversation.prompt(F.col("history"), F.lit("be brief"), F.lit("why?")))
-    roles = F.array_join(F.transform("p", lambda m: m["role"]), "")
-    return p.select("conv_id", F.size("p").cast("long").alias("messages"), F.md5(roles).alias("roles_md5"), text.without_think(F.lit("a<think>x\ny</think>b")).alias("answer"))
+    said = F.array_join(F.transform("p", lambda m: F.concat(m["role"], F.lit(":"), F.coalesce(m["text"], F.lit("")))), "|")
+    marked = lambda m: text.without_think(F.concat(F.replace(F.coalesce(m["text"], F.lit("")), F.lit(" e"), F.lit(" <think>")), F.lit("</think>")))
+    return p.select("conv_id", F.size("p").cast("long").alias("messages"), F.md5(said).alias("said_md5"), F.md5(F.array_join(F.transform("history", marked), "|")).alias("thoughtless_md5"))
 
 
 @query("SELECT o.o_orderkey, c.c_name AS name_a, o.o_orderstatus AS name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey")
@@ -359,3 +370,168 @@ def rerank_top7(spark, sf):
     ranked = table(spark, sf, "documents").select(F.col("doc_id").alias("rank"), "text")
     found = retrieval.rerank_all(ranked, questions(spark, sf).withColumnRenamed("text", "query"))
     return found.select("query_id", "rank", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+# Cases that the tables above do not hold, made from their rows.
+
+_X_DOCS = "SELECT event_id AS pos, CASE WHEN event_id % 10 < 7 THEN 'x a' WHEN event_id % 10 < 9 THEN 'x' ELSE '' END AS text FROM events"
+
+
+@query(_bm25_sql(_X_DOCS, "SELECT unnest([1, 2, 3]) AS query_id, unnest(['a', 'x', 'a b']) AS text") + "SELECT query_id::BIGINT AS query_id, pos, round(score, 6) AS score, rank FROM bm")
+def bm25_negative(spark, sf):
+    """Terms in most documents score below those that hold none of them."""
+    n = F.col("event_id") % 10
+    docs = table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.when(n < 7, "x a").when(n < 9, "x").otherwise("").alias("text"))
+    asked = spark.createDataFrame([(1, "a"), (2, "x"), (3, "a b")], "query_id long, text string")
+    found = lexical.search_all(lexical.build(docs), asked)
+    return found.select("query_id", "pos", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_REPEATED = "SELECT CASE WHEN doc_id % 11 = 0 THEN NULL ELSE source END AS source, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id END AS pos, text FROM documents"
+
+
+def _repeated(spark, sf) -> DataFrame:
+    """Documents with null sources and positions, and each seventh one twice."""
+    docs = table(spark, sf, "documents")
+    rows = docs.unionByName(docs.where("doc_id % 7 = 0"))
+    return rows.select(F.expr("CASE WHEN doc_id % 11 = 0 THEN NULL ELSE source END").alias("source"), F.expr("CASE WHEN doc_id % 5 = 0 THEN NULL ELSE doc_id END").alias("pos"), "text")
+
+
+@query(_pack_sql(f"{_REPEATED} UNION ALL {_REPEATED} WHERE doc_id % 7 = 0"))
+def pack_repeated(spark, sf):
+    return ingest.pack(_repeated(spark, sf)).select("source", "block_index", F.md5("text").alias("text_md5"), "words", "items")
+
+
+@query(f"SELECT min(pos) AS pos, md5(text) AS text_md5 FROM ({_REPEATED}) GROUP BY text")
+def keep_first_repeated(spark, sf):
+    return ingest.keep_first(_repeated(spark, sf)).select("pos", F.md5("text").alias("text_md5"))
+
+
+@query(
+    """SELECT p_partkey, 'Användning: ' || p_type || chr(10) || 'Frekvensområde: ' || p_size || ' - ' || (p_size + 2) || ',5 MHz' || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE chr(10) || 'Bandbredd: ' || p_size || ' MHz' END
+|| chr(10) || 'Populärnamn: a  b' || chr(10) || 'Tilldelningsform: ' || p_brand AS text, p_size::DOUBLE AS from_mhz, p_size + 2.5::DOUBLE AS to_mhz, p_brand AS allocation_form FROM part WHERE p_partkey % 5 <> 0"""
+)
+def plan_text(spark, sf):
+    size = F.col("p_size").cast("string")
+    rows = table(spark, sf, "part").select(
+        F.lit("f").alias("source"), F.col("p_partkey").alias("row"), F.when(F.col("p_partkey") % 5 == 0, " ").otherwise(F.concat(F.lit(" "), size)).alias("från_(mhz)"), F.concat((F.col("p_size") + 2).cast("string"), F.lit(",5")).alias("till_(mhz)"),
+        F.when(F.col("p_partkey") % 3 != 0, size).alias("mängd_(mhz)"), F.lit(" a  b").alias("populärnamn"), F.regexp_replace("p_type", " ", "\n ").alias("användning_idag"), F.col("p_brand").alias("tilldelningsform"),
+    )
+    return ingest.plan_documents(rows).select(F.col("row").alias("p_partkey"), "text", "from_mhz", "to_mhz", "allocation_form")
+
+
+@query(
+    """SELECT p_partkey, i::INT AS usage_index, 'Användning: ' || [p_brand, p_type][i + 1] || CASE WHEN i = 0 THEN chr(10) || 'Frekvensband: ' || p_size::DOUBLE || ' - ' || (p_size * 1000)::DOUBLE || ' MHz' WHEN p_partkey % 2 = 0 THEN chr(10) || 'Frekvensband: odd' ELSE '' END
+|| chr(10) || 'ITU-band: 1' || chr(9) || '2' || CASE WHEN i = 0 THEN chr(10) || 'Anmärkning: n  b ' ELSE '' END AS text, CASE WHEN i = 0 THEN p_size::DOUBLE END AS low FROM part, range(0, 2) r(i)"""
+)
+def itu_text(spark, sf):
+    size = F.col("p_size").cast("string")
+    bands_ = F.concat(size, F.lit(" MHZ - "), size, F.lit("gHz"), F.when(F.col("p_partkey") % 2 == 0, "| odd ").otherwise(""))
+    rows = table(spark, sf, "part").select(F.lit("f").alias("source"), F.col("p_partkey").alias("row"), F.concat("p_brand", F.lit(" || "), "p_type").alias("svensk_användning"), bands_.alias("frekvensband"), F.lit("n <i>b</i>").alias("anmärkning"), F.lit("1|2").alias("allokerat_band_enligt_itu-rr"))
+    return ingest.itu_documents(rows).select(F.col("row").alias("p_partkey"), "usage_index", "text", F.col("band_mhz")[0].alias("low"))
+
+
+@query(
+    """SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN '' ELSE 'ID: ' || p_partkey || ' | ' END || 'Användning: ' || p_type || CASE WHEN p_partkey % 4 = 1 THEN '' ELSE ' | Frekvensområde: ' || p_size || ' - ' || (p_size + 1) || ' MHz' END || ' | Villkor: a b ä' AS text
+FROM part WHERE p_partkey % 4 <> 2"""
+)
+def exemption_text(spark, sf):
+    """One edge missing: no range; both missing: no document."""
+    n = F.col("p_partkey") % 4
+    rows = table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("id"), F.when(n != 2, F.col("p_size").cast("string")).alias("fromMhz"), F.when((n != 1) & (n != 2), (F.col("p_size") + 1).cast("string")).alias("toMhz.a"),
+        F.col("p_type").alias("usageDescriptionLicenseExcemptionUsageDescription.a"), F.lit("a<BR/> b <i>&auml;</i>").alias("condition"),
+    )
+    return ingest.exemption_documents(rows).select(F.col("id").cast("long").alias("id"), "text")
+
+
+@query("SELECT p_partkey, p_size * 0.001::DOUBLE AS low, p_size * 1000.0::DOUBLE AS high, -(p_size::DOUBLE) AS other FROM part")
+def band_units(spark, sf):
+    size = F.col("p_size").cast("string")
+    band = numbers.parse_band(F.concat(size, F.lit(" KHZ-"), size, F.lit("ghz")))
+    return table(spark, sf, "part").select("p_partkey", band[0].alias("low"), band[1].alias("high"), numbers.parse_band(F.concat(size, F.lit("abc - 1 mHz")))[0].alias("other"))
+
+
+@query("SELECT p_partkey, greatest(1.0, 10 - (10 - 5.0) * p_size / 10)::DOUBLE AS low, least(40.0, 10 + (20.0 - 10) * p_size / 10)::DOUBLE AS high, 5.0 + least(20.0, p_size)::DOUBLE AS moved FROM part")
+def zoom_clamp(spark, sf):
+    low, high, least, most = (F.lit(x) for x in (5.0, 20.0, 1.0, 40.0))
+    zoom = numbers.zoomed(low, high, F.col("p_size") / 10, F.lit(10.0), least, most)
+    return table(spark, sf, "part").select("p_partkey", zoom["low"].alias("low"), zoom["high"].alias("high"), numbers.shifted(low, high, F.col("p_size").cast("double"), least, most)["low"].alias("moved"))
+
+
+@query("SELECT row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS index, c_custkey FROM customer")
+def csv_index(spark, sf):
+    return rest.indexed(table(spark, sf, "customer").select("c_custkey", "c_name"), ["c_name", "c_custkey"]).select("index", "c_custkey")
+
+
+def _part_bands(spark, sf) -> DataFrame:
+    """Parts as plan, exemption and direction entries, some of them without a valid range."""
+    size = F.col("p_size").cast("string")
+    raw = lambda low, high, label: F.create_map(F.lit(low), F.concat(size, F.lit(" MHz")), F.lit(high), F.when(F.col("p_partkey") % 9 == 0, "x").otherwise(F.concat((F.col("p_size") + F.col("p_partkey") % 7).cast("string"), F.lit(" MHz"))), F.lit(label), F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise(""), F.lit("key"), F.col("p_partkey").cast("string"))
+    parts = table(spark, sf, "part")
+    found = explorer.as_bands(parts.select(raw("fromMhz", "toMhz", "usageDescriptionDescription").alias("raw")), explorer.PLAN)
+    return explorer.identified(found.unionByName(explorer.as_bands(parts.where("p_partkey % 3 = 0").select(raw("Från (MHZ)", "Till (MHZ)", "Användning idag").alias("raw")), explorer.DIRECTION)))
+
+
+_SQL_PART_BANDS = """b AS (SELECT t AS type, p_partkey, p_size::DOUBLE AS start, (p_size + p_partkey % 7)::DOUBLE AS "end", CASE WHEN p_partkey % 2 = 0 AND p_name <> '' THEN p_name ELSE t END AS label
+FROM part, (SELECT unnest(['Plan', 'Inriktning']) AS t) WHERE p_partkey % 9 <> 0 AND p_partkey % 7 <> 0 AND (t = 'Plan' OR p_partkey % 3 = 0))"""
+
+
+@query(f"WITH {_SQL_PART_BANDS} SELECT type, start, \"end\", label, p_partkey FROM b")
+def explorer_bands(spark, sf):
+    return _part_bands(spark, sf).select("type", "start", "end", "label", F.col("raw")["key"].cast("long").alias("p_partkey"))
+
+
+@query(
+    f"""WITH {_SQL_PART_BANDS}, e AS (SELECT type, start AS x, 1 AS d FROM b UNION ALL SELECT type, "end", -1 FROM b), p AS (SELECT type, x, sum(d) AS d FROM e GROUP BY ALL),
+l AS (SELECT type, max(run)::INT AS levels FROM (SELECT type, sum(d) OVER (PARTITION BY type ORDER BY x ROWS UNBOUNDED PRECEDING) AS run FROM p) GROUP BY type),
+m AS (SELECT type, count(*) AS matches FROM b WHERE start <= 12 AND "end" >= 10 GROUP BY type)
+SELECT type, levels, matches, (SELECT greatest(0.001, min(start)) FROM b) AS low, (SELECT max("end") FROM b) AS high FROM l JOIN m USING (type)"""
+)
+def explorer_view(spark, sf):
+    seen = explorer.view(_part_bands(spark, sf), ["Plan", "Inriktning"])
+    matches = seen.matches("10 - 12 mhz").groupBy("type").agg(F.count("*").alias("matches"))
+    return seen.levels.join(matches, "type").crossJoin(F.broadcast(seen.domain)).select("type", "levels", "matches", "low", "high")  # one row of domain
+
+
+def _indexed_documents(spark, sf) -> DataFrame:
+    """Documents as the index build takes them."""
+    return table(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.lit("all").alias("source"), F.lit("text_chunk").alias("type"), F.lit(None).cast("string").alias("part"), F.col("doc_id").alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.lit("{}").alias("meta"))
+
+
+def _built(spark, sf) -> index.Settings:
+    settings = index.Settings(index_dir=shared_path(spark, "index"), embedding_length=64)
+    index.build_index(spark, settings, docs=_indexed_documents(spark, sf))
+    return settings
+
+
+@query(f"SELECT min(doc_id) AS doc_id FROM documents WHERE length(text) >= 50 AND len(list_distinct({SQL_WORDS.format('text')})) >= 5 GROUP BY text")
+def index_build(spark, sf):
+    """Ids in the vector collection of a build over all documents."""
+    return vectors.open_or_create(spark, _built(spark, sf).vectors).select(F.col("id").cast("long").alias("doc_id"))
+
+
+def asked(spark, sf) -> DataFrame:
+    return questions(spark, sf).withColumnRenamed("text", "query")
+
+
+@query()
+def hybrid_retrieve_all(spark, sf):
+    """Both indexes built from all documents, and searched for all questions."""
+    found = service.Retriever.open(spark, _built(spark, sf)).hybrid(asked(spark, sf), top_k=retrieval.K_FUSED)
+    return found.select("query_id", F.col("id").cast("long").alias("doc_id"), "source", F.round("rrf_score", 9).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    _BM25_ALL
+    + """, f AS (SELECT query_id, rank, text FROM bm JOIN documents ON pos = doc_id), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY rank) AS c FROM f QUALIFY c = 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM o QUALIFY place <= 7),
+w AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS total FROM k)
+SELECT query_id, md5(string_agg(CASE WHEN length(text) > 12000 THEN left(text, 12000) || '...' ELSE text END, chr(10) || chr(10) ORDER BY place)) AS context_md5, count(*) AS passages FROM w WHERE total <= 12000 OR place = 1 GROUP BY query_id"""
+)
+def get_context_all(spark, sf):
+    """Contexts of all questions from the BM25 list alone: a collection without vectors adds nothing."""
+    docs = _indexed_documents(spark, sf).withColumn("pos", F.col("row"))
+    none = spark.createDataFrame([], vectors.SCHEMA)
+    found = service.Retriever(none, lexical.build(docs), dims=64).retrieve(asked(spark, sf))
+    return service.contexts(found, asked(spark, sf)).select("query_id", F.md5("context").alias("context_md5"), "passages")

@@ -21,6 +21,7 @@ def local_session(app: str = "tidemark", cores: str = "*", **conf) -> SparkSessi
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
     )
     for key, value in conf.items():

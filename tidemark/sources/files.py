@@ -119,8 +119,11 @@ def _flat(value: dict) -> dict[str, str | None]:
     return {k: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in value.items()}
 
 
-def parse_file(path: str, suffix: str, content: bytes, pdf: Callable[[bytes], str] = read_pdf) -> Iterator[tuple]:
-    """Raw rows (kind, part, row, cells, text) of one file; row numbers count from 2, below a header."""
+def parse_file(path: str, suffix: str, content: bytes, pdf: Callable[[bytes], str] = read_pdf, pdf_tables: Callable[[bytes], list] | None = None) -> Iterator[tuple]:
+    """Raw rows (kind, part, row, cells, text) of one file; row numbers count from 2, below a header.
+
+    pdf_tables, if given, turns a PDF into tables, each a list of rows as dicts.
+    """
     if suffix == "csv":
         yield from (("csv", None, i, r, None) for i, r in enumerate(read_csv(content), 2))
     elif suffix == "xlsx":
@@ -129,7 +132,7 @@ def parse_file(path: str, suffix: str, content: bytes, pdf: Callable[[bytes], st
     elif suffix == "docx":
         tables, paragraphs = read_docx(content)
         for n, rows in enumerate(tables):
-            yield from (("docx_table", str(n), i, None, " | ".join(c for c in r if c)) for i, r in enumerate(rows))
+            yield from (("docx_table", str(n), i, None, " | ".join(c for c in r if c)) for i, r in enumerate(rows, 1))
         if paragraphs:
             yield ("docx_text", None, 0, None, "\n".join(paragraphs))
     elif suffix == "json":
@@ -141,6 +144,8 @@ def parse_file(path: str, suffix: str, content: bytes, pdf: Callable[[bytes], st
             else:
                 yield from (("json_text", p, i, None, t) for p, t in json_leaves(v))
     elif suffix == "pdf":
+        for n, rows in enumerate(pdf_tables(content) if pdf_tables else ()):
+            yield from (("pdf_table", str(n), i, {k: str(v) for k, v in r.items()}, None) for i, r in enumerate(rows, 1))
         text = pdf(content)
         if len(text) > MIN_PDF:
             yield ("pdf_text", None, 0, None, text)
@@ -148,14 +153,14 @@ def parse_file(path: str, suffix: str, content: bytes, pdf: Callable[[bytes], st
         yield ("text", None, 0, None, content.decode("utf-8", "replace"))
 
 
-def extract(files: DataFrame, pdf: Callable[[bytes], str] = read_pdf) -> DataFrame:
+def extract(files: DataFrame, pdf: Callable[[bytes], str] = read_pdf, pdf_tables: Callable[[bytes], list] | None = None) -> DataFrame:
     """ROWS of scanned files; a file that cannot be parsed gives one row of kind 'error' with the reason."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, suffix, content in zip(frame["path"], frame["suffix"], frame["content"]):
                 try:
-                    rows = list(parse_file(path, suffix, bytes(content), pdf))
+                    rows = list(parse_file(path, suffix, bytes(content), pdf, pdf_tables))
                 except Exception as e:  # noqa: BLE001 - reported as a row
                     rows = [("error", None, 0, None, f"{type(e).__name__}: {e}")]
                 yield pd.DataFrame([(path, *r) for r in rows], columns=["source", "kind", "part", "row", "cells", "text"])
