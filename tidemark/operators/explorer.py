@@ -18,8 +18,9 @@ DIRECTION = ("Inriktning", "Från (MHZ)", "Till (MHZ)", ("Populärnamn", "Använ
 
 def read_objects(spark: SparkSession, path: str) -> DataFrame:
     """(raw): the attributes of each JSON object of a file that holds a list, null and nested values as text."""
-    rows = spark.read.option("wholetext", True).text(path)
-    return rows.select(F.explode(F.from_json("value", "array<map<string,string>>")).alias("raw"))
+    rows = spark.read.text(path, wholetext=True)
+    each = rows.select(F.explode(F.variant_get(F.parse_json("value"), "$", "array<variant>")).alias("v"))
+    return each.select(F.variant_get("v", "$", "map<string,string>").alias("raw"))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:

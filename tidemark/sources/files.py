@@ -175,4 +175,4 @@ def table_of(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def read_text(spark: SparkSession, root: str) -> DataFrame:
     """(path, text) of whole files."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    return spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
