@@ -219,7 +219,7 @@ def test_explorer_files(spark, tmp_path):
     (tmp_path / "dir.csv").write_text('Från (MHZ),Till (MHZ),Populärnamn,Användning idag\n1,2,,"a, b"\n2,2 GHz,n,\n')
     found = explorer.load(spark, str(tmp_path / "plan.json"), None, str(tmp_path / "dir.csv"))
     got = sorted((r["type"], r["start"], r["end"], r["label"]) for r in found.collect())
-    assert got == [("Inriktning", 1.0, 2.0, "a, b"), ("Inriktning", 2.0, 2000.0, "n"), ("Plan", 0.009, 3.5, "Plan")]
+    assert got == [("Inriktning", 1.0, 2.0, "a, b"), ("Inriktning", 2.0, 2000.0, "n"), ("Plan", 9 * 1e-3, 3.5, "Plan")]
     seen = explorer.view(found, ["Inriktning", "Undantag"])
     assert {r["type"]: r["levels"] for r in seen.levels.collect()} == {"Inriktning": 1, "Undantag": 1}
     assert seen.matches("x") is None and seen.matches("1.5-1.8").count() == 1 and seen.boxes(100, 10).count() == 2
