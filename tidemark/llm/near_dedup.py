@@ -45,6 +45,8 @@ VALUES = CHUNKS * SYMBOLS
 MOST_DIFFERENT = 22
 #: Further smallest ids that a class is paired with if the nearest one left it apart.
 NEXT = 6
+#: How often classes in buckets with several components meet the first of these, before the final join.
+ROUNDS = 1
 #: Classes whose index rows a task compares among themselves before any of them moves.
 LOCAL_ROWS = 20_000
 #: Word hashes kept by a worker.
@@ -236,6 +238,19 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return named_ids(components(flat.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))))
 
 
+def compared(pairs: DataFrame, sig: DataFrame) -> DataFrame:
+    """(a, b, d): the pairs whose signatures differ in d values, at most MOST_DIFFERENT."""
+    both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
+    return both.withColumn("d", different("x", "y")).where(F.col("d") <= MOST_DIFFERENT).select("a", "b", "d")
+
+
+def buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, id, comp) of all rows, (key, lo, first) of the buckets with several components: the least one and its smallest id there)."""
+    labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
+    ends = labelled.groupBy("key").agg(F.min(F.struct("comp", "id")).alias("m"), F.max("comp").alias("hi")).where("m.comp < hi")
+    return labelled, ends.select("key", F.col("m.comp").alias("lo"), F.col("m.id").alias("first"))
+
+
 def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per row.
 
@@ -252,15 +267,7 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
     stars = cut(index(classes, local=True).unionByName(between))
 
     sig = classes.select("id", "sig")
-    near = cut(
-        stars.select(F.col("id").alias("a"), F.col("c").alias("b"))
-        .distinct()
-        .join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a")
-        .join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-        .withColumn("d", different("x", "y"))
-        .where(F.col("d") <= MOST_DIFFERENT)
-        .select("a", "b", "d")
-    )
+    near = cut(compared(stars.select(F.col("id").alias("a"), F.col("c").alias("b")).distinct(), sig))
     stars_best = cut(near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
     # Every class has at most one such link, to a smaller id: the links are trees.
     labels = named_ids(roots(confirm(stars_best, sets_of(documents, ids_in(stars_best), text, key, size), percent)))
@@ -271,10 +278,16 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
     second = cut(apart.select("a", "b").join(stars_best, ["a", "b"], "left_anti"))
     labels = merged(labels, confirm(second, sets_of(documents, ids_in(second), text, key, size), percent))
 
-    members = stars.select("key", "id").unionByName(stars.select("key", F.col("c").alias("id")).distinct())
-    labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    open_ids = cut(labelled.join(mixed, "key", "left_semi").select("id", "comp").distinct())
+    members = stars.select("key", "id").unionByName(stars.select("key", F.col("c").alias("id"))).distinct()
+    for _ in range(ROUNDS):
+        labelled, mixed_keys = buckets(members, labels)
+        # Classes in buckets that hold several components meet the smallest id of the bucket's first component.
+        pairs = labelled.join(mixed_keys, "key").where(F.col("comp") > F.col("lo")).select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct()
+        close = compared(pairs, sig).withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= NEXT)
+        again = cut(close.select("a", "b"))
+        labels = merged(labels, confirm(again, sets_of(documents, ids_in(again), text, key, size), percent))
+    labelled, mixed_keys = buckets(members, labels)
+    open_ids = cut(labelled.join(mixed_keys, "key", "left_semi").select("id", "comp").distinct())
     sets = sets_of(documents, open_ids.select("id"), text, key, size)
     labels = merged(labels, confirm(across(sets, open_ids, percent), sets, percent))
 
