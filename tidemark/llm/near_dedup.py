@@ -7,9 +7,8 @@
    by the pigeonhole principle, a chunk with at most ERRORS differing values.
    Each chunk is indexed once for every place at which the error may stand,
    with the value there left out, so such a pair shares an index key.
-3. Each class is first paired with the nearest of its buckets' smallest ids
-   (of those that its task saw, and of all), and the pair confirmed on full
-   sets. That makes one component of most groups of copies. Then the classes in
+3. Each class is first paired with the nearest of its buckets' smallest ids,
+   and the pair confirmed on full sets. That makes one component of most groups of copies. Then the classes in
    buckets that still hold several components are joined on the rare
    beginnings of their sets, and pairs of different components confirmed in
    turn. So pairs within a group that can add nothing are never made, and no
@@ -45,10 +44,6 @@ VALUES = CHUNKS * SYMBOLS
 MOST_DIFFERENT = 22
 #: Further smallest ids that a class is paired with if the nearest one left it apart.
 NEXT = 6
-#: How often classes in buckets with several components meet the first of these, before the final join.
-ROUNDS = 1
-#: Classes whose index rows a task compares among themselves before any of them moves.
-LOCAL_ROWS = 20_000
 #: Word hashes kept by a worker.
 MEMO = 400_000
 
@@ -134,37 +129,16 @@ def index_keys(sigs: np.ndarray) -> np.ndarray:
     return out
 
 
-def index(classes: DataFrame, local: bool) -> DataFrame:
-    """(key, id, c) rows of the multi-index, where c is the smallest id that the task saw under the key.
-
-    With local, those rows whose id is not c; else those whose id is c. Only
-    the latter need to move, to find the smallest id of all: of a key that a
-    third of all rows have, one row per LOCAL_ROWS.
-    """
+def index(classes: DataFrame) -> DataFrame:
+    """(key, id) rows of the multi-index."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
         for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= LOCAL_ROWS:
-                yield least(held)
-                held, n = [], 0
-        if n:
-            yield least(held)
-
-    def least(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        sigs = np.concatenate([lists(b.column(1), VALUES) for b in held]).view(np.uint16)
-        ids = np.repeat(np.concatenate([b.column(0).to_numpy() for b in held]), VALUES)
-        own = index_keys(sigs).view(np.int64).ravel()
-        order = np.lexsort((ids, own))
-        own, ids = own[order], ids[order]
-        first = np.concatenate(([True], own[1:] != own[:-1]))
-        c = ids[first][np.cumsum(first) - 1]
-        keep = (ids != c) if local else first
-        return pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(ids[keep]), pa.array(c[keep])], ["key", "id", "c"])
-
-    return map_rows(classes.select("id", "sig"), keys, "key long, id long, c long")
+            sigs = lists(batch.column(1), VALUES).view(np.uint16)
+            ids = np.repeat(batch.column(0).to_numpy(), VALUES)
+            yield pa.RecordBatch.from_arrays([pa.array(index_keys(sigs).view(np.int64).ravel()), pa.array(ids)], ["key", "id"])
+
+    return map_rows(classes.select("id", "sig"), keys, "key long, id long")
 
 
 def different(a: str, b: str):
@@ -245,10 +219,9 @@ def compared(pairs: DataFrame, sig: DataFrame) -> DataFrame:
 
 
 def buckets(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((key, id, comp) of all rows, (key, lo, first) of the buckets with several components: the least one and its smallest id there)."""
+    """((key, id, comp) of all rows, keys of the buckets with several components)."""
     labelled = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
-    ends = labelled.groupBy("key").agg(F.min(F.struct("comp", "id")).alias("m"), F.max("comp").alias("hi")).where("m.comp < hi")
-    return labelled, ends.select("key", F.col("m.comp").alias("lo"), F.col("m.id").alias("first"))
+    return labelled, labelled.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
 
 
 def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -263,8 +236,7 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
     rows = cut(describe(documents, text, key, size))
     classes = cut(rows.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
     first = F.first("id").over(W.partitionBy("key").orderBy("id"))
-    between = index(classes, local=False).select("key", "id").withColumn("c", first).where("id <> c")
-    stars = cut(index(classes, local=True).unionByName(between))
+    stars = cut(index(classes).withColumn("c", first).where("id <> c"))
 
     sig = classes.select("id", "sig")
     near = cut(compared(stars.select(F.col("id").alias("a"), F.col("c").alias("b")).distinct(), sig))
@@ -278,14 +250,7 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
     second = cut(apart.select("a", "b").join(stars_best, ["a", "b"], "left_anti"))
     labels = merged(labels, confirm(second, sets_of(documents, ids_in(second), text, key, size), percent))
 
-    members = stars.select("key", "id").unionByName(stars.select("key", F.col("c").alias("id"))).distinct()
-    for _ in range(ROUNDS):
-        labelled, mixed_keys = buckets(members, labels)
-        # Classes in buckets that hold several components meet the smallest id of the bucket's first component.
-        pairs = labelled.join(mixed_keys, "key").where(F.col("comp") > F.col("lo")).select(F.greatest("id", "first").alias("a"), F.least("id", "first").alias("b")).distinct()
-        close = compared(pairs, sig).withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= NEXT)
-        again = cut(close.select("a", "b"))
-        labels = merged(labels, confirm(again, sets_of(documents, ids_in(again), text, key, size), percent))
+    members = stars.select("key", "id").unionByName(stars.select("key", F.col("c").alias("id")).distinct())
     labelled, mixed_keys = buckets(members, labels)
     open_ids = cut(labelled.join(mixed_keys, "key", "left_semi").select("id", "comp").distinct())
     sets = sets_of(documents, open_ids.select("id"), text, key, size)
