@@ -4,11 +4,12 @@ import base64
 import hashlib
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tidemark.llm import bpe_codec, chat_format, components, decontaminate, embedding_dedup, language_id, near_dedup, token_count, toxicity, url_filter, warc
+from tidemark.llm import bpe_codec, chat_format, components, decontaminate, embedding_dedup, language_id, near_dedup, queries, token_count, toxicity, url_filter, warc
 from tidemark.session import shared_path
 
 DOC = "doc_id long, text string, lang string, source string"
@@ -637,3 +638,16 @@ def test_words_of_many_texts():
             assert [int(h) for h in found.hashes] == [alone[x] for w in split for x in w] and len(set(alone.values())) == len(alone)
     finally:
         decontaminate.PIECE = before
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query_equals_its_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "pages", "benchmark", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = con.execute(queries.ORACLES[name])
+    columns = [c[0] for c in want.description]
+    got = queries.QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(*columns).collect()), key=str) == sorted(want.fetchall(), key=str)

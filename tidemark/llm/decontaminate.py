@@ -286,6 +286,25 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Words of a text, as they are cut here, in DuckDB SQL.
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE = f"""
+WITH item AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_SQL_WORDS} AS w FROM benchmark),
+sized AS (SELECT item, w, least({WINDOW}, len(w)) AS size FROM item WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, size, array_to_string(w[p + 1 : p + size], ' ') AS win FROM sized, unnest(range(len(w) - size + 1)) AS u(p)),
+doc AS (SELECT row_number() OVER () AS r, doc_id, {_SQL_WORDS} AS w FROM documents),
+place AS (SELECT r, size, p, array_to_string(w[p + 1 : p + size], ' ') AS win
+    FROM doc, (SELECT DISTINCT size FROM win) AS sizes, unnest(range(greatest(len(w) - size + 1, 0))) AS u(p)),
+hit AS (SELECT r, item, size, p FROM place JOIN win USING (size, win)),
+hit_words AS (SELECT r, count(DISTINCT q) AS n_hit FROM hit, unnest(range(p, p + size)) AS u(q) GROUP BY r),
+hit_items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+"""
+
+
 def brute_force(text: str | None, items: list[tuple[str, str]]) -> tuple[int, int, list[str]]:
     """(words, hit words, items) of one document by looking every window up among all places; for tests."""
     w = words(text)

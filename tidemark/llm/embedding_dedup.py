@@ -183,6 +183,20 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"))
 
 
+ORACLE = f"""
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS size FROM v
+    WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good AS a, good AS b
+    WHERE a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.size * b.size) >= {THRESHOLD}),
+reach AS (SELECT vec_id, vec_id AS far FROM v UNION SELECT reach.vec_id, link.b FROM reach JOIN link ON reach.far = link.a),
+component AS (SELECT vec_id, min(far) AS component_id FROM reach GROUP BY vec_id),
+links AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN component USING (vec_id) LEFT JOIN links USING (vec_id)
+"""
+
+
 def brute_force(vectors: list[tuple[int, list | None]], threshold: float = THRESHOLD) -> list[tuple[int, int]]:
     """All linked pairs of rows by position; for tests."""
     good = [(i, np.array(v, float)) for i, (_, v) in enumerate(vectors) if v and all(x is not None and math.isfinite(x) for x in v) and any(v)]

@@ -264,3 +264,24 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents."""
     return link_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE = rf"""
+WITH RECURSIVE doc AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+sets AS (
+    SELECT doc_id, list_sort(list_distinct(list_transform(range(CASE WHEN len(w) = 0 THEN 0 ELSE greatest(len(w) - {SHINGLE} + 1, 1) END), lambda p: array_to_string(w[p + 1 : p + {SHINGLE}], ' ')))) AS s FROM doc
+),
+class AS (SELECT min(doc_id) AS id, s, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s),
+shingle AS (SELECT id, n, unnest(s) AS t FROM class),
+link AS (
+    SELECT a.id AS a, b.id AS b FROM shingle AS a JOIN shingle AS b ON a.t = b.t AND a.id <> b.id
+    GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {PERCENT} * (a.n + b.n - count(*))
+),
+reach AS (SELECT id, id AS far FROM class UNION SELECT reach.id, link.b FROM reach JOIN link ON reach.far = link.a),
+component AS (SELECT id, min(far) AS component FROM reach GROUP BY id),
+named AS (SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(component, sets.doc_id) AS component_id
+    FROM sets LEFT JOIN class USING (s) LEFT JOIN component USING (id))
+SELECT *, doc_id = component_id AS kept FROM named
+"""

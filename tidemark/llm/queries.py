@@ -18,7 +18,10 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_decontamination": decontaminate.ORACLE,
+    "op3_near_dedup": near_dedup.ORACLE,
     "op4_chat_format": chat_format.ORACLE,
     "op7_warc": warc.ORACLE,
+    "op9_embedding_dedup": embedding_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
