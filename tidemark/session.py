@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,9 +55,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df with its lineage cut by a reliable checkpoint in the shared folder.
+
+    Spark's cleaner removes shuffles and checkpoints that nothing refers to
+    any more, but only after a collection on the driver, which does little
+    itself and may not collect for long. One is asked for here, so that an
+    operator of many cuts holds the files of few of them at a time.
+    """
+    spark = df.sparkSession
+    shared_dir(spark)
+    done = df.checkpoint()
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return done
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
