@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.session import cut
 
+#: Edges in a partition between two rounds, and the least number of partitions: many nearly empty ones cost files and tasks.
+PART_ROWS, PARTS = 100_000, 8
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One large-star or small-star step over edges (u, v) with u > v.
@@ -38,7 +41,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     flat = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
     before = _print(flat)
     for _ in range(rounds):
-        flat = cut(_star(_star(flat, True), False))
+        flat = cut(_star(_star(flat, True), False).coalesce(max(PARTS, before[0] // PART_ROWS)))
         now = _print(flat)
         if now == before:
             break
