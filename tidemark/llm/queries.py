@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe_codec, chat_format, decontaminate, embedding_dedup, language_id, near_dedup, token_count, toxicity, url_filter, warc
+from tidemark.llm import bpe_codec, chat_format, decontaminate, embedding_dedup, fill_middle, fingerprints, language_id, near_dedup, rolling_windows, token_count, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_counts": token_count.op8_token_counts,
     "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_rolling_windows": rolling_windows.op11_rolling_windows,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
+    "op13_fingerprints": fingerprints.op13_fingerprints,
 }
 
 ORACLES = {
@@ -24,4 +27,6 @@ ORACLES = {
     "op7_warc": warc.ORACLE,
     "op9_embedding_dedup": embedding_dedup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
+    "op11_rolling_windows": rolling_windows.ORACLE,
+    "op12_fill_middle": fill_middle.ORACLE,
 }
