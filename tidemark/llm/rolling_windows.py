@@ -176,11 +176,11 @@ def window_features(
 
     def merge(group: pa.Table) -> pa.Table:
         found = features_of(group, spans, percents, cells)
-        keys = pa.chunked_array([group["key"].combine_chunks().slice(0, 1).take(pa.array(np.zeros(len(found["pane"]), np.int64)))])
-        return pa.table({"key": keys, **{f: pa.array(found[f], pa.int64()) for f in fields}})
+        keys = group["key"].combine_chunks().field("k").take(pa.array(np.zeros(len(found["pane"]), np.int64)))
+        return pa.table({"k": keys, **{f: pa.array(found[f], pa.int64()) for f in fields}})
 
-    features = dealt.groupBy("key", "block").applyInArrow(merge, f"key struct<k:{key_type}>, " + ", ".join(f"{f} long" for f in fields))
-    features = features.repartition(parts, "key", "pane")
+    features = dealt.groupBy("key", "block").applyInArrow(merge, f"k {key_type}, " + ", ".join(f"{f} long" for f in fields))
+    features = features.withColumn("key", F.struct("k")).drop("k").repartition(parts, "key", "pane")
 
     kept = [c for c in events.columns if c not in made]
     rows = events.select(*kept, wrapped.alias("_key"), place.alias("_pane")).withColumn("event_s", F.col("_pane") * pane)
