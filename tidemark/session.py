@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bound on what an operator may broadcast or hold in a Python worker, in bytes.
 BROADCAST_BYTES = 32 << 20
+#: Whether a query's shuffles are removed when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(app: str = "tidemark", cores: str = "*", **conf) -> SparkSession:
@@ -55,20 +56,22 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder.
+    """df with its lineage cut: written as a table in the shared folder and read again.
 
-    Spark's cleaner removes shuffles and checkpoints that nothing refers to
-    any more, but only after a collection on the driver, which does little
-    itself and may not collect for long. One is asked for here, so that an
-    operator of many cuts holds the files of few of them at a time.
+    What was shuffled to make it is removed as soon as it is written, so an
+    operator of many cuts holds the shuffles of one at a time, whenever the
+    driver next collects garbage. The tables, compressed, stay in the shared
+    folder, where every executor finds them, also after others were lost.
     """
     spark = df.sparkSession
-    shared_dir(spark)
-    done = df.checkpoint()
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return done
+    path = shared_path(spark, "cut")
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
