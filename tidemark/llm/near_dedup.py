@@ -202,14 +202,18 @@ def named_ids(found: DataFrame) -> DataFrame:
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     """labels (id, component) after further links (a, b); an id without label is a component of its own.
 
-    The labels themselves serve as edges: they connect what the links so far
-    connect, and are flat already.
+    Links are taken between components, so what has been connected before is
+    not walked again: the graph shrinks to what is still to be joined.
     """
-    links = cut(links)
-    if not links.agg(F.count("*")).first()[0]:
+    of = lambda end: labels.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
+    between = cut(between.where("u <> v").distinct())
+    if between.isEmpty():
         return labels
-    flat = labels.select(F.col("id").alias("u"), F.col("component").alias("v"))
-    return named_ids(components(flat.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))))
+    joined = cut(components(between))
+    known = labels.join(joined.select(F.col("node").alias("component"), F.col("component").alias("further")), "component", "left")
+    known = known.select("id", F.coalesce("further", "component").alias("component"))
+    return cut(known.unionByName(named_ids(joined).join(labels.select("id"), "id", "left_anti")))
 
 
 def compared(pairs: DataFrame, sig: DataFrame) -> DataFrame:
@@ -238,23 +242,26 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
     first = F.first("id").over(W.partitionBy("key").orderBy("id"))
     stars = cut(index(classes).withColumn("c", first).where("id <> c"))
 
+    # Full sets of all classes that share a bucket, made and written once: every confirmation joins on them.
+    members = cut(stars.select("key", "id").unionByName(stars.select("key", F.col("c").alias("id")).distinct()))
+    sets = sets_of(documents, members.select("id").distinct(), text, key, size)
+
     sig = classes.select("id", "sig")
     near = cut(compared(stars.select(F.col("id").alias("a"), F.col("c").alias("b")).distinct(), sig))
     stars_best = cut(near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("best")).select("a", F.col("best.b").alias("b")))
     # Every class has at most one such link, to a smaller id: the links are trees.
-    labels = named_ids(roots(confirm(stars_best, sets_of(documents, ids_in(stars_best), text, key, size), percent)))
+    labels = cut(named_ids(roots(confirm(stars_best, sets, percent))))
 
     # Classes still apart from a component that one of their buckets' smallest ids is in: their nearest few of these are next.
     named = near.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     apart = named.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= NEXT)
     second = cut(apart.select("a", "b").join(stars_best, ["a", "b"], "left_anti"))
-    labels = merged(labels, confirm(second, sets_of(documents, ids_in(second), text, key, size), percent))
+    labels = merged(labels, confirm(second, sets, percent))
 
-    members = stars.select("key", "id").unionByName(stars.select("key", F.col("c").alias("id")).distinct())
     labelled, mixed_keys = buckets(members, labels)
     open_ids = cut(labelled.join(mixed_keys, "key", "left_semi").select("id", "comp").distinct())
-    sets = sets_of(documents, open_ids.select("id"), text, key, size)
-    labels = merged(labels, confirm(across(sets, open_ids, percent), sets, percent))
+    open_sets = cut(sets.join(open_ids.select("id"), "id", "left_semi"))
+    labels = merged(labels, confirm(across(open_sets, open_ids, percent), open_sets, percent))
 
     named = rows.join(classes.select("digest", "id"), "digest", "left").join(labels, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
