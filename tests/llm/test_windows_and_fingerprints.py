@@ -193,9 +193,9 @@ def test_edited_fingerprints_are_those_of_the_edited_texts(spark, monkeypatch):
         plain = [(r["hashes"], r["places"]) for r in fingerprints.fingerprints(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(texts)], "doc_id long, text string")).orderBy("doc_id").collect()]
         n = len(rows)
         for k, (i, _) in enumerate(rows):
-            assert (got[i]["hashes"], got[i]["places"]) == plain[k]
+            assert got[i]["hashes"] == plain[k][0] and got[i]["places_sha256"] == hashlib.sha256(",".join(map(str, plain[k][1])).encode()).hexdigest()
         for k, i in enumerate(want):
-            assert (got[i]["edited_hashes"], got[i]["edited_places"]) == plain[n + k] and got[i]["next_hashes"] == plain[2 * n + k][0]
+            assert got[i]["edited_hashes"] == plain[n + k][0] and got[i]["next_hashes"] == plain[2 * n + k][0]
 
 
 def test_edited_fingerprints_of_awkward_tables(spark):

@@ -161,6 +161,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / both)
 
 
+def digest(numbers: Column) -> Column:
+    """Hex SHA-256 of a list of numbers."""
+    return F.sha2(F.array_join(numbers.cast("array<string>"), ","), 256)
+
+
 def fingerprints(documents: DataFrame, text: str = "text", key: str = "doc_id", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """(key, hashes, places) per row: the fingerprint's kept hashes and their places, by place.
 
@@ -194,12 +199,13 @@ def successors(ids: DataFrame, levels: int = 3) -> DataFrame:
 
 
 def edited_fingerprints(documents: DataFrame, text: str = "text", key: str = "doc_id", edit: int = EDIT, gram: int = GRAM, window: int = WINDOW, piece: int = PIECE) -> DataFrame:
-    """(key, n_chars, edited, hashes, places, edited_hashes, edited_places, next_hashes) per row.
+    """(key, n_chars, edited, hashes, places_sha256, edited_hashes, next_hashes) per row.
 
     A row's edited text has its last floor(n_chars / edit) code points
     replaced by the first as many, or all, of the next document: the one with
     the next larger key, after the last the first. Windows before the edit are
-    the same in both texts and are read once.
+    the same in both texts and are read once. Texts are shuffled once, with
+    their hashes; the places, of which only a digest is told here, stay behind.
 
     Null texts count as empty. If rows share the next key, the next document
     is the one whose replacing code points, then hashes, are the smallest. Rows
@@ -214,19 +220,24 @@ def edited_fingerprints(documents: DataFrame, text: str = "text", key: str = "do
     n = F.length("text")
     share = F.call_function("div", n, F.lit(edit)).cast("int")
 
-    def moved(kept: Column, by: Column) -> Column:
-        return F.transform(kept, lambda v: F.struct(v["hash"].alias("hash"), (v["at"] + by).alias("at")))
+    def extended(last: Column, whole: Column, cut_at: Column) -> Column:
+        """Entries of a text behind those that its windows within the first cut_at code points keep, the last of these at place last."""
 
-    def extended(common: Column, whole: Column, cut_at: Column) -> Column:
-        """The fingerprint of a text whose windows within its first cut_at code points keep common."""
-        behind = let(cut_at - (full - 1), lambda start: moved(kept_hashes(F.substr(whole, start + 1), gram, window, piece, True), start))
-        return let(F.concat(common, behind), once)
+        def behind(start: Column) -> Column:
+            """start is the first window's that reaches over the cut; it may keep what the one before it keeps."""
+            moved = F.transform(kept_hashes(F.substr(whole, start + 1), gram, window, piece, True), lambda v: F.struct(v["hash"].alias("hash"), (v["at"] + start).alias("at")))
+            return let(moved, lambda a: F.filter(a, lambda v, i: (i > 0) | (v["at"] != last)))
+
+        return let(cut_at - (full - 1), behind)
 
     def lists(kept: Column, common: Column) -> Column:
-        return F.struct(kept["hash"].alias("hashes"), kept["at"].alias("places"), F.size(common).alias("common"))
+        """The hashes, how many of them are from windows before the cut, the place of the last of these, and a digest of all places."""
+        last = F.get(common, F.size(common) - 1)["at"]
+        return F.struct(kept["hash"].alias("hashes"), F.size(common).alias("common"), last.alias("last"), digest(kept["at"]).alias("places_sha256"))
 
     cut_at = n - share
-    shared = let(kept_hashes(F.left("text", cut_at), gram, window, piece, True), lambda c: let(extended(c, F.col("text"), cut_at), lambda f: lists(f, c)))
+    whole = lambda c: F.concat(c, extended(F.get(c, F.size(c) - 1)["at"], F.col("text"), cut_at))
+    shared = let(kept_hashes(F.left("text", cut_at), gram, window, piece, True), lambda c: let(whole(c), lambda f: lists(f, c)))
     plain = let(fingerprint(F.col("text"), gram, window, piece), lambda f: lists(f, none()))
     own = F.when(cut_at >= full, shared).otherwise(plain).alias("own")
     # Both joins below read the one shuffle of texts: each takes all of its columns.
@@ -244,17 +255,11 @@ def edited_fingerprints(documents: DataFrame, text: str = "text", key: str = "do
     met = met.unionByName(alone)
     head = F.left(F.coalesce("h.head", F.lit("")), share)
     found = met.select("id", "text", "own", cut_at.alias("cut_at"), F.concat(F.left("text", cut_at), head).alias("edited"), F.coalesce("h.own.hashes", F.array().cast("array<bigint>")).alias("next_hashes"))
-    before = F.transform(F.slice(F.arrays_zip("own.hashes", "own.places"), F.lit(1), F.col("own.common")), lambda v: F.struct(v["hashes"].alias("hash"), v["places"].alias("at")))
-    edited = F.when(F.col("cut_at") >= full, let(before, lambda c: extended(c, F.col("edited"), F.col("cut_at")))).otherwise(fingerprint(F.col("edited"), gram, window, piece))
-    found = found.select("id", n.cast("long").alias("n_chars"), "edited", "own", "next_hashes", edited.alias("_edited"))
-    return found.select(
-        F.col("id").alias(key), "n_chars", "edited", F.col("own.hashes").alias("hashes"), F.col("own.places").alias("places"), F.col("_edited.hash").alias("edited_hashes"), F.col("_edited.at").alias("edited_places"), "next_hashes"
-    )
-
-
-def digest(hashes: str, places: str) -> Column:
-    """Hex SHA-256 of a fingerprint's hashes and places."""
-    return F.sha2(F.concat(F.array_join(F.col(hashes).cast("array<string>"), ","), F.lit(";"), F.array_join(F.col(places).cast("array<string>"), ",")), 256)
+    behind = extended(F.col("own.last"), F.col("edited"), F.col("cut_at"))
+    edited = F.when(F.col("cut_at") >= full, F.concat(F.slice("own.hashes", F.lit(1), F.col("own.common")), behind["hash"]))
+    edited = edited.otherwise(fingerprint(F.col("edited"), gram, window, piece)["hash"])
+    found = found.select("id", n.cast("long").alias("n_chars"), "edited", "own", "next_hashes", edited.alias("edited_hashes"))
+    return found.select(F.col("id").alias(key), "n_chars", "edited", F.col("own.hashes").alias("hashes"), F.col("own.places_sha256").alias("places_sha256"), "edited_hashes", "next_hashes")
 
 
 def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,8 +269,9 @@ def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        digest("hashes", "places").alias("fingerprint"),
-        digest("edited_hashes", "edited_places").alias("edited_fingerprint"),
+        digest(F.col("hashes")).alias("fingerprint"),
+        digest(F.col("edited_hashes")).alias("edited_fingerprint"),
         likeness(F.col("hashes"), F.col("edited_hashes")).alias("near_edited"),
         likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        "places_sha256",
     )
