@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,9 +12,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import parse_band, parse_edges, shown_number
 from tidemark.functions.text import clean_html, first_column, header_name, is_good_text, row_text, shorten, squeeze, strip, strip_tags, words
+from tidemark.session import cut
 
 #: Words of a packed block, and characters of an item at least.
 PACK_WORDS, MIN_CHARS = 200, 5
+#: Rows that the bounds of slices are taken from when texts are packed.
+SLICES = 1024
 #: Fixed column names of the plan layout.
 PLAN_EDGES = ("från_(mhz)", "till_(mhz)")
 PLAN_PARTS = (
@@ -189,38 +193,149 @@ def numbered(df: DataFrame, name: str, by: str = "source", order: str = "pos", s
     return df.withColumn(name, F.row_number().over(W.partitionBy(by).orderBy(order)) - 1 + start)
 
 
-def pack(df: DataFrame, most: int = PACK_WORDS, by: str = "source", order: str = "pos", text: str = "text") -> DataFrame:
+def sliced(rows: DataFrame, slices: int) -> DataFrame:
+    """rows (by, o, ...) with slice: a number that rises with o within each by, from a sample of about slices rows.
+
+    Rows in the order of a hash are the sample, so a second evaluation finds
+    the same bounds. A by of a third of all rows is as many slices as a third
+    of the sample; one that the sample misses is one slice of few rows.
+    """
+    sample = rows.where(F.col("o").isNotNull()).select("by", "o").orderBy(F.xxhash64("by", "o"), "by", "o").limit(slices)
+    bounds = sample.groupBy("by").agg(F.array_sort(F.collect_set("o")).alias("bounds")).withColumnRenamed("by", "of")
+    # At most slices values altogether.
+    found = rows.join(F.broadcast(bounds), F.col("by").eqNullSafe(F.col("of")), "left")
+    return found.withColumn("slice", F.coalesce(F.size(F.filter("bounds", lambda b: b <= F.col("o"))), F.lit(0))).drop("of", "bounds")
+
+
+def block_map(w: np.ndarray, most: int) -> tuple[int, list[int], list[int], list[int]]:
+    """What greedy packing does with a slice of word counts, for each number of words in the block that is open when it begins.
+
+    (total, room, closed, left): an open block of used words is closed in the
+    slice by the first item before whose room it has no place: used + room >
+    most; closed blocks end within the slice from there on, and left words are
+    then in the open one. If it has room for all, used + total are in it.
+    """
+    sums = np.cumsum(w)
+    before = sums - w
+    follow = np.maximum(np.searchsorted(sums, before + most, side="right"), np.arange(len(w)) + 1)
+    room, first = np.unique(sums, return_index=True)
+    heads = first[: np.searchsorted(room, most, side="right") + 1]
+    closed, left = np.zeros(len(w), np.int64), np.zeros(len(w), np.int64)
+    for i in range(len(w) - 1, -1, -1):
+        if follow[i] < len(w):
+            closed[i], left[i] = closed[follow[i]] + 1, left[follow[i]]
+        else:
+            left[i] = sums[-1] - before[i]
+    return int(sums[-1]), sums[heads].tolist(), closed[heads].tolist(), left[heads].tolist()
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of each run of equal keys of sorted batches."""
+    held, now = [], None
+    for batch in batches:
+        of = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+        begin = 0
+        for i in range(1, len(of) + 1):
+            if i == len(of) or of[i] != of[begin]:
+                if held and of[begin] != now:
+                    yield now, pa.Table.from_batches(held)
+                    held = []
+                now = of[begin]
+                held.append(batch.slice(begin, i - begin))
+                begin = i
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def pack(df: DataFrame, most: int = PACK_WORDS, by: str = "source", order: str = "pos", text: str = "text", slices: int = SLICES) -> DataFrame:
     """(by, block_index, text, words, items): consecutive texts packed up to a word budget, joined by a space.
 
     A text above the budget is a block of its own; null texts have no words
-    and are left out of the joined text; rows of equal order go by text. Greedy
-    packing depends on all earlier texts of a source, so a source is folded in
-    order, by one task, which holds one block and an Arrow batch at a time.
+    and are left out of the joined text; rows of equal order go by text, null
+    first.
+
+    Greedy packing depends on all earlier texts of a source, but only through
+    the number of words in the open block. So sources are cut into slices, and
+    each slice is first turned into a map from that number to what it does
+    with it, in parallel; the maps of a source are followed in order; then each
+    slice, which now knows what is open when it begins, packs its texts. Blocks
+    that go over the end of a slice are put together at last. A task holds the
+    word counts of a slice, or one block.
     """
-    rows = df.select(F.col(by).alias("by"), F.col(order).alias("o"), F.col(text).alias("text"), F.size(words(F.col(text))).alias("w"))
     kind = dict(df.dtypes)[by]
+    rows = df.select(F.col(by).alias("by"), F.col(order).alias("o"), F.col(text).alias("text"), F.size(words(F.col(text))).cast("long").alias("w"))
+    rows = sliced(rows, slices)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (of, at), run in runs_of(batches, ("by", "slice")):
+            total, room, closed, left = block_map(run["w"].to_numpy(), most)
+            yield pa.RecordBatch.from_arrays(
+                [run["by"].slice(0, 1).combine_chunks(), pa.array([at], pa.int32()), pa.array([total]), *(pa.array([x], pa.list_(pa.int64())) for x in (room, closed, left))], ["by", "slice", "total", "room", "closed", "left"]
+            )
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The open block's words (-1: none is open) and its number at the beginning of each slice."""
+        now, used, block = None, -1, 0
+        for batch in batches:
+            starts = []
+            for r in batch.select(["by", "slice", "total", "room", "closed", "left"]).to_pylist():
+                if now is None or now[0] != r["by"]:
+                    now, used, block = (r["by"],), -1, 0
+                starts.append((used, block))
+                k = 0 if used < 0 else next((i for i, room in enumerate(r["room"]) if used + room > most), None)
+                if k is None:
+                    used += r["total"]
+                else:
+                    block += r["closed"][k] + (used >= 0)
+                    used = r["left"][k]
+            yield pa.RecordBatch.from_arrays([batch.column("by"), batch.column("slice"), *(pa.array([s[i] for s in starts], pa.int64()) for i in (0, 1))], ["by", "slice", "used", "block"])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind_of, now, texts, used, n, block = None, None, [], 0, 0, 0
+        """Pieces of blocks: (by, block_index, slice, text or null, words, items, whole)."""
+        open_, kind_of = None, None  # [by, slice, block, texts, words, items, words before, began here]
+
+        def piece(ended: bool) -> tuple | None:
+            of, at, block, held, n, items, _, here = open_
+            return (of, block, at, " ".join(held) if held else None, n, items, ended and here) if items else None
+
         for batch in batches:
             kind_of, out = batch.schema.field("by").type, []
-            for of, t, w in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if n and (of != now or used + w > most):
-                    out.append((now, block, " ".join(texts), used, n))
-                    texts, used, n, block = [], 0, 0, block + 1 if of == now else 0
-                now, used, n = of, used + w, n + 1
-                if t is not None:
-                    texts.append(t)
-            yield blocks(out, kind_of)
-        if n:
-            yield blocks([(now, block, " ".join(texts), used, n)], kind_of)
-
-    def blocks(out: list[tuple], kind_of: pa.DataType) -> pa.RecordBatch:
-        kinds = (kind_of, pa.int64(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["by", "block_index", "text", "words", "items"])
-
-    packed = rows.repartition("by").sortWithinPartitions("by", "o", "text").mapInArrow(fold, f"by {kind}, block_index long, text string, words long, items long")
-    return packed.withColumnRenamed("by", by)
+            for r in batch.to_pylist():
+                if r["used"] is not None:  # the slice's beginning
+                    if open_:
+                        out.append(piece(False))
+                    open_ = [r["by"], r["slice"], r["block"], [], 0, 0, max(r["used"], 0), r["used"] < 0]
+                    continue
+                if (open_[5] or not open_[7]) and open_[6] + open_[4] + r["w"] > most:
+                    out.append(piece(True))
+                    open_ = [*open_[:2], open_[2] + 1, [], 0, 0, 0, True]
+                open_[4] += r["w"]
+                open_[5] += 1
+                if r["text"] is not None:
+                    open_[3].append(r["text"])
+            yield pieces([x for x in out if x], kind_of)
+        if open_:
+            yield pieces([x for x in [piece(False)] if x], kind_of)
+
+    def pieces(out: list[tuple], kind_of: pa.DataType) -> pa.RecordBatch:
+        kinds = (kind_of, pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], ["by", "block_index", "slice", "text", "words", "items", "whole"])
+
+    in_order = ["by", "slice", "o", "text"]
+    counts = rows.repartition(parts, "by", "slice").sortWithinPartitions(*in_order).select("by", "slice", "w")
+    mapped = counts.mapInArrow(maps, f"by {kind}, slice int, total long, room array<long>, closed array<long>, left array<long>")
+    starts = cut(mapped.repartition(parts, "by").sortWithinPartitions("by", "slice").mapInArrow(follow, f"by {kind}, slice int, used long, block long"))
+    none = lambda t: F.lit(None).cast(t)
+    marked = rows.select("by", "slice", F.lit(1).alias("k"), "o", "text", "w", none("long").alias("used"), none("long").alias("block"))
+    marked = marked.unionByName(starts.select("by", "slice", F.lit(0).alias("k"), none(dict(df.dtypes)[order]).alias("o"), none("string").alias("text"), none("long").alias("w"), "used", "block"))
+    dealt = marked.repartition(parts, "by", "slice").sortWithinPartitions("by", "slice", "k", "o", "text").select("by", "slice", "text", "w", "used", "block")
+    found = dealt.mapInArrow(fold, f"by {kind}, block_index long, slice int, text string, words long, items long, whole boolean")
+    # A few blocks for each slice: those that are open at its ends.
+    ordered = F.array_sort(F.collect_list(F.struct("slice", "text")))
+    over = found.where("NOT whole").groupBy("by", "block_index").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), " ").alias("text"), F.sum("words").alias("words"), F.sum("items").alias("items"))
+    whole = found.where("whole").select("by", "block_index", F.coalesce("text", F.lit("")).alias("text"), "words", "items")
+    return whole.unionByName(over).withColumnRenamed("by", by)
 
 
 def html_text(c: Column) -> Column:

@@ -1,15 +1,28 @@
 """BM25 index and search as DataFrames.
 
-The index is three tables: postings (pos, term, tf, dl), terms (term, df, idf)
-and stats (n, avgdl), all in Parquet. Search touches only the postings of the
-query's terms.
+The index is four tables in Parquet: postings (pos, term, tf, dl, block), terms
+(term, df, idf, top), blocks (term, block, top) and stats (n, avgdl). A block
+is a stretch of BLOCK positions; top is the largest share of a score, before
+the weights, that a term has in the whole corpus or in one block.
+
+Search is exact and prunes by these bounds:
+
+1. Documents with a query's weightiest terms are scored; the k-th best score
+   is the threshold, below which nothing is wanted.
+2. Terms are ordered by the most that they can add. Those that together stay
+   below the threshold are optional: a document that holds no other term is
+   never looked at. So the postings of frequent words are not multiplied by the
+   queries that hold them.
+3. A candidate has its sum over the other terms. It is dropped if that, and the
+   most that the optional terms can add in its block, stays below the threshold.
+4. What is left is scored in full.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,20 +31,30 @@ from tidemark.session import cut, shared_path
 
 #: BM25 parameters: saturation, length share, and the floor of idf as a share of its mean.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Positions of a block; documents that a term must be in to have bounds by block.
+BLOCK, FREQUENT = 256, 1024
+#: Documents of its weightiest terms, for each wanted one, that a query's threshold is taken from.
+SEEDS = 4
+#: What sums in another order may differ by.
+SLACK = 1e-6
+
+
+PARTS = ("docs", "postings", "terms", "blocks", "stats")
 
 
 @dataclass
 class Bm25Index:
     docs: DataFrame  # pos, and the columns of the corpus
-    postings: DataFrame  # pos, term, tf, dl
-    terms: DataFrame  # term, df, idf
+    postings: DataFrame  # pos, term, tf, dl, block
+    terms: DataFrame  # term, df, idf, top
+    blocks: DataFrame  # term, block, top
     stats: DataFrame  # n, avgdl
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Bm25Index | None:
         """The index, or None with a message if there is none."""
         try:
-            return Bm25Index(*(spark.read.parquet(f"{path}/{part}") for part in ("docs", "postings", "terms", "stats")))
+            return Bm25Index(*(spark.read.parquet(f"{path}/{part}") for part in PARTS))
         except Exception as gone:  # noqa: BLE001 - Spark raises its own classes for a missing path
             if "PATH_NOT_FOUND" not in str(gone):
                 raise
@@ -40,7 +63,7 @@ class Bm25Index:
 
     def save(self, path: str) -> None:
         """Copies the index below another path, overwriting what is there."""
-        for part in ("docs", "postings", "terms", "stats"):
+        for part in PARTS:
             getattr(self, part).write.mode("overwrite").parquet(f"{path}/{part}")
 
 
@@ -57,16 +80,23 @@ def build(docs: DataFrame, pos: str = "pos", text: str = "text", path: str | Non
     path = path or shared_path(spark, "bm25")
     tokens = docs.select(F.col(pos).alias("pos"), tokenize(F.col(text)).alias("tokens"))
     postings = tokens.select("pos", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("pos", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    postings = postings.withColumn("block", F.floor(F.col("pos") / BLOCK))
     postings.sortWithinPartitions("term", "pos").write.mode("overwrite").parquet(f"{path}/postings")
     docs.withColumnRenamed(pos, "pos").write.mode("overwrite").parquet(f"{path}/docs")
     postings = spark.read.parquet(f"{path}/postings")
     n = spark.read.parquet(f"{path}/docs").count()
-    stats = postings.agg(F.lit(n).cast("long").alias("n"), (F.coalesce(F.sum("tf"), F.lit(0)) / F.lit(max(n, 1))).alias("avgdl"))
-    raw = postings.groupBy("term").agg(F.count("*").alias("df")).select("term", "df", (F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    avgdl = (postings.agg(F.sum("tf")).first()[0] or 0) / max(n, 1)
+    stats = spark.createDataFrame([(n, avgdl)], "n long, avgdl double")
+    raw = postings.groupBy("term").agg(F.count("*").alias("df"), F.max(share(avgdl)).alias("top"))
+    raw = raw.withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = raw.agg((F.lit(EPSILON) * F.avg("raw")).alias("floor"))
-    terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))  # floor has one row
+    terms = raw.crossJoin(F.broadcast(floor)).select("term", "df", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"), "top")  # floor has one row
     stats.write.mode("overwrite").parquet(f"{path}/stats")
     terms.write.mode("overwrite").parquet(f"{path}/terms")
+    # Rarer terms have their bound over all blocks: they would fill a row for each posting.
+    frequent = spark.read.parquet(f"{path}/terms").where(F.col("df") >= FREQUENT).select("term")
+    blocks = postings.join(frequent, "term", "left_semi").groupBy("term", "block").agg(F.max(share(avgdl)).alias("top"))
+    blocks.write.mode("overwrite").parquet(f"{path}/blocks")
     return Bm25Index.load(spark, path)
 
 
@@ -75,15 +105,80 @@ def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     return queries.select("query_id", F.explode(tokenize(F.col(text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
 
 
+def share(avgdl: float) -> Column:
+    """What a posting adds to a score for each unit of its term's weight."""
+    length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.lit(avgdl or 1.0))
+    return F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + length)
+
+
+def weights(index: Bm25Index, queries: DataFrame) -> DataFrame:
+    """(query_id, term, df, weight, most): weight by occurrences and idf, and the most that a term can add to a score."""
+    weight = F.col("qtf") * F.col("idf")
+    wanted = query_terms(queries).join(index.terms, "term")
+    return wanted.select("query_id", "term", "df", weight.alias("weight"), F.greatest(weight * F.col("top"), F.lit(0.0)).alias("most"))
+
+
+def summed(index: Bm25Index, wanted: DataFrame) -> DataFrame:
+    """(query_id, pos, block, score) of the documents that hold wanted terms (query_id, term, weight): sums over these."""
+    avgdl = index.stats.first()["avgdl"]
+    # A query set's terms bound what is read; the planner measures them before it picks a join.
+    hits = index.postings.join(wanted.select("query_id", "term", "weight"), "term")
+    return hits.groupBy("query_id", "pos", "block").agg(F.sum(F.col("weight") * share(avgdl)).alias("score"))
+
+
 def scores(index: Bm25Index, queries: DataFrame) -> DataFrame:
     """(query_id, pos, score) of documents that share a term with a query."""
-    wanted = query_terms(queries).join(index.terms.select("term", "idf"), "term")
-    length = F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("dl") / F.col("avgdl"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * F.lit(K1 + 1) / (F.col("tf") + length)
-    # A semi join moves below the aggregate that makes postings, so that other terms are not shuffled.
-    postings = index.postings.join(F.broadcast(query_terms(queries).select("term").distinct()), "term", "left_semi")
-    hits = postings.join(wanted, "term").crossJoin(F.broadcast(index.stats))  # one row
-    return hits.groupBy("query_id", "pos").agg(F.sum(part).alias("score"))
+    return summed(index, weights(index, queries)).select("query_id", "pos", "score")
+
+
+def scores_of(index: Bm25Index, wanted: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(query_id, pos, score) of the pairs (query_id, pos), over all of the query's terms."""
+    avgdl = index.stats.first()["avgdl"]
+    held = index.postings.join(pairs.select("pos").distinct(), "pos", "left_semi").join(wanted.select("query_id", "term", "weight"), "term")
+    found = held.join(pairs.select("query_id", "pos"), ["query_id", "pos"], "left_semi")
+    return found.groupBy("query_id", "pos").agg(F.sum(F.col("weight") * share(avgdl)).alias("score"))
+
+
+def thresholds(index: Bm25Index, wanted: DataFrame, k: int) -> DataFrame:
+    """(query_id, least): a score that at least k documents of a query reach; queries without k such documents are left out."""
+    order = W.partitionBy("query_id").orderBy(F.desc("most"), "term")
+    before = F.coalesce(F.sum("df").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    seeds = summed(index, wanted.withColumn("_n", before).where(F.col("_n") < SEEDS * k))
+    # The best SEEDS * k of them by these terms: as few rows for each query, however frequent its terms are.
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "pos"))
+    seeds = cut(seeds.withColumn("_n", place).where(F.col("_n") <= SEEDS * k).select("query_id", "pos"))
+    ranked = scores_of(index, wanted, seeds).withColumn("_n", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"))))
+    return ranked.where(F.col("_n") == k).select("query_id", F.col("score").alias("least"))
+
+
+def pruned(index: Bm25Index, wanted: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """((query_id, pos, block, score, least) of candidates by their other terms, those of them that can be among the k best)."""
+    order = W.partitionBy("query_id").orderBy("most", "term").rowsBetween(W.unboundedPreceding, 0)
+    least = F.coalesce("least", F.lit(float("-inf")))
+    split = wanted.join(thresholds(index, wanted, k), "query_id", "left").withColumn("least", least)
+    split = cut(split.withColumn("optional", F.sum("most").over(order) < F.col("least") - SLACK))
+    candidates = summed(index, split.where("NOT optional")).join(split.select("query_id", "least").distinct(), "query_id")
+    optional = split.where("optional")
+    # What optional terms add at most: rare ones anywhere, frequent ones by block.
+    rare = optional.where(F.col("df") < FREQUENT).groupBy("query_id").agg(F.sum("most").alias("rare"))
+    frequent = optional.where(F.col("df") >= FREQUENT).join(index.blocks.select("term", "block", F.col("top").alias("_top")), "term")
+    frequent = frequent.groupBy("query_id", "block").agg(F.sum(F.greatest(F.col("weight") * F.col("_top"), F.lit(0.0))).alias("frequent"))
+    bound = F.col("score") + F.coalesce("rare", F.lit(0.0)) + F.coalesce("frequent", F.lit(0.0))
+    kept = candidates.join(rare, "query_id", "left").join(frequent, ["query_id", "block"], "left").where(bound >= F.col("least") - SLACK)
+    return candidates, kept.select("query_id", "pos")
+
+
+def best_scores(index: Bm25Index, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, pos, score) of documents that share a term with a query: the k best ones of each query are among them."""
+    wanted = cut(weights(index, queries))
+    return scores_of(index, wanted, cut(pruned(index, wanted, k)[1]))
+
+
+def pruning(index: Bm25Index, queries: DataFrame, k: int = 30) -> dict[str, int]:
+    """Rows that a search moves: postings of all terms, those of candidates, and candidates scored in full."""
+    wanted = cut(weights(index, queries))
+    candidates, kept = pruned(index, wanted, k)
+    return {"postings": wanted.agg(F.sum("df")).first()[0] or 0, "candidates": candidates.count(), "scored": kept.count()}
 
 
 def search(index: Bm25Index, query: str, k: int = 30) -> DataFrame:
@@ -95,7 +190,7 @@ def search(index: Bm25Index, query: str, k: int = 30) -> DataFrame:
 def search_all(index: Bm25Index, queries: DataFrame, k: int = 30) -> DataFrame:
     """The k best documents (query_id, pos, score, rank) of every query (query_id, text), ranked as in search."""
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "pos"))
-    hits = scores(index, queries).select("query_id", "pos", F.round("score", 9).alias("score"))
+    hits = best_scores(index, queries, k).select("query_id", "pos", F.round("score", 9).alias("score"))
     found = hits.withColumn("rank", place).where(F.col("rank") <= k).drop("rank")
     found = cut(found)  # at most k rows of each query, read again below
     # A query with fewer than k documents above 0 is padded with the first documents that hold none of its terms.

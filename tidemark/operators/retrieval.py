@@ -12,15 +12,19 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from tidemark.functions.text import tokenize
+from tidemark.session import cut
 
 #: Fusion constant, candidates per list, fused candidates, passages and characters of a context.
 RRF, K_LIST, K_FUSED, K_FINAL, CONTEXT_CHARS = 60, 30, 50, 7, 12_000
 DIMS = 1024
-#: Query vectors sent to the tasks at a time, and compared with a batch of rows at a time.
-QUERY_BLOCK, QUERY_CHUNK = 4096, 128
+#: Queries that a group of a cell's vectors meets, queries and vectors compared at a time.
+QUERY_BLOCK, QUERY_CHUNK, NEAR_ROWS = 4096, 128, 8192
+#: Most and fewest pivots, vectors for each; components of a group's vectors.
+PIVOTS, MIN_PIVOTS, PIVOT_ROWS, PART_FLOATS = 256, 8, 5000, 4 << 20
+#: What distances computed in another order may differ by, absolutely and as a share.
+SLACK = 1e-6
 
 
 def squared_l2(a: Column, b: Column) -> Column:
@@ -65,33 +69,148 @@ def _nearest(batches: Iterator[pa.RecordBatch], ids: pa.Array, queries: np.ndarr
         yield pa.RecordBatch.from_arrays([ids.take(pa.array(held[0])), pa.array(held[1], kind), pa.array(held[2])], ["query_id", "key", "dist"])
 
 
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dims)
+
+
+def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows (key, embedding) of a batch whose vectors are complete, by vector length."""
+    column = batch.column(1)
+    batch = batch.filter(pc.fill_null(pc.greater(pc.list_value_length(column), 0), False))
+    lengths = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    for dims in np.unique(lengths):
+        part = batch.filter(pa.array(lengths == dims))
+        full = part.column(1).flatten().is_valid().to_numpy(zero_copy_only=False).reshape(-1, dims).all(axis=1)
+        yield int(dims), part.filter(pa.array(full))
+
+
+def _far(values: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of all rows to all pivots."""
+    out = np.empty((len(values), len(pivots)))
+    with np.errstate(over="ignore", invalid="ignore"):
+        for i, p in enumerate(pivots):
+            out[:, i] = np.sqrt(((values - p) ** 2).sum(axis=1))
+    return out
+
+
+def place_vectors(rows: DataFrame, pivots: dict[int, np.ndarray], key: str, embedding: str) -> DataFrame:
+    """(key, embedding, dims, cell, away): each complete vector with its nearest pivot and the distance to it.
+
+    Cell -1 holds vectors whose distances say nothing: those with a component
+    that isn't finite, and those of a length without pivots.
+    """
+    schema = f"`{key}` {dict(rows.dtypes)[key]}, `{embedding}` {dict(rows.dtypes)[embedding]}, dims int, cell int, away double"
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dims, part in _by_length(batch):
+                cell, away = np.full(part.num_rows, -1), np.zeros(part.num_rows)
+                if dims in pivots and part.num_rows:
+                    values = _matrix(part.column(1), dims)
+                    sound = np.isfinite(values).all(axis=1)
+                    far = _far(values[sound], pivots[dims])
+                    # Sums of huge components may overflow.
+                    known = np.isfinite(far).all(axis=1)
+                    at = np.flatnonzero(sound)[known]
+                    cell[at] = far[known].argmin(axis=1)
+                    away[at] = far[known].min(axis=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(part.num_rows, dims), pa.int32()), pa.array(cell, pa.int32()), pa.array(away)], [key, embedding, "dims", "cell", "away"])
+
+    return rows.mapInArrow(place, schema)
+
+
+def route_queries(queries: DataFrame, pivots: dict[int, np.ndarray], cells: dict[tuple[int, int], tuple[float, float, list[float]]], k: int, embedding: str) -> DataFrame:
+    """(query_id, embedding, dims, cell, lo, hi): each query once for each cell that may hold one of its k nearest vectors.
+
+    cells has, by length and pivot, the least and the largest distance of its
+    vectors and the k smallest ones: by the triangle inequality they bound the
+    query's k-th distance from above, and its distances to a cell from below.
+    lo and hi bound the distances to the pivot of vectors that can be near.
+    """
+    kinds = dict(queries.dtypes)
+    schema = f"query_id {kinds['query_id']}, `{embedding}` {kinds[embedding]}, dims int, cell int, lo double, hi double"
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for dims, part in _by_length(batch):
+                known = sorted(c for d, c in cells if d == dims and c >= 0)
+                odd = [-1] if (dims, -1) in cells else []
+                far = _far(_matrix(part.column(1), dims), pivots[dims][known]) if known else np.zeros((part.num_rows, 0))
+                at, cell, lo, hi = [], [], [], []
+                for i, d in enumerate(far):
+                    sound = np.isfinite(d)  # sums of huge components overflow and bound nothing
+                    reach = np.sort(np.concatenate([[], *(x + np.array(cells[dims, c][2]) for x, c, s in zip(d, known, sound) if s)]))
+                    least = reach[k - 1] * (1 + SLACK) + SLACK if len(reach) >= k else np.inf
+                    first = d[sound].min(initial=np.inf)
+                    for x, c, s in zip(d, known, sound):
+                        near = max(0.0, x - cells[dims, c][1], cells[dims, c][0] - x, (x - first) / 2) if s else 0.0
+                        if near <= least:
+                            bounded = s and np.isfinite(least)
+                            at.append(i), cell.append(c), lo.append(x - least if bounded else -np.inf), hi.append(x + least if bounded else np.inf)
+                    for c in odd:
+                        at.append(i), cell.append(c), lo.append(-np.inf), hi.append(np.inf)
+                columns = [c.take(pa.array(at, pa.int64())) for c in part.columns]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(np.full(len(at), dims), pa.int32()), pa.array(cell, pa.int32()), pa.array(lo, pa.float64()), pa.array(hi, pa.float64())], ["query_id", embedding, "dims", "cell", "lo", "hi"]
+                )
+
+    return queries.mapInArrow(route, schema)
+
+
 def dense_search_all(vectors: DataFrame, queries: DataFrame, k: int = K_LIST, key: str = "pos", embedding: str = "embedding") -> DataFrame:
     """Exact nearest neighbours (query_id, key, dist, rank) of every query (query_id, embedding).
 
-    Queries go to the tasks in blocks; a task scans its vectors once per block
-    and passes on the k best rows of each query. Vectors and queries with a
-    missing component have no distance, nor have those of different lengths;
-    rows without a key are left out.
+    Vectors are placed at the nearest of a few pivots, once, with the distance
+    to it; queries go to the cells that can hold one of their k nearest
+    vectors. Vectors and queries meet by cell. Cells with many vectors are
+    dealt to several tasks, and so are many queries of a cell, so a group's
+    size is bounded and the vectors are read as often, whatever the number of
+    queries. To the driver go the pivots and k distances of each.
+
+    Vectors and queries with a missing component have no distance, nor have
+    those of different lengths; rows without a key are left out.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(key, embedding).where(F.col(key).isNotNull())
+    asked = queries.select("query_id", embedding)
     kinds = dict(rows.dtypes) | dict(queries.dtypes)
     schema = f"query_id {kinds['query_id']}, `{key}` {kinds[key]}, dist double"
-    best, block = rows.sparkSession.createDataFrame([], schema), {}
-
-    def scan(block: list) -> DataFrame:
-        ids, q = pa.array([i for i, _ in block], to_arrow_type(queries.schema["query_id"].dataType)), np.array([v for _, v in block], dtype=float)
-        return rows.mapInArrow(lambda batches: (b.rename_columns(["query_id", key, "dist"]) for b in _nearest(batches, ids, q, k)), schema)
-
-    for r in queries.select("query_id", embedding).toLocalIterator():
-        if r[1] is None or any(x is None for x in r[1]):
-            continue
-        own = block.setdefault(len(r[1]), [])
-        own.append((r[0], r[1]))
-        if len(own) == QUERY_BLOCK:
-            best = best.unionByName(scan(block.pop(len(r[1]))))
-    for own in block.values():
-        best = best.unionByName(scan(own))
-    return best.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", key))).where(F.col("rank") <= k)
+    # Rows in the order of a hash are a sample that does not depend on partitions.
+    most = min(PIVOTS, max(MIN_PIVOTS, rows.count() // PIVOT_ROWS))
+    sound = F.forall(F.col(embedding), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    sample = rows.where(sound & (F.size(embedding) > 0)).orderBy(F.xxhash64(key), key).limit(most).collect()
+    pivots = {d: np.unique(np.array([r[1] for r in sample if len(r[1]) == d], float), axis=0) for d in {len(r[1]) for r in sample}}
+
+    placed = cut(place_vectors(rows, pivots, key, embedding))
+    order = W.partitionBy("dims", "cell").orderBy("away")
+    nearest = placed.select("dims", "cell", "away").withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).groupBy("dims", "cell").agg(F.array_sort(F.collect_list("away")).alias("first"))
+    found = placed.groupBy("dims", "cell").agg(F.count("*").alias("n"), F.min("away").alias("lo"), F.max("away").alias("hi")).join(nearest, ["dims", "cell"]).collect()
+    cells = {(r["dims"], r["cell"]): (r["lo"], r["hi"], r["first"]) for r in found}
+    parts = {(r["dims"], r["cell"]): -(-r["n"] * r["dims"] // PART_FLOATS) for r in found}
+
+    routed = route_queries(asked, pivots, cells, k, embedding).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)))
+    routed = cut(routed)
+    blocks = {(r["dims"], r["cell"]): -(-r["n"] // QUERY_BLOCK) for r in routed.groupBy("dims", "cell").agg(F.count("*").alias("n")).collect()}
+    # A row for each cell that some query goes to: no more than there are pivots.
+    plan = spark.createDataFrame([(d, c, int(parts[d, c]), int(b)) for (d, c), b in blocks.items()], "dims int, cell int, parts int, blocks int")
+    left = placed.join(F.broadcast(plan), ["dims", "cell"]).withColumn("part", F.pmod(F.xxhash64(key), "parts")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = routed.join(F.broadcast(plan), ["dims", "cell"]).withColumn("block", F.pmod("_b", "blocks").cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
+    group = ["dims", "cell", "part", "block"]
+
+    def meet(held: pa.Table, come: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": come["query_id"].slice(0, 0), key: held[key].slice(0, 0), "dist": pa.array([], pa.float64())})
+        if not held.num_rows or not come.num_rows:
+            return empty
+        away = held["away"].to_numpy()
+        # None of the group's queries can have what lies outside all of their rings.
+        near = (away >= come["lo"].to_numpy().min()) & (away <= come["hi"].to_numpy().max())
+        rows_ = held.filter(pa.array(near)).select([key, embedding]).combine_chunks()
+        ids, q = come["query_id"].combine_chunks(), _matrix(come[embedding].combine_chunks(), held["dims"][0].as_py())
+        out = list(_nearest(iter(rows_.to_batches(max_chunksize=NEAR_ROWS)), ids, q, k))
+        return pa.Table.from_batches(out).rename_columns(["query_id", key, "dist"]) if out else empty
+
+    near = left.select(*group, key, embedding, "away").groupBy(*group).cogroup(right.select(*group, "query_id", embedding, "lo", "hi").groupBy(*group)).applyInArrow(meet, schema)
+    return near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("dist", key))).where(F.col("rank") <= k)
 
 
 def fuse(dense: DataFrame, lexical: DataFrame, top_k: int = K_LIST, key: str = "id", constant: int = RRF, by: tuple[str, ...] = ()) -> DataFrame:
