@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -9,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bound on what an operator may broadcast or hold in a Python worker, in bytes.
 BROADCAST_BYTES = 32 << 20
+#: The folder that holds this package: Python workers import it from there, whatever folder the driver was started in.
+PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 #: Whether a query's shuffles are removed when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -25,12 +29,19 @@ def local_session(app: str = "tidemark", cores: str = "*", **conf) -> SparkSessi
         .config("spark.driver.memory", "6g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.executorEnv.PYTHONPATH", os.pathsep.join(p for p in (PACKAGE_ROOT, os.environ.get("PYTHONPATH")) if p))
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, for sessions on clusters where it isn't installed."""
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="tidemark-"), "tidemark"), "zip", PACKAGE_ROOT, os.path.basename(os.path.dirname(os.path.abspath(__file__))))
+    spark.sparkContext.addPyFile(made)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
