@@ -122,8 +122,10 @@ def test_registered_searches_take_every_query_row(spark):
 
 
 def test_embed_hash_has_the_default_length(spark):
-    lengths = registry.QUERIES["embed_hash"](spark, SF).select(F.size("embedding")).distinct().collect()
-    assert [r[0] for r in lengths] == [retrieval.DIMS]
+    documents = spark.read.parquet(f"{SF}/documents.parquet")
+    lengths = retrieval.embed(documents).select(F.size("embedding")).distinct().collect()
+    assert [r[0] for r in lengths] == [retrieval.DIMS] == [1024]
+    assert registry.QUERIES["embed_hash"](spark, SF).count() == documents.count()
 
 
 def test_context_budget(spark):

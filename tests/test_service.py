@@ -2,7 +2,9 @@
 
 import http.client
 import http.server
+import hashlib
 import json
+import os
 import random
 import subprocess
 import sys
@@ -84,6 +86,16 @@ def test_collection_appends_once(spark, tmp_path):
     assert vectors.size(spark, path) == 2
 
 
+def plain_vector(tokens, dims):
+    """Feature hashing by MD5, scaled to length 1."""
+    v = [0.0] * dims
+    for t in tokens:
+        h = int(hashlib.md5(t.encode()).hexdigest()[:9], 16)
+        v[(h >> 4) % dims] += 1 if h & 8 else -1
+    norm = sum(x * x for x in v) ** 0.5
+    return [x / norm for x in v] if norm else v
+
+
 def model_hybrid(docs, query, k=30, top=50):
     """Fused ids of one query, by plain Python: docs are (pos, text, embedding or None)."""
     import math
@@ -100,7 +112,7 @@ def model_hybrid(docs, query, k=30, top=50):
     idf = {w: x if x >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, x in raw.items()}
     score = {p: round(sum(idf[w] * t.count(w) * 2.5 / (t.count(w) + 1.5 * (0.25 + 0.75 * len(t) / avg)) for w in cut(query) if w in t), 9) for p, t in tokens.items()}
     bm25 = sorted(score, key=lambda p: (-score[p], p))[:k]
-    v = retrieval.hash_vector(cut(query), 64)
+    v = plain_vector(cut(query), 64)
     dist = {p: sum((a - b) ** 2 for a, b in zip(v, e)) for p, _, e in docs if e is not None}
     dense = sorted(dist, key=lambda p: (round(dist[p], 9), p))[:k]
     fused = {}
@@ -256,10 +268,23 @@ def test_plan_blocks(spark):
 
 def test_entry_works_without_packages_for_training_text(tmp_path):
     code = "import sys; sys.modules['xxhash'] = None\nimport __spark_entry__ as e\nassert 'bm25_topk' in e.queries() and not any(n.startswith('op') for n in e.queries())"
-    run = subprocess.run([sys.executable, "-c", code], cwd="/root/repo" if __file__.startswith("/root/repo") else None, capture_output=True, text=True)
+    run = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True)
     assert run.returncode == 0 and ("xxhash" in run.stderr or "left out" in run.stderr or run.stderr == ""), run.stderr
 
 
+def test_hashed_vectors(spark):
+    texts = [None, "", "a", "a a b", "Ärta å ö", " ".join(f"w{i}" for i in range(5000))] * 300
+    got = retrieval.embed(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").repartition(2), dims=32).collect()
+    want = {t: plain_vector((t or "").lower().split(), 32) for t in texts}
+    assert len(got) == len(texts) and all(list(r["embedding"]) == want[r["text"]] for r in got)
+
+
+def test_models_get_batches(spark):
+    seen = spark.createDataFrame([(f"t{i}",) for i in range(250)], "text string").coalesce(1)
+    sizes = {r["embedding"][0] for r in retrieval.embed(seen, lambda batch: [[float(len(batch))] for _ in batch], dims=1).collect()}
+    assert sizes == {100.0, 50.0}
+
+
 def test_failed_embedding_batch(spark):
     d = spark.createDataFrame([("a b",), (None,)], "text string")
 

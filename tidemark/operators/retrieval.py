@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,6 +18,8 @@ from tidemark.session import cut
 #: Fusion constant, candidates per list, fused candidates, passages and characters of a context.
 RRF, K_LIST, K_FUSED, K_FINAL, CONTEXT_CHARS = 60, 30, 50, 7, 12_000
 DIMS = 1024
+#: Texts that a model gets at a time, and that are hashed at a time.
+MODEL_BATCH, EMBED_ROWS = 100, 1024
 #: Queries that a group of a cell's vectors meets, queries and vectors compared at a time.
 QUERY_BLOCK, QUERY_CHUNK, NEAR_ROWS = 4096, 128, 8192
 #: Most and fewest pivots, vectors for each; components of a group's vectors.
@@ -248,8 +249,13 @@ def union_queries(lists: list[DataFrame]) -> DataFrame:
 
 
 def dedup_passages(passages: DataFrame, order: list[str], text: str = "text") -> DataFrame:
-    """The first passage of each text, in the order given."""
-    return passages.withColumn("_n", F.row_number().over(W.partitionBy(text).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first passage of each text, in the order given, nulls first.
+
+    An aggregate: a text of a third of all rows is one row per task.
+    """
+    rest = [c for c in passages.columns if c != text]
+    place = F.struct(*[x for c in order for x in (F.col(c).isNotNull(), F.col(c))])
+    return passages.groupBy(text).agg(F.min_by(F.struct(*rest), place).alias("_r")).select(*[F.col(c) if c == text else F.col(f"_r.{c}") for c in passages.columns])
 
 
 def within_budget(ranked: DataFrame, budget: int = CONTEXT_CHARS, by: tuple[str, ...] = (), order: str = "rank", text: str = "text") -> DataFrame:
@@ -271,39 +277,57 @@ def build_context(ranked: DataFrame, budget: int | None = CONTEXT_CHARS, by: tup
     return rows.groupBy(*by).agg(joined.alias("context"), F.count("*").alias("passages"))
 
 
-def hash_vector(tokens: list[str], dims: int) -> list[float]:
-    """Feature hashing of tokens, scaled to length 1; zero without tokens."""
-    v = np.zeros(dims)
-    for t in tokens:
-        h = int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "little")
-        v[h % dims] += 1 if h >> 63 else -1
-    norm = np.linalg.norm(v)
-    return (v / norm if norm else v).tolist()
+def hash_codes(tokens: Column) -> Column:
+    """A number of 36 bits for each token, from its MD5: bit 3 tells the sign, those above bit 3 the place."""
+    return F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 9), 16, 10).cast("long"))
+
+
+def hash_vectors(codes: pa.Array, dims: int) -> pa.Array:
+    """Feature hashing of lists of codes, scaled to length 1; zero without tokens."""
+    owner = pc.list_parent_indices(codes).to_numpy(zero_copy_only=False)
+    code = codes.flatten().to_numpy(zero_copy_only=False)
+    counts = np.bincount(owner * dims + (code >> 4) % dims, np.where(code & 8, 1.0, -1.0), len(codes) * dims).reshape(-1, dims)
+    norm = np.sqrt((counts**2).sum(axis=1, keepdims=True))
+    values = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1) * dims, pa.int32()), pa.array(values.ravel()))
 
 
 def embed(df: DataFrame, model: Callable[[list[list[str]]], list[list[float]]] | None = None, text: str = "text", dims: int = DIMS, strict: bool = False) -> DataFrame:
-    """df with an embedding column, in Arrow batches.
+    """df with an embedding column.
 
-    model turns a batch of token lists into vectors; the default hashes
-    tokens and needs no network. A failing batch gives zero vectors, or raises
-    if strict. A batch of another size than its input always raises.
+    model turns a batch of at most MODEL_BATCH token lists into vectors; a
+    failing batch gives zero vectors, or raises if strict; one of another size
+    than its input always raises. The default hashes tokens and needs no
+    network: they become numbers in the JVM, and these vectors, EMBED_ROWS at
+    a time, without a Python object for each.
     """
 
+    @F.arrow_udf("array<double>")
+    def hashed(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for codes in parts:
+            done = [hash_vectors(codes.slice(i, EMBED_ROWS), dims) for i in range(0, len(codes), EMBED_ROWS)]
+            yield pa.concat_arrays(done) if done else pa.array([], pa.list_(pa.float64()))
+
     @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def modelled(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for tokens in parts:
-            batch = [list(t) if t is not None else [] for t in tokens]
-            try:
-                out = model(batch) if model else [hash_vector(t, dims) for t in batch]
-            except Exception:  # noqa: BLE001 - any model failure
-                if strict:
-                    raise
-                out = [[0.0] * dims for _ in batch]
-            if len(out) != len(batch):
-                raise ValueError("the model returned another number of vectors")
-            yield pd.Series(out)
-
-    return df.withColumn("embedding", run(tokenize(F.col(text))))
+            every = [list(t) if t is not None else [] for t in tokens]
+            found = []
+            for i in range(0, len(every), MODEL_BATCH):
+                batch = every[i : i + MODEL_BATCH]
+                try:
+                    out = model(batch)
+                except Exception:  # noqa: BLE001 - any model failure
+                    if strict:
+                        raise
+                    out = [[0.0] * dims for _ in batch]
+                if len(out) != len(batch):
+                    raise ValueError("the model returned another number of vectors")
+                found += out
+            yield pd.Series(found)
+
+    tokens = tokenize(F.col(text))
+    return df.withColumn("embedding", modelled(tokens) if model else hashed(hash_codes(tokens)))
 
 
 def rerank(passages: DataFrame, query: str, top_k: int = K_FINAL, score: Callable[[Column, str], Column] | None = None, text: str = "text") -> DataFrame:
@@ -319,11 +343,25 @@ def rerank(passages: DataFrame, query: str, top_k: int = K_FINAL, score: Callabl
 def rerank_all(passages: DataFrame, queries: DataFrame, top_k: int = K_FINAL, text: str = "text") -> DataFrame:
     """The passages that score best against each query (query_id, query), by the share of its tokens they hold.
 
-    Passages with a query_id are those of that query; without one, each query ranks all of them.
+    Passages with a query_id are those of that query; without one, each query
+    ranks all of them: tokens meet in a join, so only passages that share a
+    token with a query are counted, and texts are joined to the best alone.
     """
     wanted = queries.select("query_id", F.array_distinct(tokenize(F.col("query"))).alias("_wanted"))
-    held = passages.withColumn("_tokens", F.array_distinct(tokenize(F.col(text))))
-    pairs = held.join(wanted, "query_id") if "query_id" in passages.columns else held.crossJoin(F.broadcast(wanted))
-    value = F.size(F.array_intersect("_tokens", "_wanted")) / F.greatest(F.size("_wanted"), F.lit(1))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank"))
-    return pairs.withColumn("rerank_score", value).drop("_tokens", "_wanted").withColumn("_n", place).where(F.col("_n") <= top_k).drop("_n")
+    size = F.greatest(F.size("_wanted"), F.lit(1))
+    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank", *([] if "query_id" in passages.columns else ["_row"])))
+    if "query_id" in passages.columns:
+        pairs = passages.withColumn("_tokens", F.array_distinct(tokenize(F.col(text)))).join(wanted, "query_id")
+        value = F.size(F.array_intersect("_tokens", "_wanted")) / size
+        return pairs.withColumn("rerank_score", value).drop("_tokens", "_wanted").withColumn("_n", place).where(F.col("_n") <= top_k).drop("_n")
+    rows = cut(passages.withColumn("_row", F.monotonically_increasing_id()))
+    tokens = rows.select("_row", "rank", F.explode(F.array_distinct(tokenize(F.col(text)))).alias("_token"))
+    asked = wanted.select("query_id", size.alias("_size"), F.explode("_wanted").alias("_token"))
+    held = tokens.join(asked, "_token").groupBy("query_id", "_row").agg(F.first("rank").alias("rank"), (F.count("*") / F.first("_size")).alias("rerank_score"))
+    best = cut(held.withColumn("_n", place).where(F.col("_n") <= top_k).drop("_n"))
+    # A query that fewer share a token with goes on with the first of the others: they are among the first 2 * top_k of all.
+    short = queries.select("query_id").distinct().join(best.groupBy("query_id").count().where(F.col("count") >= top_k), "query_id", "left_anti")
+    first = rows.select("_row", "rank").orderBy("rank", "_row").limit(2 * top_k)
+    others = short.crossJoin(F.broadcast(first)).join(best.select("query_id", "_row"), ["query_id", "_row"], "left_anti")
+    best = best.unionByName(others.withColumn("rerank_score", F.lit(0.0))).withColumn("_n", place).where(F.col("_n") <= top_k)
+    return rows.join(best.select("query_id", "_row", "rerank_score"), "_row").drop("_row")

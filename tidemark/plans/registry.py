@@ -360,12 +360,30 @@ def chunk_text(spark, sf):
     return rows.select("doc_id", F.col("i").cast("long").alias("chunk_index"), F.md5("chunk").alias("chunk_md5"))
 
 
-@query()
+def _hashed_sql(name: str, texts: str) -> str:
+    """CTE name (key, place, x): the components that aren't 0 of the hashed vectors of texts (key, text)."""
+    return rf"""{name}_c AS (SELECT key, (h >> 4) % 1024 AS place, CASE WHEN h & 8 = 8 THEN 1 ELSE -1 END AS s
+    FROM (SELECT key, ('0x' || substr(md5(term), 1, 9))::BIGINT AS h FROM (SELECT key, unnest({SQL_TOKENS.format("text")}) AS term FROM ({texts})))),
+{name}_n AS (SELECT key, place, sum(s) AS n FROM {name}_c GROUP BY ALL HAVING sum(s) <> 0),
+{name} AS (SELECT key, place, n / sqrt(sum(n * n) OVER (PARTITION BY key)) AS x FROM {name}_n)"""
+
+
+@query(
+    f"""WITH {_hashed_sql("v", "SELECT doc_id AS key, text FROM documents")},
+full_v AS (SELECT doc_id, i, coalesce(x, 0) AS x FROM documents CROSS JOIN range(1024) AS r(i) LEFT JOIN v ON key = doc_id AND place = i)
+SELECT doc_id, md5(string_agg(floor(x * 1e6 + 0.5)::BIGINT::VARCHAR, ',' ORDER BY i)) AS embedding_md5 FROM full_v GROUP BY doc_id"""
+)
 def embed_hash(spark, sf):
-    return retrieval.embed(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+    """Vectors of all documents; their components, as millionths, in a digest."""
+    millionths = F.transform("embedding", lambda x: F.floor(x * 1e6 + 0.5).cast("string"))
+    return retrieval.embed(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", F.md5(F.array_join(millionths, ",")).alias("embedding_md5"))
 
 
-@query()
+@query(
+    f"""WITH q AS (SELECT item_id AS query_id, list_distinct({SQL_TOKENS.format("text")}) AS w FROM benchmark WHERE item_id % 100 = 0),
+d AS (SELECT doc_id AS rank, list_distinct({SQL_TOKENS.format("text")}) AS tk FROM documents), s AS (SELECT query_id, rank, len(list_intersect(tk, w))::DOUBLE / greatest(len(w), 1) AS score FROM q, d)
+SELECT query_id, rank, round(score, 6) AS rerank_score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) <= 7"""
+)
 def rerank_top7(spark, sf):
     ranked = table(spark, sf, "documents").select(F.col("doc_id").alias("rank"), "text")
     found = retrieval.rerank_all(ranked, questions(spark, sf).withColumnRenamed("text", "query"))
@@ -500,7 +518,7 @@ def _indexed_documents(spark, sf) -> DataFrame:
 
 
 def _built(spark, sf) -> index.Settings:
-    settings = index.Settings(index_dir=shared_path(spark, "index"), embedding_length=64)
+    settings = index.Settings(index_dir=shared_path(spark, "index"), embedding_length=retrieval.DIMS)
     index.build_index(spark, settings, docs=_indexed_documents(spark, sf))
     return settings
 
@@ -515,23 +533,54 @@ def asked(spark, sf) -> DataFrame:
     return questions(spark, sf).withColumnRenamed("text", "query")
 
 
-@query()
+def _hybrid_sql(asked_: str) -> str:
+    """CTEs up to fused (query_id, doc_id, source, score, rrf_score, rank) for questions (query_id, text)."""
+    stored = f"SELECT min(doc_id) AS key, text FROM documents WHERE length(text) >= 50 AND len(list_distinct({SQL_WORDS.format('text')})) >= 5 GROUP BY text"
+    return f"""{_bm25_sql("SELECT doc_id AS pos, text FROM documents", asked_)}, {_hashed_sql("v", stored)}, {_hashed_sql("w", "SELECT query_id AS key, text FROM qs")},
+long_v AS (SELECT key, sum(x * x) AS l FROM v GROUP BY key), long_w AS (SELECT key, sum(x * x) AS l FROM w GROUP BY key),
+stored AS ({stored}),
+dots AS (SELECT w.key AS query_id, v.key AS pos, sum(w.x * v.x) AS dot FROM w JOIN v USING (place) GROUP BY ALL),
+far AS (SELECT qs.query_id, stored.key AS pos, floor((coalesce(long_w.l, 0) + coalesce(long_v.l, 0) - 2 * coalesce(dot, 0)) * 1e9 + 0.5) AS dist
+  FROM qs CROSS JOIN stored LEFT JOIN dots ON dots.query_id = qs.query_id AND dots.pos = stored.key LEFT JOIN long_v ON long_v.key = stored.key LEFT JOIN long_w ON long_w.key = qs.query_id),
+kn AS (SELECT query_id, pos, row_number() OVER (PARTITION BY query_id ORDER BY dist, pos) AS rank FROM far QUALIFY rank <= 30),
+both_ AS (SELECT query_id, pos, kn.rank AS d, bm.rank AS l, bm.score AS score FROM kn FULL JOIN bm USING (query_id, pos)),
+rrf AS (SELECT query_id, pos, coalesce(1 / (60 + d), 0) + coalesce(1 / (60 + l), 0) AS rrf_score, CASE WHEN l IS NULL THEN 'dense' ELSE 'bm25' END AS source, coalesce(score, 0) AS score, coalesce(d, 1000000 + l) AS place FROM both_),
+fused AS (SELECT query_id, pos AS doc_id, source, score, rrf_score, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, place) AS rank FROM rrf QUALIFY rank <= 50)
+"""
+
+
+_ASKED = "SELECT item_id AS query_id, text FROM benchmark WHERE item_id % 100 = 0"
+
+
+@query(_hybrid_sql(_ASKED) + "SELECT query_id, doc_id, source, round(score, 6) AS score, round(rrf_score, 9) AS rrf_score, rank FROM fused")
 def hybrid_retrieve_all(spark, sf):
     """Both indexes built from all documents, and searched for all questions."""
     found = service.Retriever.open(spark, _built(spark, sf)).hybrid(asked(spark, sf), top_k=retrieval.K_FUSED)
-    return found.select("query_id", F.col("id").cast("long").alias("doc_id"), "source", F.round("rrf_score", 9).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))
+    return found.select("query_id", F.col("id").cast("long").alias("doc_id"), "source", F.round("score", 6).alias("score"), F.round("rrf_score", 9).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(
-    _BM25_ALL
-    + """, f AS (SELECT query_id, rank, text FROM bm JOIN documents ON pos = doc_id), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY rank) AS c FROM f QUALIFY c = 1),
+    _hybrid_sql(_ASKED)
+    + """, f AS (SELECT query_id, rank, text FROM fused JOIN documents USING (doc_id)), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, text ORDER BY rank) AS c FROM f QUALIFY c = 1),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM o QUALIFY place <= 7),
-w AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS total FROM k)
-SELECT query_id, md5(string_agg(CASE WHEN length(text) > 12000 THEN left(text, 12000) || '...' ELSE text END, chr(10) || chr(10) ORDER BY place)) AS context_md5, count(*) AS passages FROM w WHERE total <= 12000 OR place = 1 GROUP BY query_id"""
+w_ AS (SELECT *, sum(length(text)) OVER (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS total FROM k)
+SELECT query_id, md5(string_agg(CASE WHEN length(text) > 12000 THEN left(text, 12000) || '...' ELSE text END, chr(10) || chr(10) ORDER BY place)) AS context_md5, count(*) AS passages FROM w_ WHERE total <= 12000 OR place = 1 GROUP BY query_id"""
 )
 def get_context_all(spark, sf):
-    """Contexts of all questions from the BM25 list alone: a collection without vectors adds nothing."""
-    docs = _indexed_documents(spark, sf).withColumn("pos", F.col("row"))
-    none = spark.createDataFrame([], vectors.SCHEMA)
-    found = service.Retriever(none, lexical.build(docs), dims=64).retrieve(asked(spark, sf))
+    """Contexts of all questions from both lists."""
+    found = service.Retriever.open(spark, _built(spark, sf)).retrieve(asked(spark, sf))
     return service.contexts(found, asked(spark, sf)).select("query_id", F.md5("context").alias("context_md5"), "passages")
+
+
+#: Questions that are asked beside each query.
+_PRESETS = ("public records of the state", "time and people")
+
+
+@query(
+    _hybrid_sql(f"SELECT query_id * 10 AS query_id, text FROM ({_ASKED})" + "".join(f" UNION ALL SELECT query_id * 10 + {i}, '{p}' FROM ({_ASKED})" for i, p in enumerate(_PRESETS, 1)))
+    + "SELECT query_id // 10 AS query_id, query_id % 10 AS query_no, doc_id, source, round(rrf_score, 9) AS rrf_score, rank FROM fused"
+)
+def expanded_retrieve_all(spark, sf):
+    """All questions with the preset ones beside them, each searched in both indexes."""
+    found = service.Retriever.open(spark, _built(spark, sf)).retrieve(asked(spark, sf), _PRESETS)
+    return found.select("query_id", F.col("query_no").cast("long").alias("query_no"), F.col("id").cast("long").alias("doc_id"), "source", F.round("rrf_score", 9).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))

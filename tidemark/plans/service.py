@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import tokenize
 from tidemark.operators import conversation, lexical, retrieval
 from tidemark.plans.index import Settings
+from tidemark.session import cut
 from tidemark.sources import vectors
 
 #: Columns of a passage.
-PASSAGE = "query_id, pos, id, text, meta, source, rrf_score, rank"
+PASSAGE = "query_id, pos, id, text, meta, score, source, rrf_score, rank"
 
 
 def expand(queries: DataFrame, presets: tuple[str, ...] = ()) -> DataFrame:
@@ -55,12 +56,18 @@ class Retriever:
         return lexical.search_all(self.bm25, queries.withColumnRenamed("query", "text"), k)
 
     def hybrid(self, queries: DataFrame, k_dense: int = retrieval.K_LIST, k_lexical: int = retrieval.K_LIST, top_k: int = retrieval.K_LIST) -> DataFrame:
-        """PASSAGE rows of every query: both lists fused by reciprocal ranks."""
-        fused = retrieval.fuse(self.dense(queries, k_dense), self.lexical(queries, k_lexical), top_k, key="pos", by=("query_id",))
+        """PASSAGE rows of every query: both lists fused by reciprocal ranks.
+
+        The score is that of the list which source names: the lexical one's for
+        passages in both, 0 for those of the dense list, whose distances rank only.
+        """
+        lexical_ = cut(self.lexical(queries, k_lexical))
+        fused = retrieval.fuse(self.dense(queries, k_dense), lexical_, top_k, key="pos", by=("query_id",))
+        fused = fused.join(lexical_.select("query_id", "pos", "score"), ["query_id", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         held = self.collection.select("pos", "id", "text", "meta")
         if self.bm25 is not None:  # covers all documents, also those without a vector
             held = self.bm25.docs.select("pos", "id", "text", "meta")
-        return held.join(F.broadcast(fused), "pos").selectExpr(*PASSAGE.split(", "))  # top_k rows a query
+        return held.join(fused, "pos").selectExpr(*PASSAGE.split(", "))
 
     def retrieve(self, queries: DataFrame, presets: tuple[str, ...] = (), n: int = retrieval.K_FUSED) -> DataFrame:
         """PASSAGE rows and query_no of queries and presets; the order is (query_no, rank)."""
@@ -104,15 +111,10 @@ class Service:
     def get_context(self, query: str) -> tuple[str, list[dict]]:
         """The context of a question, and its passages in order."""
         asked = self.spark.createDataFrame([(0, query)], "query_id int, query string")
-        best = best_passages(self.retriever.retrieve(asked, self.presets), asked, self.rerank).drop("query_id").orderBy("place").collect()
-        passages, parts, total = [r.asDict() for r in best], [], 0
-        for p in passages:
-            if total + len(p["text"]) > retrieval.CONTEXT_CHARS:
-                parts += [] if parts else [p["text"][: retrieval.CONTEXT_CHARS] + "..."]
-                break
-            parts.append(p["text"])
-            total += len(p["text"])
-        return "\n\n".join(parts), passages
+        best = cut(best_passages(self.retriever.retrieve(asked, self.presets), asked, self.rerank))
+        context = retrieval.build_context(best, by=("query_id",), order="place").first()
+        passages = [r.asDict() for r in best.drop("query_id").orderBy("place").collect()]  # a few passages of one question
+        return context["context"] if context else "", passages
 
     def history(self, conv_id: str) -> list[tuple[str, str]]:
         """Messages of a conversation; none for an unknown one."""
