@@ -7,9 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import parse_frequency, parse_range_query
+from tidemark.functions.numbers import format_edge, parse_frequency, parse_range_query
 from tidemark.operators import bands
 
+#: Characters of a label that a line shows.
+LABEL = 100
 #: Source of each type: from and to, and what may serve as label.
 PLAN = ("Plan", "fromMhz", "toMhz", ("usageDescriptionDescription",))
 EXEMPTION = ("Undantag", "fromMhz", "toMhz", ("usageDescriptionLicenseExcemptionUsageDescription",))
@@ -38,6 +40,11 @@ def as_bands(rows: DataFrame, layout: tuple) -> DataFrame:
     return found.where(bands.valid())
 
 
+def tooltip() -> Column:
+    """A band in a line: the first LABEL characters of its label, and its edges with three decimals."""
+    return F.concat(F.left("label", F.lit(LABEL)), F.lit(" ("), format_edge(F.col("start")), F.lit(" - "), format_edge(F.col("end")), F.lit(" MHz)"))
+
+
 def load(spark: SparkSession, plan: str | None = None, exemptions: str | None = None, direction: str | None = None) -> DataFrame:
     """Bands of the sources given, each with a stable id."""
     parts = [as_bands(read(spark, path), layout) for read, path, layout in ((read_objects, plan, PLAN), (read_objects, exemptions, EXEMPTION), (read_table, direction, DIRECTION)) if path]

@@ -584,3 +584,87 @@ def expanded_retrieve_all(spark, sf):
     """All questions with the preset ones beside them, each searched in both indexes."""
     found = service.Retriever.open(spark, _built(spark, sf)).retrieve(asked(spark, sf), _PRESETS)
     return found.select("query_id", F.col("query_no").cast("long").alias("query_no"), F.col("id").cast("long").alias("doc_id"), "source", F.round("rrf_score", 9).alias("rrf_score"), F.col("rank").cast("long").alias("rank"))
+
+
+# Sources and sinks: rows of the tables written as files in the shared folder, and read back.
+
+
+@query(
+    """SELECT type, md5(text) AS text_md5, count(*) AS n FROM (
+SELECT 'csv_generic' AS type, 'market_segment: ' || c_mktsegment || ' | name: ' || c_name AS text FROM customer UNION ALL
+SELECT 'allocation_plan', 'Användning: ' || p_type || chr(10) || 'Frekvensområde: ' || p_size || ' - ' || (p_size + 2) || ' MHz' || chr(10) || 'Populärnamn: ' || p_brand FROM part) GROUP BY ALL"""
+)
+def files_to_documents(spark, sf):
+    """CSV files of two layouts below one folder, scanned, told apart by their headers and turned into documents."""
+    root = shared_path(spark, "files")
+    table(spark, sf, "customer").select(F.col("c_name").alias("Name"), F.col("c_mktsegment").alias("Market Segment")).write.option("header", True).option("sep", ";").csv(f"{root}/plain")
+    plan = table(spark, sf, "part").select(F.col("p_size").alias("Från (MHz)"), (F.col("p_size") + 2).alias("Till (MHz)"), F.col("p_brand").alias("Populärnamn"), F.col("p_type").alias("Användning idag"))
+    plan.write.option("header", True).csv(f"{root}/deep/plan")
+    found = index.documents(spark, index.Settings(data_root=root, group_tables=False))
+    return found.groupBy("type", F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS index, c_custkey, c_name FROM customer")
+def csv_written(spark, sf):
+    """The CSV sink with its index column."""
+    path = shared_path(spark, "csv")
+    rest.write_csv(table(spark, sf, "customer").select("c_custkey", "c_name"), path, ["c_name", "c_custkey"])
+    return spark.read.option("sep", ";").option("header", True).schema("index long, c_custkey long, c_name string").csv(path)
+
+
+@query("SELECT c_custkey AS id, c_name AS name, c_mktsegment AS detail FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT c_custkey, c_name, NULL FROM customer WHERE c_custkey % 2 <> 0")
+def json_written(spark, sf):
+    """The JSON sink, with details of every other row merged in."""
+    path = shared_path(spark, "json")
+    items = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    details = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"))
+    rest.write_json(rest.with_details(items, details), path)
+    return spark.read.schema("id long, name string, `name.a` string").json(path).select("id", "name", F.col("`name.a`").alias("detail"))
+
+
+@query("SELECT vec_id::VARCHAR AS id, len(embedding) AS components, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings")
+def vector_append(spark, sf):
+    """A new collection, appended to in two overlapping parts: no id is held twice."""
+    path = shared_path(spark, "collection")
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("pos"), F.col("vec_id").cast("string").alias("id"), F.lit("").alias("text"), F.lit("{}").alias("meta"), "embedding")
+    for part in (rows.where("pos % 3 <> 0"), rows.where("pos % 2 = 0"), rows):
+        vectors.append(part, path)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return vectors.open_or_create(spark, path).select("id", F.size("embedding").cast("long").alias("components"), F.round(total, 6).alias("total"))
+
+
+@query(f"""WITH {_SQL_PART_BANDS} SELECT type, start, "end", label, count(*) AS n FROM b GROUP BY ALL""")
+def explorer_files(spark, sf):
+    """Bands of a file of JSON lists and of a CSV file."""
+    plan, direction = shared_path(spark, "plan"), shared_path(spark, "direction")
+    size, high = F.concat(F.col("p_size").cast("string"), F.lit(" MHz")), F.when(F.col("p_partkey") % 9 == 0, "x").otherwise(F.concat((F.col("p_size") + F.col("p_partkey") % 7).cast("string"), F.lit(" MHz")))
+    label = F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise("")
+    parts = table(spark, sf, "part")
+    each = F.struct(size.alias("fromMhz"), high.alias("toMhz"), label.alias("usageDescriptionDescription"), "p_partkey")
+    # A list of at most a thousand objects a file.
+    lists = parts.groupBy(F.floor(F.col("p_partkey") / 1000).alias("k")).agg(F.to_json(F.collect_list(each)).alias("value"))
+    lists.select("value").write.option("maxRecordsPerFile", 1).text(plan)
+    parts.where("p_partkey % 3 = 0").select(size.alias("Från (MHZ)"), high.alias("Till (MHZ)"), label.alias("Användning idag")).write.option("header", True).csv(direction)
+    return explorer.load(spark, plan=plan, direction=direction).groupBy("type", "start", "end", "label").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT p_partkey, p_size::DOUBLE AS low, (p_size + 2.5)::DOUBLE AS high, p_size + 1.25::DOUBLE AS centre, 2.5::DOUBLE AS width,
+left(repeat(p_name || ' ', 9), 100) || ' (' || format('{:.3f}', p_size::DOUBLE) || ' - ' || format('{:.3f}', p_size + 2.5::DOUBLE) || ' MHz)' AS line FROM part"""
+)
+def interval_lines(spark, sf):
+    """Interval texts parsed, with centre and width, and shown in a line."""
+    size = F.col("p_size")
+    parsed = numbers.parse_interval(F.concat(size.cast("string"), F.lit(" < f ≤ "), (size + 2).cast("string"), F.lit(",5")))
+    rows = table(spark, sf, "part").select("p_partkey", parsed["from"].alias("start"), parsed["to"].alias("end"), F.repeat(F.concat("p_name", F.lit(" ")), 9).alias("label"))
+    middle = numbers.centre_width(F.col("start"), F.col("end"))
+    return rows.select("p_partkey", F.col("start").alias("low"), F.col("end").alias("high"), middle["centre"].alias("centre"), middle["width"].alias("width"), explorer.tooltip().alias("line"))
+
+
+@query(
+    """SELECT doc_id, md5(concat_ws(chr(10), CASE WHEN lang <> '' THEN 'lang: ' || lang END, CASE WHEN source <> '' THEN 'source: ' || source END, text)) AS text_md5 FROM documents WHERE length(text) >= 5"""
+)
+def metadata_texts(spark, sf):
+    """Texts of at least five characters behind their metadata, as they are embedded if asked for."""
+    rows = ingest.long_enough(table(spark, sf, "documents"))
+    return rows.select("doc_id", F.md5(ingest.embedding_text(["lang", "source"])).alias("text_md5"))
