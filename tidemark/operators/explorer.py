@@ -63,8 +63,9 @@ def identified(found: DataFrame) -> DataFrame:
 
 @dataclass
 class View:
-    """What the explorer shows: placed bands, number of levels by type, domain."""
+    """What the explorer shows: bands, placed bands, number of levels by type, domain."""
 
+    shown: DataFrame
     placed: DataFrame
     levels: DataFrame
     domain: DataFrame
@@ -76,16 +77,16 @@ class View:
 
     def matches(self, query: str) -> DataFrame | None:
         """Bands that touch the range 'X-Y unit'; None if the query is no range."""
-        asked = self.placed.sparkSession.range(1).select(parse_range_query(F.lit(query)).alias("q")).first()["q"]
-        return None if asked is None else bands.overlapping(self.placed, asked["min"], asked["max"])
+        asked = self.shown.sparkSession.range(1).select(parse_range_query(F.lit(query)).alias("q")).first()["q"]
+        return None if asked is None else bands.overlapping(self.shown, asked["min"], asked["max"])
 
 
 def view(found: DataFrame, types: list[str] | None = None) -> View:
     """The view of the bands of the active types; None takes all. A type without bands has one level."""
     shown = found if types is None else found.where(F.col("type").isin(*types))
-    placed = bands.assign_levels(shown)
-    levels = bands.level_counts(placed)
+    # First fit needs as many levels as bands lie over one point; so levels are counted, and bands found, without placing any.
+    levels = bands.depth(shown).select("type", F.col("depth").cast("int").alias("levels"))
     if types is not None:
         every = found.sparkSession.createDataFrame([(t,) for t in types], "type string")
         levels = every.join(levels, "type", "left").select("type", F.coalesce("levels", F.lit(1)).alias("levels"))
-    return View(placed, levels, bands.domain(shown))
+    return View(shown, bands.assign_levels(shown), levels, bands.domain(shown))
