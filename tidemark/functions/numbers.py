@@ -107,11 +107,6 @@ def centre_width(low: Column, high: Column) -> Column:
     return F.struct(((low + high) / 2).alias("centre"), (high - low).alias("width"))
 
 
-def log_position(c: Column, low: Column, high: Column, length: float) -> Column:
-    """Place of a value on a logarithmic axis of some length."""
-    return F.log(c / low) / F.log(high / low) * length
-
-
 def zoomed(low: Column, high: Column, factor: float, at: Column, least: Column, most: Column) -> Column:
     """A range (low, high) scaled around a value by a factor and kept within (least, most)."""
     return F.struct(clamp(at - (at - low) * factor, least, most).alias("low"), clamp(at + (high - at) * factor, least, most).alias("high"))

@@ -23,11 +23,6 @@ def valid(start: str = "start", end: str = "end") -> Column:
     return F.coalesce((a < b) & ~F.isnan(a.cast("double")) & ~F.isnan(b.cast("double")), F.lit(False))
 
 
-def labelled(*labels: str, type_: str = "type") -> Column:
-    """The first label that is neither null nor empty, else the type."""
-    return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in labels], F.col(type_))
-
-
 def overlapping(bands: DataFrame, low: float, high: float, types: list[str] | None = None) -> DataFrame:
     """Bands that touch the closed range; both predicates reach a Parquet scan."""
     out = bands.where((F.col("start") <= high) & (F.col("end") >= low))
@@ -194,8 +189,3 @@ def layout(placed: DataFrame, low: float, high: float, length: float, thickness:
 
     height = F.lit(thickness) / F.col("levels")
     return placed.join(counts, by).withColumns({"x": at("start"), "width": at("end") - at("start"), "y": F.col("level") * height, "height": height})
-
-
-def rows_of(bands: DataFrame) -> Iterator:
-    """Bands one by one on the driver, partition after partition."""
-    return bands.toLocalIterator()

@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import parse_band, parse_edges, shown_number
@@ -188,11 +187,6 @@ def long_enough(df: DataFrame, text: str = "text", least: int = MIN_CHARS) -> Da
     return df.where(F.length(text) >= least)
 
 
-def numbered(df: DataFrame, name: str, by: str = "source", order: str = "pos", start: int = 0) -> DataFrame:
-    """Position of each row within its source."""
-    return df.withColumn(name, F.row_number().over(W.partitionBy(by).orderBy(order)) - 1 + start)
-
-
 def sliced(rows: DataFrame, slices: int) -> DataFrame:
     """rows (by, o, ...) with slice: a number that rises with o within each by, from a sample of about slices rows.
 
