@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import io
 import random
+import zlib
 
 import duckdb
 import pytest
@@ -435,6 +437,43 @@ def test_warc_moves_no_payloads(spark):
     assert warc.read_pages(spark, path).count() == 0
 
 
+def test_warc_reads_pages_a_fixed_number_of_times(spark):
+    path = shared_path(spark, "pages")
+    spark.range(4000).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id % 2500) AS html", "1 AS digest", "id AS h").write.parquet(path)
+    rows = warc.payloads(spark.read.parquet(path))
+    revisits = warc.find_revisits(rows)
+    assert revisits.count() == 1500
+    reads = lambda df: df._jdf.queryExecution().executedPlan().toString().count("pages-")
+    known = warc.responses(rows, revisits, 64)  # a filter that takes every response for a revisit
+    beyond = warc.responses(rows, revisits, 64, block=10)
+    assert reads(known) == 1 and reads(beyond) == 2
+    assert known.count() == beyond.count() == 2500
+
+
+def test_warc_records_are_members_of_bounded_files(spark, tmp_path):
+    rnd = random.Random(3)
+    big = "".join(chr(rnd.randint(33, 126)) for _ in range(200_000)) * 250  # 50 MB
+    pages = [(i, "u", big[: 40_000 + i]) for i in range(60)] + [(100 + i, "u", big + str(i)) for i in range(2)] + [(200, "u", big + "0")]
+    path = f"file:{tmp_path}/out"
+    warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2), path, file_bytes=100_000)
+    files = sorted(tmp_path.glob("out/*"))
+    assert len(files) > 10 and all(f.name.endswith(".warc.gz") for f in files)
+    for f in files:
+        left, members = f.read_bytes(), 0
+        while left:  # each record can be decompressed alone
+            one = zlib.decompressobj(wbits=31)
+            assert len(list(warc.parse(io.BytesIO(one.decompress(left))))) == 1 and one.eof
+            members, left = members + 1, one.unused_data
+            assert f.stat().st_size - len(left) < 100_000 or not left
+    got = {r["page_id"]: (r["payload_bytes"], r["refers_to"]) for r in warc.read_pages(spark, path).collect()}
+    assert got == {i: (len(html), 100 if i == 200 else None) for i, _, html in pages}
+
+
+def test_warc_copies(spark):
+    got = warc.copied_pages(spark.createDataFrame([(0, "u", "a"), (1, "u", "b"), (6, "u", "a")], "page_id long, url string, html string")).select("page_id").collect()
+    assert sorted(r[0] for r in got) == [-7, -1, 0, 1, 6, 10_000_000, 10_000_006, 20_000_000]
+
+
 def test_label_model_beats_flipped_labels():
     import numpy as np
 

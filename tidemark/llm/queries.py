@@ -18,6 +18,7 @@ QUERIES = {
     "op11_rolling_windows": rolling_windows.op11_rolling_windows,
     "op12_fill_middle": fill_middle.op12_fill_middle,
     "op13_fingerprints": fingerprints.op13_fingerprints,
+    "warc_of_copies": warc.warc_of_copies,
 }
 
 ORACLES = {
@@ -29,4 +30,5 @@ ORACLES = {
     "op10_url_filter": url_filter.ORACLE,
     "op11_rolling_windows": rolling_windows.ORACLE,
     "op12_fill_middle": fill_middle.ORACLE,
+    "warc_of_copies": warc.ORACLE_COPIES,
 }
