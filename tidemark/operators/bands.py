@@ -47,6 +47,61 @@ def overlap_join(bands: DataFrame, ranges: DataFrame, width: float) -> DataFrame
     return left.join(right, "_cell").where(hit & first).drop("_cell")
 
 
+#: Cells of a level are twice as wide as those of the level below; edges further out count as the last cells' ones.
+LEVELS = 52
+
+
+def overlap_pairs(bands: DataFrame, ranges: DataFrame, width: float = 1.0) -> DataFrame:
+    """Every (band, range) pair that overlaps, for bands (start, end) and ranges (low, high) of any lengths.
+
+    A row is held at the level whose cells are as wide as it is long, by two
+    or three of them, and looks for longer ones at the levels that the other side
+    holds, in as many cells each. So a row has at most some 150 copies, however long
+    it is, and meets at each level only rows about as long as its cells: the
+    longer row of a pair holds, the shorter looks. Both edges belong to a
+    row; rows with a null or NaN edge, or start above end, overlap nothing;
+    infinite edges are allowed; equal rows give a pair each. width is that
+    of the narrowest cells: the usual length of short rows. A column of ranges
+    that bands have too gets the suffix _range. A crowded cell is
+    dealt to several tasks by Spark's skew join.
+    """
+    far = width * 2.0**LEVELS
+
+    def near(x: Column) -> Column:
+        return F.greatest(F.least(x.cast("double"), F.lit(far)), F.lit(-far))
+
+    def placed(rows: DataFrame, low: str, high: str, name: str) -> DataFrame:
+        """(row, a, b, own): the row as a struct, its edges within the axis, and its level."""
+        a, b = F.col(low), F.col(high)
+        sound = rows.where((a <= b) & ~F.isnan(a.cast("double")) & ~F.isnan(b.cast("double")))
+        own = F.ceil(F.log2(F.greatest((near(b) - near(a)) / width, F.lit(1.0)))).cast("int")
+        return sound.select(F.struct("*").alias(name), near(a).alias(f"{name}_a"), near(b).alias(f"{name}_b"), own.alias(f"{name}_own"))
+
+    def cell(x: Column, level: Column) -> Column:
+        return F.floor(x / (F.lit(width) * F.pow(F.lit(2.0), level)))
+
+    def held(rows: DataFrame, name: str) -> DataFrame:
+        level = F.col(f"{name}_own")
+        return rows.withColumn("level", level).withColumn("cell", F.explode(F.sequence(cell(F.col(f"{name}_a"), level), cell(F.col(f"{name}_b"), level))))
+
+    def looking(rows: DataFrame, name: str, levels: list[int], least: int) -> DataFrame:
+        """A copy for each cell at the levels at least so far above the row's own."""
+        wanted = F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x >= F.col(f"{name}_own") + least)
+        seen = rows.withColumn("level", F.explode(wanted))
+        return seen.withColumn("cell", F.explode(F.sequence(cell(F.col(f"{name}_a"), F.col("level")), cell(F.col(f"{name}_b"), F.col("level")))))
+
+    left, right = placed(bands, "start", "end", "b"), placed(ranges, "low", "high", "r")
+    levels = lambda rows, name: [r[0] for r in rows.select(f"{name}_own").distinct().collect()]  # noqa: E731 - at most LEVELS + 2
+    hit = (F.col("b")["start"] <= F.col("r")["high"]) & (F.col("b")["end"] >= F.col("r")["low"])  # the edges themselves
+    # A pair may share several cells: it is reported in the one where the later of both begins.
+    once = F.col("cell") == cell(F.greatest("b_a", "r_a"), F.col("level"))
+    longer_band = held(left, "b").join(looking(right, "r", levels(left, "b"), 0), ["level", "cell"]).where(hit & once)
+    longer_range = looking(left, "b", levels(right, "r"), 1).join(held(right, "r"), ["level", "cell"]).where(hit & once)
+    both = longer_band.select("b", "r").unionByName(longer_range.select("b", "r"))
+    clash = set(bands.columns)
+    return both.select("b.*", *[F.col("r")[c].alias(f"{c}_range" if c in clash else c) for c in ranges.columns])
+
+
 #: Width of a slice of the axis in running sums.
 SLICE = 64.0
 

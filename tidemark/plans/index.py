@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import chunks, header_name, split_semantic, stable_id
 from tidemark.operators import ingest, lexical, retrieval
 from tidemark.session import cut
-from tidemark.sources import files, vectors
+from tidemark.sources import csv_ranges, files, vectors
 from tidemark.sources.rest import indexed
 
 #: Columns of a document before packing.
@@ -35,6 +35,8 @@ class Settings:
     chunk_size: int = 2000
     overlap: int = 200
     questions: tuple[str, ...] = field(default=())
+    #: CSV files of more bytes are read in ranges by many tasks.
+    whole_csv: int = 64 << 20
 
     @staticmethod
     def from_env(env: dict[str, str], **given) -> Settings:
@@ -116,7 +118,11 @@ def documents(spark: SparkSession, settings: Settings, pdf: Callable[[bytes], st
     """
     found = files.scan(spark, settings.data_root)
     as_text = found.where(F.lit(not settings.table_as_document) & (F.col("suffix") != "json"))
-    raw = cut(files.extract(found.where(F.lit(settings.table_as_document) | (F.col("suffix") == "json")), pdf, pdf_tables))
+    ranged = F.lit(settings.table_as_document) & (F.col("suffix") == "csv") & (F.col("length") > settings.whole_csv)
+    raw = files.extract(found.where((F.lit(settings.table_as_document) | (F.col("suffix") == "json")) & ~ranged), pdf, pdf_tables)
+    if settings.table_as_document and not found.where(ranged).isEmpty():
+        raw = raw.unionByName(csv_ranges.read_csv_ranges(spark, settings.data_root, settings.whole_csv))
+    raw = cut(raw)
     every = items(raw) if settings.table_as_document else items(raw).unionByName(whole_texts(as_text))
     if settings.group_tables:
         placed = every.withColumn("_o", F.struct(F.coalesce("part", F.lit("")).alias("part"), "row", "type"))

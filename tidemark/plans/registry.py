@@ -9,7 +9,7 @@ from tidemark.functions import numbers, text
 from tidemark.operators import bands, conversation, explorer, ingest, lexical, retrieval
 from tidemark.plans import index, service
 from tidemark.session import shared_path, table
-from tidemark.sources import rest, vectors
+from tidemark.sources import csv_ranges, rest, vectors
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -262,6 +262,21 @@ def band_range_join(spark, sf):
     return bands.overlap_counts(line_bands(spark, sf), ranges)
 
 
+@query(
+    """WITH b AS (SELECT c_custkey, CASE WHEN c_custkey = 1 THEN -1e12 ELSE c_custkey * 2.0 END::DOUBLE AS start, CASE WHEN c_custkey = 1 THEN 1e12 ELSE c_custkey * 2.0 + 0.75 * pow(2, c_custkey % 11) END::DOUBLE AS "end" FROM customer),
+r AS (SELECT s_suppkey, (s_suppkey * 30)::DOUBLE AS low, s_suppkey * 30 + 0.5 * (s_suppkey % 5) AS high FROM supplier)
+SELECT c_custkey, s_suppkey, start, "end", low, high::DOUBLE AS high FROM b JOIN r ON start <= high AND "end" >= low"""
+)
+def overlap_pairs(spark, sf):
+    """All pairs of customers' bands of very different lengths, one over the whole axis, and suppliers' ranges."""
+    key, whole = F.col("c_custkey"), F.col("c_custkey") == 1
+    start = F.when(whole, -1e12).otherwise(key * 2.0)
+    found = table(spark, sf, "customer").select("c_custkey", start.alias("start"), F.when(whole, 1e12).otherwise(start + F.pow(F.lit(2.0), key % 11) * 0.75).alias("end"))
+    low = (F.col("s_suppkey") * 30).cast("double")
+    ranges = table(spark, sf, "supplier").select("s_suppkey", low.alias("low"), (low + F.col("s_suppkey") % 5 * 0.5).alias("high"))
+    return bands.overlap_pairs(found, ranges)
+
+
 @query(f"WITH {_SQL_BANDS} SELECT greatest(0.001, coalesce(min(start), 0.001)) AS low, coalesce(max(\"end\"), 10000) AS high FROM b")
 def band_domain(spark, sf):
     return bands.domain(line_bands(spark, sf))
@@ -604,6 +619,17 @@ def files_to_documents(spark, sf):
     return found.groupBy("type", F.md5("text").alias("text_md5")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT doc_id::VARCHAR AS doc_id, md5(coalesce(text, '')) AS text_md5, coalesce(source, '') AS source FROM documents")
+def csv_in_ranges(spark, sf):
+    """All documents written as CSV, with the line ends and quotes of their texts, and read back in byte ranges."""
+    root = shared_path(spark, "csv")
+    rows = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("text", "source")])
+    kept = {"header": True, "escape": '"', "quoteAll": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "emptyValue": ""}
+    rows.write.options(**kept).csv(root)
+    found = csv_ranges.read_csv_ranges(spark, root)
+    return found.select(F.col("cells")["doc_id"].alias("doc_id"), F.md5(F.col("cells")["text"]).alias("text_md5"), F.col("cells")["source"].alias("source"))
+
+
 @query("SELECT row_number() OVER (ORDER BY c_name, c_custkey) - 1 AS index, c_custkey, c_name FROM customer")
 def csv_written(spark, sf):
     """The CSV sink with its index column."""

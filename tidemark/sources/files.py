@@ -29,12 +29,12 @@ ROWS = "source string, kind string, part string, row long, cells map<string,stri
 
 
 def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES, glob: str | None = None) -> DataFrame:
-    """(path, suffix, content) of all files below root with one of the suffixes, in any case."""
+    """(path, length, suffix, content) of all files below root with one of the suffixes, in any case."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return reader.load(root).select("path", suffix.alias("suffix"), "content").where(F.col("suffix").isin(*suffixes))
+    return reader.load(root).select("path", "length", suffix.alias("suffix"), "content").where(F.col("suffix").isin(*suffixes))
 
 
 def read_csv(content: bytes) -> list[dict[str, str]]:
