@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import cut
 from tidemark.sources.files import ROWS
 
 SEPARATORS = ";,\t"
@@ -194,7 +195,8 @@ def read_csv_ranges(spark: SparkSession, root: str, over: int = 0, glob: str = "
     # The path as the binary-file source writes it.
     path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^file:///", "file:/")
     lines = lines.where(F.col("_metadata.file_size") > over).select(path.alias("path"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("value"))
-    placed = lines.mapInArrow(summed, _RANGES).groupBy("path").applyInArrow(composed, _PLACED).withColumnRenamed("path", "_path").withColumnRenamed("start", "_start")
+    # Written first, so that the planner knows its size and lines move only where it is too large to broadcast.
+    placed = cut(lines.mapInArrow(summed, _RANGES).groupBy("path").applyInArrow(composed, _PLACED).withColumnRenamed("path", "_path").withColumnRenamed("start", "_start"))
     marks = lines.mapInArrow(marked, _LINES)
 
     def at_start(some: DataFrame) -> DataFrame:
