@@ -151,6 +151,13 @@ def test_fingerprints_equal_plain_winnowing(spark, gram, window, piece):
             assert len(r["f"]) == (r["text"] != "")
 
 
+def test_grams_are_hashed_at_once(spark):
+    gram = "abcdefgh é漢🙂xyz"[: fingerprints.GRAM].ljust(fingerprints.GRAM, "-")
+    table = spark.createDataFrame([(gram,)], "text string")
+    got = table.select(fingerprints.fingerprint(F.col("text"))[0]["hash"], F.shiftright(F.xxhash64(F.encode("text", "UTF-32")), fingerprints.PLACE)).first()
+    assert got[0] == got[1]
+
+
 def test_shared_passages_are_found(spark):
     rnd = random.Random(13)
     word = lambda n: "".join(chr(rnd.randint(97, 122)) for _ in range(n))

@@ -7,11 +7,11 @@ a passage of at least WINDOW + GRAM - 1 code points share a kept hash within
 it, wherever the passage stands; of other texts about two hashes in each
 WINDOW + 1 are kept.
 
-Hashes roll over the text as columns can: first all short runs are hashed, of
-about the root of a gram's length, then each gram from the hashes of its runs,
-which it shares with the grams around it. (A hash that is carried from one
-gram to the next is a loop over rows' characters, which built-in functions
-don't have without copying the list so far at each step.) The smallest values
+A gram is hashed from its code points at once: 64 bytes are few for a hash
+function, fewer than the steps of a column that puts a gram's hash together
+from those of shorter runs. (A hash that is carried from one gram to the next
+is a loop over rows' characters, which built-in functions don't have without
+copying the list so far at each step.) The smallest values
 of windows are found in blocks: the least of each block, then that of the
 blocks which all windows that start in one block share. A value holds a hash and, below it, its place counted
 from the right, so that among equal hashes the rightmost is the smallest.
@@ -49,21 +49,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def parted(size: int) -> int:
-    """The largest divisor of size up to its root: what a run or window of size is put together from."""
-    return max(d for d in range(1, size + 1) if size % d == 0 and d * d <= size)
-
-
 def rolled(wide: Column, size: int) -> Column:
-    """Hashes of all runs of size code points, one for each start, of text in four bytes each; in the low bits their places from the right.
-
-    The hashes of short runs come first; those of whole runs are made of them.
-    """
-    short = parted(size)
-    n = F.shiftright(F.octet_length(wide), 2)
-    first = F.transform(F.sequence(F.lit(0), n - short), lambda i: F.xxhash64(F.substring(wide, 4 * i + 1, F.lit(4 * short))))
-    joined = lambda r, i: F.xxhash64(*(F.get(r, i + d) for d in range(0, size, short)))
-    return let(first, lambda r: F.transform(F.sequence(F.lit(0), n - size), lambda i: joined(r, i).bitwiseAND(F.lit(~MASK)).bitwiseOR((F.lit(MASK) - i).cast("long"))))
+    """Hashes of all runs of size code points, one for each start, of text in four bytes each; in the low bits their places from the right."""
+    last = F.shiftright(F.octet_length(wide), 2) - size
+    hashed = lambda at: F.xxhash64(F.substring(wide, at, F.lit(4 * size)))
+    return F.transform(F.sequence(F.lit(1), 4 * last + 1, F.lit(4)), lambda at, i: hashed(at).bitwiseAND(F.lit(~MASK)).bitwiseOR((F.lit(MASK) - i).cast("long")))
 
 
 def sliding(values: Column, size: int, body: Callable[[Column], Column]) -> Column:
@@ -103,7 +93,7 @@ def least_of(values: Column, size: int, windows: Column) -> Column:
     ceil = lambda n: F.call_function("div", n + (block - 1), F.lit(block)).cast("int")
     leasts = values
     if block > 1:
-        leasts = F.transform(F.sequence(F.lit(0), ceil(F.size(values)) - 1), lambda b: F.least(*(F.get(values, block * b + j) for j in range(block))))
+        leasts = F.transform(F.sequence(F.lit(0), ceil(F.size(values)) - 1), lambda b: F.array_min(F.slice(values, block * b + 1, F.lit(block))))
     starts = F.sequence(F.lit(0), ceil(windows) - 1)
     return let(leasts, lambda a: sliding(a, inner, lambda c: F.flatten(F.transform(starts, lambda b: of_block(a, c, b)))))
 
