@@ -1,11 +1,13 @@
 """CSV files read in byte ranges against the whole-file reader, and overlap pairs of any lengths against brute force."""
 
+import tracemalloc
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import bands
+from tidemark.operators import bands, ingest
 from tidemark.plans import index
 from tidemark.sources import csv_ranges, files
 
@@ -94,3 +96,20 @@ def test_overlap_pairs_of_any_lengths(spark):
         assert got.columns == ["id", "start", "end", "cell", "id_range", "low", "high", "level"]
         assert sorted((x["id"], x["id_range"]) for x in got.collect()) == expected
     assert bands.overlap_pairs(b.limit(0), r).count() == 0 and bands.overlap_pairs(b, r.limit(0)).count() == 0
+
+
+def test_csv_rows_are_not_held():
+    """Rows come before the file has been read to its end."""
+    content = b"a,b\n" + b"1,2\n" * 200_000
+    tracemalloc.start()
+    assert sum(1 for _ in files.parse_file("x.csv", "csv", content)) == 200_000
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 << 20
+    assert files.read_csv("\ufeffa;b\n\n1\n1;2;3\n\"x\ny\";é\n".encode()) == [{"a": "1", "b": ""}, {"a": "x\ny", "b": "é"}]
+    assert files.read_csv(b"") == [] and files.read_csv(b"a\n1\n") == [{"a": "1"}]
+
+
+def test_packing_takes_few_rows_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"text": ["x"] * 1000})
+    assert [b.num_rows for b in ingest.few(iter([batch]))] == [256, 256, 256, 232]
