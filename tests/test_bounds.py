@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import ingest, lexical, retrieval
 
@@ -127,3 +128,43 @@ def test_a_hot_source_is_many_slices(spark):
     rows = spark.range(3000).selectExpr("'hot' AS by", "id AS o")
     sizes = [r["count"] for r in ingest.sliced(rows, 64).groupBy("slice").count().collect()]
     assert len(sizes) >= 60 and max(sizes) < 600
+
+
+def test_few_queries_meet_vectors_in_place(spark, monkeypatch):
+    """The same rows whether queries go to the vectors or both are dealt by cell; vectors between pivots and of huge norms included."""
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(6, 5)) * 20
+    rows = [(i, (centres[i % 6] + rnd.normal(size=5)).tolist()) for i in range(500)] + [(500 + i, ((centres[i] + centres[i + 1]) / 2).tolist()) for i in range(5)]
+    rows += [(600, [1e200] * 5), (601, [float("nan")] * 5), (602, [1e7] * 5), (603, [1.0, 2.0]), (604, None)]
+    table = spark.createDataFrame(rows, "pos long, embedding array<double>").repartition(3)
+    asked = table.where("pos % 50 = 0 OR pos > 600").select(F.struct(F.col("pos").alias("a")).alias("query_id"), "embedding")
+    moved = []
+    seen = retrieval.met_in_place
+    monkeypatch.setattr(retrieval, "met_in_place", lambda *a: moved.append(1) or seen(*a))
+    found = lambda: sorted((r["query_id"]["a"], r["rank"], r["pos"], str(r["dist"])) for r in retrieval.dense_search_all(table, asked, 7).collect())
+    few = found()
+    assert moved == [1]
+    # Distances that the cells do not have: every vector meets all queries.
+    monkeypatch.setattr(retrieval, "met_in_place", lambda rows, asked, pivots, cells, *a: seen(rows, asked, pivots, {at: (np.inf, -np.inf, first) for at, (_, _, first) in cells.items()}, *a))
+    assert found() == few
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
+    assert found() == few and len(few) > 7 * 10
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    """No shuffle of tokens; rows that share a position are one document all the same."""
+    docs = spark.createDataFrame([(0, "b a b"), (1, ""), (2, None), (3, "A a a. \U0001f642 ä")], "pos long, text string")
+    found = lexical.counted(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(0, 3, "a", 1), (0, 3, "b", 2), (3, 4, "a", 2), (3, 4, "a.", 1), (3, 4, "ä", 1)]
+    index = lexical.build(spark.createDataFrame([(5, "x y"), (5, "x"), (6, "y")], "pos long, text string"))
+    assert sorted(map(tuple, index.postings.select("pos", "term", "tf").collect())) == [(5, "x", 2), (5, "y", 1), (6, "y", 1)]
+
+
+def test_vectors_leave_in_small_batches(spark):
+    """A worker holds the vectors of EMBED_ROWS texts, not of an Arrow batch: its first result is that long."""
+    assert retrieval.EMBED_ROWS * retrieval.DIMS * 8 <= 4 << 20
+    docs = spark.range(1000).repartition(1).select(F.concat_ws(" ", F.lit("w"), F.col("id").cast("string")).alias("text"))
+    found = retrieval.embed(docs)
+    assert found.select(F.size("embedding").alias("n")).groupBy("n").count().collect() == [(1024, 1000)]
+    assert found.distinct().count() == 1000
