@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import ingest, lexical, retrieval
+from tidemark.operators import bands, ingest, lexical, retrieval
 
 
 def plain_bm25(texts, query, k):
@@ -168,3 +168,28 @@ def test_vectors_leave_in_small_batches(spark):
     found = retrieval.embed(docs)
     assert found.select(F.size("embedding").alias("n")).groupBy("n").count().collect() == [(1024, 1000)]
     assert found.distinct().count() == 1000
+
+
+@pytest.mark.parametrize("piece", [20, 90])
+def test_long_islands_are_placed_in_pieces(spark, monkeypatch, piece):
+    rnd = random.Random(51)
+    rows = [(t, float(a), float(a + rnd.choice([1, 4, 30, 200])), i) for t, wide in (("one", 60), ("many", 30_000), (None, 90)) for i, a in enumerate(rnd.choices(range(wide), k=150))]
+    d = spark.createDataFrame(rows, "type string, start double, end double, id long").repartition(4)
+    expected = []
+    for t in {r[0] for r in rows}:
+        ends = []
+        for _, s, e, i in sorted((r for r in rows if r[0] == t), key=lambda r: (r[1], r[3])):
+            level = next((k for k, x in enumerate(ends) if x <= s), len(ends))
+            ends[level : level + 1] = [e]
+            expected.append((t, s, e, i, level))
+    sizes, fit = [], bands._first_fit
+
+    def seen(rows, columns, by, key):
+        sizes.append(max((r["count"] for r in rows.where("level IS NULL").groupBy(by, "_island").count().collect()), default=0))
+        return fit(rows, columns, by, key)
+
+    monkeypatch.setattr(bands, "_first_fit", seen)
+    placed = bands.assign_levels(d, piece=piece)
+    assert placed.columns == [*d.columns, "level"]
+    assert Counter(map(tuple, placed.collect())) == Counter(expected)
+    assert max(sizes) <= piece * 1.5 and len(sizes) >= 150 / piece  # parts come from samples

@@ -11,6 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.session import cut, written
+
 #: Domain of no bands, in MHz, and the least lower edge shown.
 DOMAIN = (0.001, 10_000.0)
 #: Attributes that a detail view hides, by what their lower-case name holds.
@@ -163,13 +165,14 @@ def depth(bands: DataFrame, by: str = "type") -> DataFrame:
     return parts.withColumn("_peak", F.col("_peak") + before).groupBy(by).agg(F.max("_peak").alias("depth"))
 
 
-def islands(bands: DataFrame, by: str = "type", key: str = "id", width: float = SLICE) -> DataFrame:
+def islands(bands: DataFrame, by: str = "type", key: str = "id", slices: Column | None = None) -> DataFrame:
     """bands with _island, the start of the run of bands without a gap that each is in.
 
     What reaches into a slice of the axis from earlier ones is found from one
-    row per slice, so a type is not sorted in one task.
+    row per slice, so a type is not sorted in one task. slices numbers the
+    slices in the order of (start, key), by default by widths of SLICE.
     """
-    rows = bands.withColumn("_slice", F.floor(F.col("start") / width))
+    rows = bands.withColumn("_slice", F.floor(F.col("start") / SLICE) if slices is None else slices)
     inside = W.partitionBy(by, "_slice").orderBy("start", key)
     reach = F.max("end").over(inside.rowsBetween(W.unboundedPreceding, -1))
     # Columns of joined tables get names of their own, so that bands may have any.
@@ -181,43 +184,95 @@ def islands(bands: DataFrame, by: str = "type", key: str = "id", width: float =
     return rows.withColumn("_island", latest).drop("_slice", "_fresh", "_old")
 
 
-def assign_levels(bands: DataFrame, by: str = "type", key: str = "id") -> DataFrame:
-    """bands with level: the lowest level of its type whose last band has ended when it starts.
+#: Bands of an island that a task places at most, about, and parts that the axis is cut into for so many.
+PIECE, FINER = 2_000_000, 4
 
-    Bands are taken by start, then key; touching edges share a level; columns
-    level and _island are replaced. First fit depends on all earlier bands, but
-    only through the levels' last ends: gaps that no band covers cut a type
-    into independent islands, which go to different tasks. A task reads an
-    island in order and holds an Arrow batch and the levels that are open, not
-    the island.
-    """
-    bands = bands.drop("level", "_island")
-    schema = T.StructType([*bands.schema.fields, T.StructField("level", T.IntegerType())])
-    names = [*bands.columns, "level"]
+
+def _first_fit(rows: DataFrame, columns: list[T.StructField], by: str, key: str) -> DataFrame:
+    """(columns, _island, level) of the rows of islands without level; those with one are bands still open from pieces before, and only taken note of."""
+    names = [*(f.name for f in columns), "_island", "level"]
+    schema = T.StructType([*columns, T.StructField("_island", rows.schema["_island"].dataType), T.StructField("level", T.IntegerType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, used = None, 0
         open_ends: list[tuple[float, int]] = []  # levels in use, by their end
         free: list[int] = []
+        old: set[int] = set()
         for batch in batches:
             levels = []
             read = lambda name: batch.column(name).to_pylist()
-            for island, start, end in zip(zip(read(by), read("_island")), read("start"), read("end")):
+            for island, start, end, known in zip(zip(read(by), read("_island")), read("start"), read("end"), read("level")):
                 if island != now:
-                    now, used, open_ends, free = island, 0, [], []
+                    now, used, open_ends, free, old = island, 0, [], [], set()
+                if known is not None:
+                    heapq.heappush(open_ends, (end, known))
+                    old.add(known)
+                    continue
+                if old:
+                    used = max(old) + 1
+                    free, old = sorted(set(range(used)) - old), set()
                 while open_ends and open_ends[0][0] <= start:
                     heapq.heappush(free, heapq.heappop(open_ends)[1])
                 level = heapq.heappop(free) if free else used
                 used += level == used
                 heapq.heappush(open_ends, (end, level))
                 levels.append(level)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in bands_columns), pa.array(levels, pa.int32())], names)
+            own = batch.filter(batch.column("level").is_null())
+            yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names[:-1]), pa.array(levels, pa.int32())], names)
 
-    bands_columns = bands.columns
-    ordered = islands(bands, by, key).repartition(by, "_island").sortWithinPartitions(by, "_island", "start", key)
+    ordered = rows.repartition(by, "_island").sortWithinPartitions(by, "_island", F.col("level").isNull(), "start", key)
     return ordered.mapInArrow(place, schema)
 
 
+def assign_levels(bands: DataFrame, by: str = "type", key: str = "id", piece: int = PIECE) -> DataFrame:
+    """bands with level: the lowest level of its type whose last band has ended when it starts.
+
+    Bands are taken by start, then key; touching edges share a level; columns
+    level, _island and _part are replaced. First fit depends on all earlier bands, but
+    only through the levels' last ends: gaps that no band covers cut a type
+    into independent islands, which go to different tasks. An island of more
+    than piece bands is placed piece by piece, one after another, and the
+    levels of the bands that are open at a piece's end go on to the next; so a
+    task sorts a piece, not the island, and holds an Arrow batch and the open
+    levels. The axis is cut into parts by samples of (type, start, key). The
+    driver gets a row for each part.
+    """
+    bands = bands.drop("level", "_island", "_part")
+    spark, columns, unplaced = bands.sparkSession, bands.schema.fields, F.lit(None).cast("int").alias("level")
+    n = bands.count()
+    if n <= piece:
+        return _first_fit(islands(bands, by, key).select("*", unplaced), columns, by, key).drop("_island")
+    # Written at once: a range partition that is made twice may be cut elsewhere.
+    split = cut(bands.repartitionByRange(-(-n * FINER // piece), by, "start", key).withColumn("_part", F.spark_partition_id()))
+    rows = cut(islands(split, by, key, F.col("_part")).select("*", unplaced))
+    island = F.struct(F.col(by).alias("by"), F.col("_island").alias("at"))
+    # The first and the last island of each part, and where its share of the first one starts.
+    parts = cut(rows.groupBy("_part").agg(F.count("*").alias("n"), F.min(F.struct(island.alias("island"), F.col("start").alias("start"))).alias("lo"), F.max(island).alias("hi")))
+    later: dict[int, list[int]] = {}
+    step, filled, before = 0, 0, None
+    for r in sorted(parts.collect(), key=lambda r: r["_part"]):
+        if goes_on := before is not None and r["lo"]["island"] == before:
+            step, filled = (step, filled + r["n"]) if filled + r["n"] <= piece else (step + 1, r["n"])
+            if step:
+                later.setdefault(step, []).append(r["_part"])
+        if not goes_on or r["lo"]["island"] != r["hi"]:
+            step, filled = 0, r["n"]
+        before = r["hi"]
+    first = parts.select("_part", F.col("lo.island").alias("_lo"), F.col("lo.start").alias("_from"))
+    known = rows.join(F.broadcast(first.drop("_from")), "_part")
+    waits = F.col("_part").isin([p for some in later.values() for p in some]) & island.eqNullSafe(F.col("_lo"))
+    paths = [written(_first_fit(known.where(~waits).drop("_part", "_lo"), columns, by, key))]
+    still = None
+    for step in sorted(later):
+        placed = spark.read.parquet(paths[-1]).select(by, "_island", "end", "level")
+        following = first.where(F.col("_part").isin(later[step])).groupBy("_lo").agg(F.min("_from").alias("_from"))
+        seen = placed if still is None else placed.unionByName(still)
+        still = cut(seen.join(F.broadcast(following), island.eqNullSafe(F.col("_lo")) & (F.col("end") > F.col("_from"))).select(by, "_island", "end", "level"))
+        own = known.where(F.col("_part").isin(later[step]) & island.eqNullSafe(F.col("_lo"))).drop("_part", "_lo")
+        paths.append(written(_first_fit(own.unionByName(still, allowMissingColumns=True), columns, by, key)))
+    return spark.read.schema(T.StructType([*columns, T.StructField("level", T.IntegerType())])).parquet(*paths)
+
+
 def level_counts(placed: DataFrame, by: str = "type") -> DataFrame:
     """(by, levels): number of levels per type."""
     return placed.groupBy(by).agg((F.max("level") + 1).alias("levels"))
