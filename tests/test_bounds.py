@@ -193,3 +193,15 @@ def test_long_islands_are_placed_in_pieces(spark, monkeypatch, piece):
     assert placed.columns == [*d.columns, "level"]
     assert Counter(map(tuple, placed.collect())) == Counter(expected)
     assert max(sizes) <= piece * 1.5 and len(sizes) >= 150 / piece  # parts come from samples
+
+
+def test_workers_get_small_batches(spark):
+    import pyarrow as pa
+    from tidemark.llm.common import BATCH_BYTES, map_rows
+
+    def sizes(batches):
+        for b in batches:  # a slice shows the buffers of the batch that it is cut from
+            yield pa.RecordBatch.from_arrays([pa.array([sum(x.size for x in b.column(0).buffers() if x)])], ["n"])
+
+    rows = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    assert map_rows(rows, sizes, "n long").agg(F.max("n")).first()[0] < 3 * BATCH_BYTES

@@ -30,6 +30,7 @@ from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -195,7 +196,7 @@ def encode_documents(documents: DataFrame, ranks_path: str, pattern: str, text:
                 coded.append(hashlib.sha256(packed.tobytes()).hexdigest())
                 decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(np.frombuffer(packed, np.int32))  # 4 bytes an id, not an object
             columns = [*batch.columns[1:], pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
             columns += [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids
             yield pa.RecordBatch.from_arrays(columns, [*(f.name for f in fields), "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
