@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import near_dedup
 from tidemark.operators import bands, ingest, lexical, retrieval
 
 
@@ -205,3 +206,39 @@ def test_workers_get_small_batches(spark):
 
     rows = spark.range(3000, numPartitions=1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
     assert map_rows(rows, sizes, "n long").agg(F.max("n")).first()[0] < 3 * BATCH_BYTES
+
+
+@pytest.mark.parametrize("step", [16, 2])
+def test_near_copies_make_few_pairs(spark, monkeypatch, step):
+    """Copies with two or three edits each, most pairs a little below the similarity: few are compared in full, and no link is lost."""
+    rnd = random.Random(41)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(200):
+        copy = list(base)
+        for _ in range(2 + i % 2):
+            copy[rnd.randrange(150)] = f"edit{rnd.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if root[i] != root[j] and 100 * len(a & b) >= 80 * len(a | b):
+                lo, hi = sorted((root[i], root[j]))
+                root = [lo if r == hi else r for r in root]
+    confirm, pairs = near_dedup.confirm, []
+    monkeypatch.setattr(near_dedup, "confirm", lambda p, *rest: pairs.append(p.count()) or confirm(p, *rest))
+    monkeypatch.setattr(near_dedup, "STEP", step, raising=False)
+    got = near_dedup.link_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), size=5).orderBy("doc_id").collect()
+    assert [r["component_id"] for r in got] == root
+    assert sum(pairs) <= 8 * len(texts), pairs
+
+
+def test_parity_maps_never_differ_more_than_their_sets():
+    rnd = np.random.default_rng(5)
+    for n, m, common in ((0, 1, 0), (30, 33, 28), (900, 700, 650), (5000, 5, 2)):
+        a = rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+        b = np.concatenate([a[:common], rnd.integers(0, 1 << 63, m - common, dtype=np.uint64)])
+        differ = np.bitwise_count(near_dedup.parity(a) ^ near_dedup.parity(b)).sum()
+        assert differ <= n + m - 2 * common
+    assert not (near_dedup.parity(a) ^ near_dedup.parity(a[::-1])).any()

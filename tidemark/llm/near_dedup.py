@@ -10,8 +10,9 @@
 3. Each class is first paired with the nearest of its buckets' smallest ids,
    and the pair confirmed on full sets. That makes one component of most groups of copies. Then the classes in
    buckets that still hold several components are joined on the rare
-   beginnings of their sets, and pairs of different components confirmed in
-   turn. So pairs within a group that can add nothing are never made, and no
+   beginnings of their sets, and pairs of different components confirmed: a
+   sample of them first, so that most components are one before all that are
+   left are looked at. So pairs within a group that can add nothing are never made, and no
    link that could join two components is left out.
 
 The index thus says which classes may have links, and gives the first of them;
@@ -44,6 +45,10 @@ VALUES = CHUNKS * SYMBOLS
 MOST_DIFFERENT = 22
 #: Further smallest ids that a class is paired with if the nearest one left it apart.
 NEXT = 6
+#: Each round of the set join looks at so many times the pairs of the one before.
+STEP = 16
+#: Bits of a set's parity map; 64 to a word.
+PARITY_BITS = 512
 #: Word hashes kept by a worker.
 MEMO = 400_000
 
@@ -95,6 +100,16 @@ def signature(s: np.ndarray) -> np.ndarray:
         return (mixed(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """PARITY_BITS bits, each the parity of the number of shingles that fall on it, as 64-bit integers.
+
+    Shared shingles cancel out: two sets' maps differ in at most as many bits
+    as there are shingles that only one of the sets has.
+    """
+    odd = np.bincount((s & np.uint64(PARITY_BITS - 1)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def describe(documents: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
     """(doc_id, n_shingles, digest of the set, signature) per row; the empty set has no digest."""
 
@@ -147,7 +162,7 @@ def different(a: str, b: str):
 
 
 def sets_of(documents: DataFrame, ids: DataFrame, text: str, key: str, size: int) -> DataFrame:
-    """(id, s) of the documents whose id is in ids, and of a few more; s is the full shingle set. Texts are not shuffled."""
+    """(id, s, bits) of the documents whose id is in ids, and of a few more: s is the full shingle set, bits its parity map. Texts are not shuffled."""
     wanted = bloom_of(ids.select("id"))
     rows = documents.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where(F.col("id").isNotNull())
 
@@ -155,10 +170,11 @@ def sets_of(documents: DataFrame, ids: DataFrame, text: str, key: str, size: int
         shingler = Shingler(size)
         for batch in batches:
             batch = batch.filter(pa.array(wanted.has(batch.column(0).to_numpy())))
-            sets = [shingler.shingles(t).view(np.int64) for t in texts(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "s"])
+            sets = [shingler.shingles(t) for t in texts(batch.column(1))]
+            columns = [pa.array([f(s) for s in sets], pa.list_(pa.int64())) for f in (lambda s: s.view(np.int64), parity)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "s", "bits"])
 
-    return cut(map_rows(rows, make, "id long, s array<long>"))
+    return cut(map_rows(rows, make, "id long, s array<long>, bits array<long>"))
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,8 +189,8 @@ def ids_in(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
 
-def across(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that can still be similar enough.
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(t, id, n, p, bits): the shingles t with which another set of these can begin to be similar enough.
 
     Shingles are ordered by rarity within these sets. The first shingle that
     two similar sets share stands early in both: so early that what follows
@@ -187,14 +203,44 @@ def across(sets: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     common = tokens.groupBy("t").agg(F.count("*").alias("df")).where("df > 1")
     rank = F.row_number().over(W.partitionBy(*own).orderBy("df", "t")) + F.col("n") - F.count("*").over(W.partitionBy(*own))
     prefix = tokens.join(common, "t").withColumn("p", rank).where(F.col("p") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    prefix = cut(prefix.join(comps, "id").select("t", "id", "comp", "n", "p"))
-    x, y = prefix.alias("x"), prefix.alias("y")
+    maps = sets.select("id", F.xxhash64("s").alias("v"), "bits").distinct()
+    return cut(prefix.join(maps, own).select("t", "id", "n", "p", "bits"))
+
+
+def across(prefix: DataFrame, comps: DataFrame, percent: int, share: int = 1) -> DataFrame:
+    """Pairs (a, b) of different components that can still be similar enough, or one in share of them.
+
+    Two sets that overlap enough differ in few shingles, so their parity maps
+    differ in few bits: that leaves out nearly all pairs that only share a
+    shingle, and none that is similar.
+    """
+    rows = cut(prefix.join(comps, "id"))
+    x, y = rows.alias("x"), rows.alias("y")
     overlap = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100 + percent))
     room = 1 + F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))
-    near = (F.col("x.t") == F.col("y.t")) & (F.col("x.comp") > F.col("y.comp")) & (room >= overlap)
+    unlike = sum((F.bit_count(F.col("x.bits")[i].bitwiseXOR(F.col("y.bits")[i])) for i in range(PARITY_BITS // 64)), F.lit(0))
+    near = (F.col("x.t") == F.col("y.t")) & (F.col("x.comp") > F.col("y.comp")) & (room >= overlap) & (unlike <= F.col("x.n") + F.col("y.n") - 2 * overlap)
+    if share > 1:
+        near &= F.pmod(F.xxhash64(F.least("x.id", "y.id"), F.greatest("x.id", "y.id")), F.lit(share)) == 0
     return x.join(y, near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def shares(prefix: DataFrame) -> list[int]:
+    """One in how many pairs each round of across looks at: all of them in the last one.
+
+    Links that connect different components after one in STEP of all links was
+    followed are at most STEP for each set on average (the sampling lemma of
+    Karger, Klein and Tarjan). So with shares that grow by STEP, no round has
+    more links than that, though a group of copies has the square of its size.
+    """
+    sums = prefix.groupBy("t").agg(F.count("*").cast("double").alias("c")).agg(F.sum("c"), F.sum(F.col("c") * F.col("c"))).first()
+    rows, pairs = sums[0] or 0.0, sums[1] or 0.0
+    out = [1]
+    while pairs / out[0] > STEP * rows:
+        out.insert(0, out[0] * STEP)
+    return out
+
+
 def named_ids(found: DataFrame) -> DataFrame:
     return found.select(F.col("node").alias("id"), "component")
 
@@ -259,9 +305,12 @@ def link_components(documents: DataFrame, text: str = "text", key: str = "doc_id
     labels = merged(labels, confirm(second, sets, percent))
 
     labelled, mixed_keys = buckets(members, labels)
-    open_ids = cut(labelled.join(mixed_keys, "key", "left_semi").select("id", "comp").distinct())
-    open_sets = cut(sets.join(open_ids.select("id"), "id", "left_semi"))
-    labels = merged(labels, confirm(across(open_sets, open_ids, percent), open_sets, percent))
+    open_ids = cut(labelled.join(mixed_keys, "key", "left_semi").select("id").distinct())
+    open_sets = cut(sets.join(open_ids, "id", "left_semi"))
+    prefix = prefixes(open_sets, percent)
+    for share in shares(prefix):
+        comps = open_ids.join(labels, "id", "left").select("id", F.coalesce("component", "id").alias("comp"))
+        labels = merged(labels, confirm(across(prefix, comps, percent, share), open_sets, percent))
 
     named = rows.join(classes.select("digest", "id"), "digest", "left").join(labels, "id", "left")
     component = F.coalesce("component", "id", "doc_id")
