@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import near_dedup
 from tidemark.operators import bands, ingest, lexical, retrieval
+from tidemark.plans import registry
 
 
 def plain_bm25(texts, query, k):
@@ -242,3 +243,59 @@ def test_parity_maps_never_differ_more_than_their_sets():
         differ = np.bitwise_count(near_dedup.parity(a) ^ near_dedup.parity(b)).sum()
         assert differ <= n + m - 2 * common
     assert not (near_dedup.parity(a) ^ near_dedup.parity(a[::-1])).any()
+
+
+def test_searches_of_all_queries_store_no_index(spark, monkeypatch):
+    """They answer given queries: neither other terms' postings nor texts are written."""
+
+    def build(*a, **b):
+        raise AssertionError("a whole index was built")
+
+    monkeypatch.setattr(lexical, "build", build)
+    for name in ("bm25_topk", "bm25_topk_all", "rrf_hybrid", "rrf_hybrid_all"):
+        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 30
+
+
+@pytest.mark.parametrize("most", [lexical.BROADCAST_BYTES, 0])
+def test_scan_equals_search_of_an_index(spark, monkeypatch, most):
+    monkeypatch.setattr(lexical, "BROADCAST_BYTES", most)
+    monkeypatch.setattr(lexical, "FREQUENT", 40)
+    rnd = random.Random(61)
+    words = lambda n: " ".join(f"w{int(rnd.expovariate(0.2))}" for _ in range(n))
+    rows = [(i, words(rnd.randrange(1, 12))) for i in range(400)] + [(400, ""), (401, None), (402, "Rare, rare ä"), (403, "w1 w2"), (403, "w2 w3")]
+    docs = spark.createDataFrame(rows, "pos long, text string").repartition(3)
+    asked = spark.createDataFrame([(1, "w0 w0 w7"), (2, "RARE w1"), (3, "unknown"), (4, ""), (5, words(20)), (6, None)], "query_id long, text string")
+    index, part = lexical.build(docs), lexical.build_for(docs, asked)
+    assert {r["term"] for r in part.postings.collect()} == {r["term"] for r in part.terms.collect()}
+    assert {r["term"] for r in part.terms.collect()} <= {r["term"] for r in lexical.query_terms(asked).collect()}
+    assert part.stats.collect() == index.stats.collect()
+    for name, by, values in (("postings", ["pos", "term"], ["tf", "dl", "block"]), ("terms", ["term"], ["df", "idf", "top"]), ("blocks", ["term", "block"], ["top"])):
+        kept, known = ({tuple(r[c] for c in by): [r[c] for c in values] for r in getattr(x, name).collect()} for x in (part, index))
+        assert kept and all(known[at] == pytest.approx(row) for at, row in kept.items())
+    order = lambda found: sorted((r["query_id"], r["rank"], r["pos"], r["score"]) for r in found.collect())
+    assert order(lexical.scan_all(docs, asked, 9)) == order(lexical.search_all(index, asked, 9))
+    assert lexical.scan_all(docs.limit(0), asked, 9).count() == 0
+
+
+def test_few_distances_are_computed_twice():
+    """Exact neighbours, ties by key; a block's pairs are not all compared one component after the other."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(62)
+    vectors = rnd.normal(size=(3000, 16))
+    vectors[1000:1040] = vectors[3]
+    vectors[[7, 1500, 2999]] = np.array([np.nan, np.inf, 1e200])[:, None]
+    queries = np.concatenate([vectors[:300], [[1e200] * 16, [np.nan] * 16]])
+    computed, best = [], retrieval.Nearest(pa.array(range(302)), queries, 10)
+    keep = best._keep
+    best._keep = lambda at, key, dist: computed.append(len(at)) or keep(at, key, dist)
+    for i in range(0, 3000, 500):
+        best.add(pa.array(range(i, i + 500)), vectors[i : i + 500])
+    got = best.result().to_pandas().groupby("query_id")["key"].apply(list)
+    with np.errstate(over="ignore", invalid="ignore"):
+        dist = np.zeros((302, 3000))
+        for held, asked in zip(vectors.T, queries.T):
+            dist += (held - asked[:, None]) ** 2
+        dist = np.floor(dist * 1e9 + 0.5) / 1e9
+    assert [got[i] for i in range(302)] == [np.lexsort((np.arange(3000), d))[:10].tolist() for d in dist]
+    assert sum(computed) < 300 * 3000 / 20
