@@ -299,3 +299,18 @@ def test_few_distances_are_computed_twice():
         dist = np.floor(dist * 1e9 + 0.5) / 1e9
     assert [got[i] for i in range(302)] == [np.lexsort((np.arange(3000), d))[:10].tolist() for d in dist]
     assert sum(computed) < 300 * 3000 / 20
+
+
+@pytest.mark.parametrize("rows", [60, 2000])
+def test_distances_that_round_to_the_same_are_ties(rows):
+    """Sums that differ behind the ninth digit go by key, whatever path computes them."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(63)
+    vectors = np.sqrt(2 + rnd.integers(0, 3, rows) + rnd.choice([-1e-13, 0, 1e-13], rows))[:, None] * [1.0, 0.0]
+    best = retrieval.Nearest(pa.array([0, 1]), np.zeros((2, 2)), 10)
+    for i in range(0, rows, rows // 2):
+        best.add(pa.array(range(rows - i - rows // 2, rows - i)), vectors[rows - i - rows // 2 : rows - i])
+    dist = np.floor((vectors**2).sum(axis=1) * 1e9 + 0.5)
+    want = np.lexsort((np.arange(rows), dist))[:10].tolist()
+    assert best.result().to_pandas().groupby("query_id")["key"].apply(list).tolist() == [want, want]
